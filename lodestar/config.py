@@ -62,3 +62,8 @@ BLOCK_BYTES = 64 << 20
 QUERY_BLOCK_BYTES = 16 << 20
 # Largest centroid table we inline into a plan (cells x dims x 8 bytes).
 MAX_CENTROID_BYTES = 32 << 20
+
+# --- our mapping of the driver tables' sources to departments (4 IT, 4 Finance, rest HR,
+#     as in the original's 14 documents) ---
+DRIVER_IT_SOURCES = ["src0", "src1", "src2", "src3"]
+DRIVER_FINANCE_SOURCES = ["src4", "src5", "src6", "src7"]

@@ -56,3 +56,18 @@ hyb AS (SELECT top.qid, top.rank, top.id, c.source, top.score, closest.closest
 def hybrid_ctes(k: int = 5, cand: int = 20) -> str:
     return ",".join([CORPUS, QUESTIONS, STOP, POSTINGS, QTERMS, VRANKS.format(cand=cand),
                      FRANKS.format(cand=cand), FUSED.format(k=k)])
+
+_STRIP = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"
+# chunks of the documents, as lodestar.operators.chunking.split_chunks, plus department
+CHUNKS = f"""
+chunks_raw AS (
+  WITH d AS (SELECT doc_id, source, regexp_replace(text, '[ \t]+', ' ', 'g') AS t FROM documents),
+  w AS (SELECT doc_id, source, t, unnest(range(0, length(t), 450)) AS s FROM d WHERE length(t) > 0),
+  c AS (SELECT doc_id, source, s // 450 AS chunk_no,
+               regexp_replace(substring(t, s + 1, 500), '^{_STRIP}+|{_STRIP}+$', '', 'g') AS content FROM w)
+  SELECT (doc_id * 100000 + chunk_no)::BIGINT AS id, doc_id, chunk_no::BIGINT AS chunk_no, source, content
+  FROM c WHERE length(content) >= 20),
+chunks AS (SELECT *, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN 'IT'
+                          WHEN source IN ('src4', 'src5', 'src6', 'src7') THEN 'Finance'
+                          ELSE 'HR' END AS department FROM chunks_raw)"""
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
