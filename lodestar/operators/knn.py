@@ -59,7 +59,13 @@ def similar_items(corpus: DataFrame, item_id, k: int = 5) -> DataFrame:
 # batched exact top-k
 
 
-def _block_topk(k: int, exclude: str | None, digits: int):
+def _stack(values, decode) -> np.ndarray:
+    if decode is not None:
+        return np.vstack([decode(v) for v in values]).astype(np.float64)
+    return np.vstack(values).astype(np.float64)
+
+
+def _block_topk(k: int, exclude: str | None, digits: int, decode=None):
     """The per-block kernel: local top-k of a (query block, corpus block) pair."""
 
     empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
@@ -68,7 +74,7 @@ def _block_topk(k: int, exclude: str | None, digits: int):
     def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(cpdf) == 0:
             return empty
-        C = np.vstack(cpdf["vec"].to_numpy()).astype(np.float64)
+        C = _stack(cpdf["vec"].to_numpy(), decode)
         cn = np.linalg.norm(C, axis=1)
         ids = cpdf["id"].to_numpy(np.int64)
         cgroup = cpdf["grp"].to_numpy() if exclude == "group" else None
@@ -77,7 +83,7 @@ def _block_topk(k: int, exclude: str | None, digits: int):
         step = max(1, (8 << 20) // max(1, C.shape[0]))
         for lo in range(0, len(qpdf), step):
             q = qpdf.iloc[lo:lo + step]
-            Q = np.vstack(q["qvec"].to_numpy()).astype(np.float64)
+            Q = _stack(q["qvec"].to_numpy(), decode)
             qn = np.linalg.norm(Q, axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 D = 1.0 - (Q @ C.T) / np.outer(qn, cn)
@@ -120,7 +126,8 @@ def block_counts(n_queries: int, n_corpus: int, dims: int, parallelism: int) ->
 def knn_batch(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude: str | None = None,
               qid: str = "qid", qvec: str = "qvec", id: str = "id", vec: str = "embedding",
               qgroup: str | None = None, group: str | None = None,
-              digits: int = DIST_DIGITS, blocks: tuple[int, int] | None = None) -> DataFrame:
+              digits: int = DIST_DIGITS, blocks: tuple[int, int] | None = None,
+              decode=None, dims: int | None = None) -> DataFrame:
     """Exact cosine top-k for every query: ``qid, id, distance, rank``.
 
     ``exclude="self"`` drops ``id == qid``; ``exclude="group"`` drops rows whose
@@ -129,25 +136,37 @@ def knn_batch(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude: st
     spark = queries.sparkSession
     if blocks is None:
         n_q, n_c = queries.count(), corpus.count()
-        first = corpus.select(F.size(vec).alias("d")).limit(1).collect()
-        dims = first[0]["d"] if first else 1
+        if dims is None:
+            first = corpus.select(F.size(vec).alias("d")).limit(1).collect()
+            dims = first[0]["d"] if first else 1
         blocks = block_counts(n_q, n_c, dims, spark.sparkContext.defaultParallelism)
     qb, cb = blocks
 
+    q, c = _prepare(queries, corpus, exclude, qid, qvec, id, vec, qgroup, group)
+    q = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
+         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
+    c = (c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(cb)).cast("int"))
+         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
+    local = block_topk(q, c, ["qb", "cb"], k, exclude, digits, decode)
+    return top_k_per_query(local, k, "distance")
+
+
+def _prepare(queries, corpus, exclude, qid, qvec, id, vec, qgroup, group):
     qcols = [F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec")]
     ccols = [F.col(id).cast("long").alias("id"), F.col(vec).alias("vec")]
     if exclude == "group":
         qcols.append(F.col(qgroup).cast("string").alias("qgrp"))
         ccols.append(F.col(group).cast("string").alias("grp"))
-    q = (queries.select(*qcols)
-         .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
-         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    c = (corpus.select(*ccols)
-         .withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(cb)).cast("int"))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    local = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-             .applyInPandas(_block_topk(k, exclude, digits), TOPK_SCHEMA))
-    return top_k_per_query(local, k, "distance")
+    return queries.select(*qcols), corpus.select(*ccols)
+
+
+def block_topk(q: DataFrame, c: DataFrame, keys: list[str], k: int, exclude: str | None = None,
+               digits: int = DIST_DIGITS, decode=None) -> DataFrame:
+    """Local top-k of every group of ``keys``: queries ``qid, qvec`` meet corpus rows ``id, vec``
+    that share the key (cogroup, one numpy product per group). ``decode`` turns stored
+    vectors (e.g. half precision bytes) into arrays inside the worker."""
+    return (q.groupBy(*keys).cogroup(c.groupBy(*keys))
+            .applyInPandas(_block_topk(k, exclude, digits, decode), TOPK_SCHEMA))
 
 
 def top_k_per_query(df: DataFrame, k: int, score: str, descending: bool = False,

@@ -1 +1,134 @@
-"""Registered queries."""
+"""Registered scale queries: cell index, approximate search, half precision, noisy copies,
+recall by method, embeddings, folder loading. Rows-only checks (no SQL engine has
+the same index or random-free embedding); invariants are tested in tests/."""
+
+from __future__ import annotations
+
+import time
+
+from pyspark.sql import functions as F
+
+from lodestar.operators import ann
+from lodestar.operators.embedding import embed_column, embed_distinct
+from lodestar.operators.halfprec import decode_half, to_half
+from lodestar.operators.knn import knn_batch
+from lodestar.operators.noisy import noisy_copies
+from lodestar.plans.common import chunks
+from lodestar.plans.registry import register
+from lodestar.session import scratch_path
+from lodestar.sources.tables import corpus, corpus_questions, load_documents, read_table
+
+NPROBE = 4
+
+
+def _index(spark, sf, tag="corpus"):
+    c = corpus(spark, sf)
+    idx = ann.build_cell_index(c, scratch_path(spark, f"cells_{tag}_{abs(hash(sf))}"))
+    return c, idx
+
+
+@register("ann_build")
+def ann_build(spark, sf):
+    c, idx = _index(spark, sf)
+    if idx is None:
+        return spark.createDataFrame([], "cell int, rows long, nblk int")
+    return spark.read.parquet(f"{idx.path}/cells")
+
+
+@register("ann_search")
+def ann_search(spark, sf):
+    c, idx = _index(spark, sf)
+    found, _ = ann.vector_top_k(corpus_questions(c), c, idx, 10, nprobe=NPROBE)
+    return found
+
+
+@register("ann_recall")
+def ann_recall(spark, sf):
+    c, idx = _index(spark, sf)
+    q = corpus_questions(c)
+    exact = knn_batch(q, c, 10)
+    found, _ = ann.vector_top_k(q, c, idx, 10, nprobe=NPROBE)
+    return ann.recall_at_k(exact, found)
+
+
+@register("knn_half_precision")
+def knn_half_precision(spark, sf):
+    c = corpus(spark, sf).select("id", to_half("embedding").alias("h"))
+    q = c.select(F.col("id").alias("qid"), F.col("h").alias("qvec"))
+    dims = read_table(spark, sf, "embeddings").select(F.size("embedding")).limit(1).collect()[0][0]
+    return knn_batch(q, c, 10, vec="h", decode=decode_half, dims=dims)
+
+
+@register("noisy_vectors")
+def noisy_vectors(spark, sf):
+    return noisy_copies(corpus(spark, sf), copies=20, view="noisy")
+
+
+@register("recall_report")
+def recall_report(spark, sf):
+    """Exact / half / cells × float32 / float16 on noisy copies: recall@10 against exact float32,
+    build seconds and milliseconds per query (wall clock of each batched search)."""
+    noisy = noisy_copies(corpus(spark, sf), copies=20)
+    vectors = noisy.where("copy_no > 0").select((F.col("chunk_id") * 1000 + F.col("copy_no")).alias("id"), "embedding")
+    queries = noisy.where("copy_no = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("qvec"))
+    base = scratch_path(spark, f"scale_{abs(hash(sf))}")
+    vectors.withColumn("h", to_half("embedding")).write.mode("overwrite").parquet(f"{base}/vectors")
+    queries.withColumn("qh", to_half("qvec")).write.mode("overwrite").parquet(f"{base}/queries")
+    vec = spark.read.parquet(f"{base}/vectors")
+    qry = spark.read.parquet(f"{base}/queries")
+    n_q = qry.count()
+    dims = vec.select(F.size("embedding")).limit(1).collect()[0][0]
+    rows, timings = [], []
+
+    def run(method, build_s, df):
+        t0 = time.perf_counter()
+        df.select(F.lit(method).alias("method"), "qid", "id").write.mode("overwrite").parquet(f"{base}/results/{method}")
+        timings.append((method, build_s, round((time.perf_counter() - t0) * 1000.0 / max(1, n_q), 2)))
+
+    run("exact float32", None, knn_batch(qry, vec, 10))
+    run("exact float16", None, knn_batch(qry.select("qid", F.col("qh").alias("qvec")), vec.select("id", F.col("h").alias("embedding")),
+                                         10, decode=decode_half, dims=dims))
+    t0 = time.perf_counter()
+    idx32 = ann.build_cell_index(vec, f"{base}/cells32")
+    b32 = int(round(time.perf_counter() - t0))
+    run("cells float32", b32, ann.cell_search(qry, idx32, 10, nprobe=NPROBE))
+    t0 = time.perf_counter()
+    half_vec = vec.select("id", F.col("h").alias("embedding"))
+    # The cell assignment needs numbers: cells are trained on the decoded half vectors.
+    from lodestar.operators.halfprec import from_half
+    idx16 = ann.build_cell_index(half_vec.select("id", from_half("embedding").alias("embedding")), f"{base}/cells16")
+    b16 = int(round(time.perf_counter() - t0))
+    run("cells float16", b16, ann.cell_search(qry.select("qid", from_half("qh").alias("qvec")), idx16, 10, nprobe=NPROBE))
+    _ = rows
+    results = spark.read.parquet(*[f"{base}/results/{m}" for m, _, _ in timings])
+    t = spark.createDataFrame(timings, "method string, build_seconds int, query_ms double")
+    truth = results.where(F.col("method") == "exact float32").select("qid", F.col("id").alias("eid"))
+    total = truth.select(F.count(F.lit(1))).scalar()
+    r = results.join(truth, (results["qid"] == truth["qid"]) & (results["id"] == truth["eid"]), "left")
+    per = r.groupBy("method").agg(F.count("eid").alias("_found"))
+    return (t.join(per, "method", "left")
+            .select("method", "build_seconds", "query_ms",
+                    F.round(F.lit(100.0) * F.coalesce("_found", F.lit(0)) / total, 1).alias("recall_pct"))
+            .orderBy(F.col("method").desc()))
+
+
+@register("embed_chunks")
+def embed_chunks(spark, sf):
+    return embed_column(chunks(spark, sf).select("id", "source", "content"), "content", "embedding", dims=64)
+
+
+@register("embed_dedup")
+def embed_dedup(spark, sf):
+    """Questions (conversation user turns) embedded once per distinct text, joined back."""
+    conv = read_table(spark, sf, "conversations").where("role = 'user'")
+    return embed_distinct(conv.select("conv_id", "turn", F.col("text").alias("question")), "question", "qvec")
+
+
+@register("load_documents")
+def load_documents_q(spark, sf):
+    """The documents written out as one text file each, read back as a folder of files."""
+    path = scratch_path(spark, f"docs_folder_{abs(hash(sf))}")
+    docs = read_table(spark, sf, "documents")
+    docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text") \
+        .write.mode("overwrite").partitionBy("name").text(path)
+    return load_documents(spark, path, "*.txt")
