@@ -27,5 +27,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so their queries register."""
     from lodestar.plans import (  # noqa: F401
-        evaluation, jsonq, relational, retrieval, scale, security, textq, changes,
+        evaluation, jsonq, relational, retrieval, scale, security, textq, changes, streams,
     )
