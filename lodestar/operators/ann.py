@@ -31,6 +31,7 @@ from lodestar.operators.knn import block_topk, knn_batch, top_k_per_query
 class CellIndex:
     path: str
     centroids: np.ndarray  # cells × dims, unit rows
+    radii: np.ndarray | None = None  # per cell: largest distance of a (unit) row to its centroid
 
     @property
     def cells(self) -> int:
@@ -66,7 +67,9 @@ def build_cell_index(corpus: DataFrame, path: str, *, n_cells: int | None = None
     centroids = _unit(np.array(model.clusterCenters(), dtype=np.float64))
     assigned = model.transform(feats).select("id", "embedding", F.col("prediction").cast("int").alias("cell"))
     crows = int(min(65536, max(1024, BLOCK_BYTES // max(1, dims * 8))))
-    cells = (assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
+    to_centroid = centroid_distance_udf(centroids)
+    cells = (assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"),
+                                          F.max(to_centroid(F.col("embedding"), F.col("cell"))).alias("radius"))
              .withColumn("nblk", F.ceil(F.col("rows") / F.lit(crows)).cast("int")))
     # ``cells`` has one row per cell (k rows, checked above): a bounded broadcast.
     table = (assigned.join(F.broadcast(cells.select("cell", "nblk")), "cell")
@@ -76,12 +79,36 @@ def build_cell_index(corpus: DataFrame, path: str, *, n_cells: int | None = None
     cells.write.mode("overwrite").parquet(f"{path}/cells")
     spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)],
                           "cell int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
-    return CellIndex(path, centroids)
+    radii = _radii(spark, path, k)
+    return CellIndex(path, centroids, radii)
+
+
+def _radii(spark: SparkSession, path: str, k: int) -> np.ndarray:
+    r = np.zeros(k, dtype=np.float64)
+    for row in spark.read.parquet(f"{path}/cells").select("cell", "radius").collect():  # one row per cell
+        r[row["cell"]] = row["radius"]
+    return r
+
+
+def centroid_distance_udf(centroids: np.ndarray):
+    """Arrow UDF: euclidean distance of a unit-scaled vector to the centroid of its cell."""
+    cents = _unit(np.asarray(centroids, dtype=np.float64))
+
+    @F.pandas_udf(T.DoubleType())
+    def dist(v: pd.Series, cell: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype="float64")
+        X = _unit(np.vstack(v.to_numpy()).astype(np.float64))
+        C = cents[cell.to_numpy(np.int64)]
+        return pd.Series(np.linalg.norm(X - C, axis=1))
+
+    return dist
 
 
 def load_cell_index(spark: SparkSession, path: str) -> CellIndex:
     rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # cells × dims, bounded at build
-    return CellIndex(path, np.array([r["centroid"] for r in rows], dtype=np.float64))
+    cents = np.array([r["centroid"] for r in rows], dtype=np.float64)
+    return CellIndex(path, cents, _radii(spark, path, cents.shape[0]))
 
 
 def nearest_cells_udf(centroids: np.ndarray, nprobe: int):
@@ -101,37 +128,90 @@ def nearest_cells_udf(centroids: np.ndarray, nprobe: int):
     return nearest
 
 
-def cell_search(queries: DataFrame, index: CellIndex, k: int = 10, *, nprobe: int = 4, exclude: str | None = None,
-                qid: str = "qid", qvec: str = "qvec", digits: int = DIST_DIGITS) -> DataFrame:
-    """Approximate top-k per query from the ``nprobe`` nearest cells: ``qid, id, distance, rank``."""
-    spark = queries.sparkSession
+def _query_blocks(queries: DataFrame, dims: int) -> int:
+    qrows = int(min(16384, max(256, QUERY_BLOCK_BYTES // max(1, dims * 8))))
+    return max(1, math.ceil(queries.count() / qrows))
+
+
+def _probe(probes: DataFrame, index: CellIndex, k: int, exclude: str | None, qb: int, digits: int) -> DataFrame:
+    """Local top-k of ``probes`` (``qid, qvec, cell``) against the rows of those cells."""
+    spark = probes.sparkSession
     rows = spark.read.parquet(f"{index.path}/rows")
     cells = spark.read.parquet(f"{index.path}/cells").select("cell", "nblk")
-    dims = index.centroids.shape[1]
-    n_q = queries.count()
-    qrows = int(min(16384, max(256, QUERY_BLOCK_BYTES // max(1, dims * 8))))
-    qb = max(1, math.ceil(n_q / qrows))
-    nearest = nearest_cells_udf(index.centroids, nprobe)
-    probes = (queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"))
-              .withColumn("cell", F.explode(nearest(F.col("qvec"))))
-              .join(F.broadcast(cells), "cell")  # one row per cell: bounded
-              .withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1)))
-              .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
-              .drop("nblk"))
+    q = (probes.join(F.broadcast(cells), "cell")  # one row per cell: bounded
+         .withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1)))
+         .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
+         .drop("nblk"))
     probed = probes.select("cell").distinct()  # at most the number of cells
     corpus = (rows.join(F.broadcast(probed), "cell", "left_semi")
               .select("cell", "blk", F.col("id"), F.col("embedding").alias("vec"))
               .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    local = block_topk(probes, corpus, ["qb", "cell", "blk"], k, exclude, digits)
-    return top_k_per_query(local, k, "distance")
+    return block_topk(q, corpus, ["qb", "cell", "blk"], k, exclude, digits)
+
+
+def cell_search(queries: DataFrame, index: CellIndex, k: int = 10, *, nprobe: int = 4, exclude: str | None = None,
+                qid: str = "qid", qvec: str = "qvec", digits: int = DIST_DIGITS, exact: bool = False) -> DataFrame:
+    """Top-k per query from the ``nprobe`` nearest cells: ``qid, id, distance, rank``.
+
+    ``exact=True`` adds a second pass that makes the result equal to exact search:
+    with unit vectors, cosine distance = |q - x|² / 2, and every row of a cell lies
+    within its radius r of the centroid c, so no row of a cell is closer than
+    (max(0, |q - c| - r))² / 2. Every unprobed cell whose bound is not above the
+    query's k-th distance from the first pass is scanned too."""
+    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"))
+    qb = _query_blocks(q, index.centroids.shape[1])
+    nearest = nearest_cells_udf(index.centroids, nprobe)
+    first = _probe(q.withColumn("cell", F.explode(nearest(F.col("qvec")))), index, k, exclude, qb, digits)
+    top = top_k_per_query(first, k, "distance")
+    if not exact:
+        return top
+    if index.radii is None:
+        raise ValueError("the index has no cell radii; rebuild it for exact search")
+    kth = top.groupBy("qid").agg(F.max("distance").alias("_dk"), F.count(F.lit(1)).alias("_n"))
+    bound = F.when(F.col("_n") >= k, F.col("_dk"))  # fewer than k found: every cell may help
+    extra_cells = bounded_cells_udf(index.centroids, index.radii, nprobe)
+    second = q.join(kth, "qid", "left").withColumn(
+        "cell", F.explode(extra_cells(F.col("qvec"), bound))).select("qid", "qvec", "cell")
+    more = _probe(second, index, k, exclude, qb, digits)
+    return top_k_per_query(top.select("qid", "id", "distance").unionByName(more), k, "distance")
+
+
+def bounded_cells_udf(centroids: np.ndarray, radii: np.ndarray, nprobe: int, margin: float = 2e-6):
+    """Arrow UDF: cells outside a query's ``nprobe`` nearest whose distance bound does not
+    exceed ``kth`` (all of them when ``kth`` is null)."""
+    cents = _unit(np.asarray(centroids, dtype=np.float64))
+    rad = np.asarray(radii, dtype=np.float64)
+    p = min(nprobe, cents.shape[0])
+    ids = np.arange(cents.shape[0])
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def extra(v: pd.Series, kth: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype=object)
+        Q = _unit(np.vstack(v.to_numpy()).astype(np.float64))
+        D = np.round(1.0 - Q @ cents.T, DIST_DIGITS)
+        order = np.lexsort((np.broadcast_to(ids, D.shape), D), axis=1)
+        dist_c = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (Q @ cents.T)))
+        lower = np.maximum(0.0, dist_c - rad[None, :]) ** 2 / 2.0
+        limit = kth.to_numpy(dtype=np.float64, na_value=np.inf)
+        out = []
+        for r in range(Q.shape[0]):
+            keep = lower[r] <= limit[r] + margin
+            keep[order[r, :p]] = False
+            out.append(ids[keep].astype(np.int32))
+        return pd.Series(out)
+
+    return extra
 
 
 def vector_top_k(queries: DataFrame, corpus: DataFrame, index: CellIndex | None, k: int = 10, *,
-                 nprobe: int = 4, exclude: str | None = None) -> tuple[DataFrame, str]:
-    """The path choice of the original: approximate when an index exists, exact otherwise."""
+                 nprobe: int = 4, exclude: str | None = None, exact: bool = False) -> tuple[DataFrame, str]:
+    """The path choice of the original: approximate when an index exists, exact otherwise
+    (``exact=True`` keeps the index but scans every cell that could hold a better row)."""
     if index is None:
         return knn_batch(queries, corpus, k, exclude=exclude), "exact"
-    return cell_search(queries, index, k, nprobe=nprobe, exclude=exclude), "approximate"
+    return (cell_search(queries, index, k, nprobe=nprobe, exclude=exclude, exact=exact),
+            "exact (cells)" if exact else "approximate")
 
 
 def recall_at_k(truth: DataFrame, found: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from lodestar.config import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHUNK_CHARS
 
-# Characters Python's str.strip() removes: ASCII white space, \x1c-\x1f, NEL and
-# the Unicode separators.
+# --- fixed values: the characters Python's str.strip() removes (ASCII white space,
+#     \x1c-\x1f, NEL and the Unicode space separators) ---
+STRIP_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 STRIP_CLASS = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"
 CHUNK_ID_BASE = 100000  # chunk id = doc_id * CHUNK_ID_BASE + chunk_no
 
@@ -24,7 +26,8 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def strip_text(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{STRIP_CLASS}+|{STRIP_CLASS}+$", "")
+    """Python's ``str.strip()``: a character-set trim, no regular expression."""
+    return F.btrim(text, F.lit(STRIP_CHARS))
 
 
 def split_chunks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", keep=("source",),
@@ -35,11 +38,13 @@ def split_chunks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", kee
     short windows are dropped), so ids are stable when one document changes."""
     step = size - overlap
     body = docs.select(F.col(id).alias("doc_id"), *keep, collapse_spaces(F.col(text)).alias("_t"))
-    body = body.where(F.length("_t") > 0)
     n_windows = F.ceil(F.length("_t") / F.lit(step)).cast("int")
-    win = body.select("doc_id", *keep, "_t", F.explode(F.sequence(F.lit(0), n_windows - 1)).alias("chunk_no"))
-    content = strip_text(F.substring(F.col("_t"), F.col("chunk_no") * step + 1, size))
-    out = win.select("doc_id", "chunk_no", *keep, content.alias("content"))
-    out = out.where(F.length("content") >= min_chars)
+    # All windows of a document are cut in one array expression, so the text is not
+    # copied onto every window row; empty texts give no window.
+    windows = F.when(F.length("_t") > 0, F.transform(
+        F.sequence(F.lit(0), n_windows - 1),
+        lambda i: strip_text(F.substring(F.col("_t"), i * step + 1, size)))).otherwise(F.array().cast("array<string>"))
+    out = (body.select("doc_id", *keep, F.posexplode(windows).alias("chunk_no", "content"))
+           .where(F.length("content") >= min_chars))
     return out.select((F.col("doc_id") * F.lit(CHUNK_ID_BASE) + F.col("chunk_no")).cast("long").alias("id"),
                       "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), *keep, "content")

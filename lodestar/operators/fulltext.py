@@ -43,9 +43,11 @@ def build_postings(docs: DataFrame, *, id: str = "id", text: str = "content",
     row per (term, partition) on the wire, not one per occurrence."""
     tok = tokens(docs, id, text, stopwords)
     tf = tok.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    dl = tok.groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
+    # Lengths, document frequencies and the mean length all come from ``tf``, so the
+    # text is tokenised once and its shuffle is reused.
+    dl = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
     n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-    avgdl = tok.select((F.count(F.lit(1)) / F.lit(n_docs)).cast("double")).scalar()
+    avgdl = tf.select((F.sum("tf") / F.lit(n_docs)).cast("double")).scalar()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))

@@ -56,7 +56,7 @@ def knn_half_precision(spark, sf):
     c = corpus(spark, sf).select("id", to_half("embedding").alias("h"))
     q = c.select(F.col("id").alias("qid"), F.col("h").alias("qvec"))
     dims = read_table(spark, sf, "embeddings").select(F.size("embedding")).limit(1).collect()[0][0]
-    return knn_batch(q, c, 10, vec="h", decode=decode_half, dims=dims)
+    return knn_batch(q, c, 10, exclude="self", vec="h", decode=decode_half, dims=dims)
 
 
 @register("noisy_vectors")
@@ -132,3 +132,15 @@ def load_documents_q(spark, sf):
     docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text") \
         .write.mode("overwrite").partitionBy("name").text(path)
     return load_documents(spark, path, "*.txt")
+
+
+@register("ann_exact", """WITH corpus AS (SELECT d.doc_id AS id, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)
+SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM (
+  SELECT q.id AS qid, c.id, round(list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) + 0.0 AS distance
+  FROM corpus q JOIN corpus c ON c.id <> q.id)
+QUALIFY rank <= 10""")
+def ann_exact(spark, sf):
+    """The cell index searched with the exactness pass: equal to exact top-10."""
+    c, idx = _index(spark, sf)
+    found, _ = ann.vector_top_k(corpus_questions(c), c, idx, 10, nprobe=NPROBE, exclude="self", exact=True)
+    return found
