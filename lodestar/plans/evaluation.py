@@ -179,3 +179,17 @@ def run_cost_simple(spark, sf):
     return (per.groupBy(F.concat(F.lit("search_"), F.col("event_type")).alias("procedure_name"))
             .agg(F.sum("calls").alias("runs"), F.round(F.avg("avg_value"), 6).alias("avg_ms"))
             .orderBy(F.col("runs").desc(), "procedure_name").limit(10))
+
+
+@register("questions_csv", f"""WITH {_SCORED}
+SELECT set, question, sources AS source, expected, previous FROM questions""")
+def questions_csv(spark, sf):
+    """The question set written as CSV with a header (quoted, UTF-8) and read back: blank
+    fields come back as empty strings, as a CSV dict reader gives them."""
+    from lodestar.session import scratch_path
+    from lodestar.sources.tables import read_questions_csv
+    questions, _ = _run(spark, sf)
+    path = scratch_path(spark, f"questions_csv_{abs(hash(sf))}")
+    (questions.select("set", "question", F.col("sources").alias("source"), "expected", "previous")
+     .write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path))
+    return read_questions_csv(spark, path)

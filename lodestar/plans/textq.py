@@ -139,3 +139,15 @@ def missing_stopwords_q(spark, sf):
     """Stop-list words that the documents' vocabulary does not hold yet (anti-join)."""
     vocab = chunks(spark, sf).select(F.explode(terms(F.col("content"))).alias("term"))
     return missing_stopwords(spark, vocab)
+
+
+@register("names_case_insensitive", """SELECT 'part' AS source_table, count(DISTINCT p_name) AS names_binary,
+  count(DISTINCT lower(p_name)) AS names_ci FROM part
+UNION ALL SELECT 'customer', count(DISTINCT c_name), count(DISTINCT lower(c_name)) FROM customer""")
+def names_case_insensitive(spark, sf):
+    """Distinct names under binary and case-insensitive collation (``UTF8_LCASE``)."""
+    def counts(table, col):
+        df = read_table(spark, sf, table)
+        return df.agg(F.lit(table).alias("source_table"), F.countDistinct(col).alias("names_binary"),
+                      F.countDistinct(F.collate(F.col(col), "UTF8_LCASE")).alias("names_ci"))
+    return counts("part", "p_name").unionByName(counts("customer", "c_name"))
