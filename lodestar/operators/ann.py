@@ -142,8 +142,10 @@ def _probe(probes: DataFrame, index: CellIndex, k: int, exclude: str | None, qb:
          .withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1)))
          .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
          .drop("nblk"))
-    probed = probes.select("cell").distinct()  # at most the number of cells
-    corpus = (rows.join(F.broadcast(probed), "cell", "left_semi")
+    # The probed cells are at most the number of cells (bounded at build): as a literal
+    # IN list they become a partition filter, so unprobed cell folders are never read.
+    probed = [r["cell"] for r in probes.select("cell").distinct().collect()]
+    corpus = (rows.where(F.col("cell").isin(probed))
               .select("cell", "blk", F.col("id"), F.col("embedding").alias("vec"))
               .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     return block_topk(q, corpus, ["qb", "cell", "blk"], k, exclude, digits)
