@@ -19,7 +19,7 @@ METRICS = ["Right chunk retrieved", "Correct answer", "…of which follow-up que
 
 
 def passage_sources(passages: DataFrame, docs: DataFrame, *, id: str = "item_id", text: str = "text",
-                    doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
+                    doc_id: str = "doc_id", doc_text: str = "text", doc_terms: DataFrame | None = None) -> DataFrame:
     """Questions from passages: expected text = the passage, accepted sources = the documents holding it.
 
     Containment is found without pairing every passage with every document: a
@@ -30,7 +30,11 @@ def passage_sources(passages: DataFrame, docs: DataFrame, *, id: str = "item_id"
     words = passages.select(F.col(id).alias("qid"), F.posexplode(terms(F.col(text))).alias("pos", "term"),
                             F.size(terms(F.col(text))).alias("n"))
     inner = words.where((F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1)).select("qid", "term").distinct()
-    doc_words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(terms(F.col(doc_text)))).alias("term"))
+    if doc_terms is not None:  # ``term, id`` of every word of every document (e.g. term_counts)
+        doc_words = doc_terms.select("term", F.col("id").alias("doc_id"))
+    else:
+        doc_words = docs.select(F.col(doc_id).alias("doc_id"),
+                                F.explode(F.array_distinct(terms(F.col(doc_text)))).alias("term"))
     freq = doc_words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     key = (inner.join(freq, "term").groupBy("qid")
            .agg(F.min_by("term", F.struct("df", "term")).alias("term")))

@@ -35,14 +35,25 @@ def tokens(df: DataFrame, id: str, text: str, stopwords: DataFrame | None) -> Da
     return out
 
 
+def term_counts(docs: DataFrame, *, id: str = "id", text: str = "content", checkpoint: bool = True) -> DataFrame:
+    """``term, id, tf`` for every word (stop words included), tokenised once.
+
+    Partial aggregation runs before the shuffle, so a very common term costs one row
+    per (term, partition) on the wire. The result is checkpointed to the shared
+    checkpoint folder: the index build reads the text once, and lineage is cut."""
+    tf = tokens(docs, id, text, None).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    return tf.checkpoint() if checkpoint else tf
+
+
 def build_postings(docs: DataFrame, *, id: str = "id", text: str = "content",
-                   stopwords: DataFrame | None = None, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Postings with BM25 impact weights.
+                   stopwords: DataFrame | None = None, k1: float = BM25_K1, b: float = BM25_B,
+                   counts: DataFrame | None = None) -> DataFrame:
+    """Postings with BM25 impact weights (stop words left out).
 
-    Partial aggregation runs before each shuffle, so a very common term costs one
-    row per (term, partition) on the wire, not one per occurrence."""
-    tok = tokens(docs, id, text, stopwords)
-    tf = tok.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    ``counts`` may pass ``term_counts`` computed before (e.g. shared with other jobs)."""
+    tf = counts if counts is not None else term_counts(docs, id=id, text=text)
+    if stopwords is not None:
+        tf = tf.join(F.broadcast(stopwords.select("term").distinct()), "term", "left_anti")
     # Lengths, document frequencies and the mean length all come from ``tf``, so the
     # text is tokenised once and its shuffle is reused.
     dl = tf.groupBy("id").agg(F.sum("tf").alias("dl"))

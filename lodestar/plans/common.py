@@ -12,3 +12,15 @@ from lodestar.sources.tables import read_table
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The documents' chunks with their department: ``id, doc_id, chunk_no, source, content, department``."""
     return with_department(split_chunks(read_table(spark, sf, "documents")))
+
+
+_BUILT: dict[tuple, object] = {}
+
+
+def built_once(spark: SparkSession, sf: str, name: str, build):
+    """An index built once per session and data folder, then reused by every query
+    (as a deployment builds its index at ingest and queries it many times)."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]

@@ -11,6 +11,7 @@ from lodestar.operators import fulltext as ft
 from lodestar.operators.chunking import strip_text
 from lodestar.operators.hybrid import search_text as search_text_op
 from lodestar.operators.hybrid import text_ranks
+from lodestar.plans.common import built_once
 from lodestar.plans.registry import register
 from lodestar.plans.sqlparts import POSTINGS, SPLIT, STOP
 from lodestar.sources.tables import read_table
@@ -24,10 +25,13 @@ def _set(qid):
 
 def _run(spark, sf):
     docs = read_table(spark, sf, "documents")
-    questions = ev.passage_sources(read_table(spark, sf, "benchmark"), docs).withColumn("set", _set(F.col("qid")))
     stop = ft.stopword_table(spark)
     corpus = docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("content"))
-    post = ft.build_postings(corpus, stopwords=stop)
+    counts = built_once(spark, sf, "document_term_counts", lambda: ft.term_counts(corpus))
+    post = built_once(spark, sf, "document_postings",
+                      lambda: ft.build_postings(corpus, stopwords=stop, counts=counts).checkpoint())
+    questions = ev.passage_sources(read_table(spark, sf, "benchmark"), docs, doc_terms=counts) \
+        .withColumn("set", _set(F.col("qid")))
     top = text_ranks(questions, post, 5, exclude_self=False, stopwords=stop)
     rows = (top.join(corpus, "id").select("qid", F.col("rank").alias("n"), "id", "source", "content"))
     answers = ev.answers_from_rows(questions, rows)

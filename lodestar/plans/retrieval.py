@@ -8,6 +8,7 @@ from lodestar.operators import fulltext as ft
 from lodestar.operators import hybrid as hy
 from lodestar.operators import knn
 from lodestar.operators.chunking import split_chunks
+from lodestar.plans.common import built_once
 from lodestar.plans.registry import register
 from lodestar.plans.sqlparts import CORPUS, POSTINGS, QTERMS, QUESTIONS, SPLIT, STOP, cos, hybrid_ctes
 from lodestar.sources.tables import corpus, corpus_questions, read_table
@@ -16,7 +17,7 @@ from lodestar.sources.tables import corpus, corpus_questions, read_table
 def _index(spark, sf):
     c = corpus(spark, sf)
     stop = ft.stopword_table(spark)
-    post = ft.build_postings(c, stopwords=stop)
+    post = built_once(spark, sf, "corpus_postings", lambda: ft.build_postings(c, stopwords=stop).checkpoint())
     return c, corpus_questions(c), stop, post
 
 
