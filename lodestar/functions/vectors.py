@@ -56,10 +56,13 @@ def vector_distance(metric: str, a, b) -> Column:
 
 
 def normalize(a) -> Column:
-    """Scale to length 1 (norm2); the result stays ``array<float>``."""
+    """Scale to length 1 (norm2); the result stays ``array<float>``.
+
+    The norm is the fold's accumulator and the division happens in its finish step,
+    so it is computed once per row, not once per element."""
     a = _col(a)
-    n = norm(a)
-    return F.transform(a, lambda x: (x.cast("double") / n).cast("float"))
+    return F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"),
+                       lambda acc: F.transform(a, lambda x: (x.cast("double") / F.sqrt(acc)).cast("float")))
 
 
 def dims(a) -> Column:

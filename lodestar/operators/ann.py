@@ -45,7 +45,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def build_cell_index(corpus: DataFrame, path: str, *, n_cells: int | None = None, min_rows: int = ANN_MIN_ROWS,
-                     seed: int = 7, max_iter: int = 20, id: str = "id", vec: str = "embedding") -> CellIndex | None:
+                     seed: int = 7, max_iter: int = 10, id: str = "id", vec: str = "embedding") -> CellIndex | None:
     """Write the cell index of ``corpus`` (``id, embedding``) under ``path``.
 
     Returns None below ``min_rows`` rows: such a table is searched exactly."""
