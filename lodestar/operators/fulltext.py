@@ -97,3 +97,64 @@ def missing_stopwords(spark: SparkSession, existing: DataFrame, words: str = ICE
     """Words of the list that the stop table does not hold yet (binary comparison)."""
     wanted = stopword_table(spark, words).select("term")
     return wanted.join(existing.select("term").distinct(), "term", "left_anti")
+
+
+def common_df_limit(n_docs: int, share: float = 0.05, low: int = 1000, high: int = 200_000) -> int:
+    """Posting-list length above which a word counts as common (see ``text_top_k``)."""
+    return int(min(high, max(low, round(n_docs * share))))
+
+
+def term_stats(postings: DataFrame) -> DataFrame:
+    """The vocabulary: ``term, df, maxw`` (largest weight of the word in any row); built with the index."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("maxw"))
+
+
+def text_top_k(questions: DataFrame, postings: DataFrame, k: int, *, qid: str = "qid", text: str = "question",
+               stopwords: DataFrame | None = None, exclude_self: bool = False, common_df: int | None = None,
+               digits: int = DIST_DIGITS, stats: DataFrame | None = None) -> DataFrame:
+    """Exact BM25 top-k per question without pairing a question with every row of a common word.
+
+    Words with at most ``common_df`` postings are *rare*: only they produce candidate
+    rows, so each (question, word) expands to a bounded number of rows. Common words
+    are then added for those candidates only (an equi-join on ``(term, id)``). A row
+    that holds none of a question's rare words scores at most U = Σ max weight of its
+    common words; when U is below the question's k-th candidate score the candidates'
+    top-k is the true top-k. Questions where it is not (or with fewer than k
+    candidates) are scored exhaustively — so the result is always exact.
+    Output: ``qid, id, relevance, rank``."""
+    from lodestar.operators.knn import top_k_per_query
+
+    qt = query_terms(questions, qid=qid, text=text, stopwords=stopwords)
+    p = postings.select("term", "id", "weight")
+    stats = stats if stats is not None else term_stats(p)
+    if common_df is None:
+        n = p.select(F.countDistinct("id")).first()[0]
+        common_df = common_df_limit(int(n or 0))
+    qts = qt.join(stats, "term")
+    rare = qts.where(F.col("df") <= common_df).select("qid", "term")
+    common = qts.where(F.col("df") > common_df).select("qid", "term", "maxw")
+
+    def keep(df):
+        return df.where(F.col("qid") != F.col("id")) if exclude_self else df
+
+    # pass 1: candidates from rare words, completed with their common words
+    cand = keep(rare.join(p, "term").groupBy("qid", "id").agg(F.sum("weight").alias("_r")))
+    extra = (cand.select("qid", "id").join(common.select("qid", "term"), "qid")
+             .join(p, ["term", "id"]).groupBy("qid", "id").agg(F.sum("weight").alias("_c")))
+    full = (cand.join(extra, ["qid", "id"], "left")
+            .select("qid", "id", (F.round(F.col("_r") + F.coalesce("_c", F.lit(0.0)), digits) + F.lit(0.0))
+                    .alias("relevance")))
+    top = top_k_per_query(full, k, "relevance", descending=True)
+
+    # which questions the bound does not settle
+    bound = common.groupBy("qid").agg(F.sum("maxw").alias("_u"))
+    kth = top.groupBy("qid").agg(F.min("relevance").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    open_q = (bound.join(kth, "qid", "left")
+              .where(F.col("_n").isNull() | (F.col("_n") < k) | (F.col("_u") + F.lit(10.0 ** -digits) >= F.col("_t")))
+              .select("qid"))
+    settled = top.join(open_q, "qid", "left_anti")
+    # pass 2: exhaustive scoring for the open questions only
+    open_terms = qt.join(open_q, "qid", "left_semi")
+    exhaustive = keep(open_terms.join(p, "term").groupBy("qid", "id").agg(F.sum("weight").alias("_s")))
+    exhaustive = exhaustive.select("qid", "id", (F.round("_s", digits) + F.lit(0.0)).alias("relevance"))
+    return settled.unionByName(top_k_per_query(exhaustive, k, "relevance", descending=True))

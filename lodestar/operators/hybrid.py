@@ -12,17 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.config import MAX_DISTANCE, RRF_CANDIDATES, RRF_K, TOP_K
-from lodestar.operators.fulltext import fulltext_scores
+from lodestar.operators.fulltext import text_top_k
 from lodestar.operators.knn import knn_batch, top_k_per_query
 
 
 def text_ranks(questions: DataFrame, postings: DataFrame, n: int = RRF_CANDIDATES, *,
-               exclude_self: bool = True, stopwords: DataFrame | None = None) -> DataFrame:
-    """Text top-n per question: ``qid, id, relevance, rank``."""
-    scores = fulltext_scores(questions, postings, stopwords=stopwords)
-    if exclude_self:
-        scores = scores.where(F.col("qid") != F.col("id"))
-    return top_k_per_query(scores, n, "relevance", descending=True)
+               exclude_self: bool = True, stopwords: DataFrame | None = None,
+               common_df: int | None = None) -> DataFrame:
+    """Text top-n per question: ``qid, id, relevance, rank`` (exact, common words bounded)."""
+    return text_top_k(questions, postings, n, stopwords=stopwords, exclude_self=exclude_self, common_df=common_df)
 
 
 def vector_ranks(questions: DataFrame, corpus: DataFrame, n: int = RRF_CANDIDATES, *,

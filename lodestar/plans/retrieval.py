@@ -93,6 +93,15 @@ def fulltext_rank(spark, sf):
     return hy.text_ranks(q, post, 20, stopwords=stop).select("qid", "id", "relevance", "rank")
 
 
+@register("fulltext_rank_pruned", f"""WITH {hybrid_ctes()}
+SELECT qid, id, relevance, rank FROM fr""")
+def fulltext_rank_pruned(spark, sf):
+    """The same ranking with a low common-word limit (32 postings): most questions go
+    through the bounded candidate pass, the rest through the exhaustive one."""
+    c, q, stop, post = _index(spark, sf)
+    return ft.text_top_k(q, post, 20, stopwords=stop, exclude_self=True, common_df=32)
+
+
 @register("fulltext_match_count", f"""WITH {CORPUS}, {QUESTIONS}, {STOP}, {POSTINGS}, {QTERMS},
 m AS (SELECT qid, count(DISTINCT id) AS matches FROM qt JOIN post USING (term) GROUP BY qid)
 SELECT q.qid, coalesce(m.matches, 0)::BIGINT AS matches FROM questions q LEFT JOIN m USING (qid)""")

@@ -131,3 +131,16 @@ def test_search_text_falls_back_to_the_question(spark):
     assert got == {1: "And the large one?", 2: "first"}
     rw2 = spark.createDataFrame([(1, " What does the large package cost? ")], "qid long, rewritten string")
     assert hy.search_text(qs, rw2).where("qid = 1").first()["search_query"] == "What does the large package cost?"
+
+
+@pytest.mark.parametrize("common_df", [1, 5, 50, 10**9])
+def test_text_top_k_is_exact_for_any_common_word_limit(spark, indexed, generated_docs, common_df):
+    corpus, stop, post = indexed
+    qs = generated_docs.select(F.col("doc_id").alias("qid"),
+                               F.concat(F.col("text"), F.lit(" kodi007x kodi042x")).alias("question"))
+    full = ft.fulltext_scores(qs, post, stopwords=stop).where("qid <> id")
+    from lodestar.operators.knn import top_k_per_query
+    want = top_k_per_query(full, 5, "relevance", descending=True).select("qid", "id", "relevance", "rank")
+    got = ft.text_top_k(qs, post, 5, stopwords=stop, exclude_self=True, common_df=common_df)
+    got = got.select("qid", "id", "relevance", "rank")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
