@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import vectors as V
@@ -117,5 +116,3 @@ def vector_storage(spark, sf):
                  F.round(f32 / F.lit(1048576.0), 4).cast("double").alias("float32_mb"),
                  F.round(f16 / F.lit(1048576.0), 4).cast("double").alias("float16_mb"))
 
-
-_ = Window

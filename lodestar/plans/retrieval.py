@@ -10,7 +10,7 @@ from lodestar.operators import knn
 from lodestar.operators.chunking import split_chunks
 from lodestar.plans.common import built_once
 from lodestar.plans.registry import register
-from lodestar.plans.sqlparts import CORPUS, POSTINGS, QTERMS, QUESTIONS, SPLIT, STOP, cos, hybrid_ctes
+from lodestar.plans.sqlparts import CORPUS, POSTINGS, QTERMS, QUESTIONS, STOP, cos, hybrid_ctes
 from lodestar.sources.tables import corpus, corpus_questions, read_table
 
 
@@ -167,5 +167,3 @@ FROM c WHERE length(content) >= 20""")
 def chunk_split(spark, sf):
     return split_chunks(read_table(spark, sf, "documents"))
 
-
-_ = (SPLIT,)

@@ -78,7 +78,7 @@ def recall_report(spark, sf):
     qry = spark.read.parquet(f"{base}/queries")
     n_q = qry.count()
     dims = vec.select(F.size("embedding")).limit(1).collect()[0][0]
-    rows, timings = [], []
+    timings = []
 
     def run(method, build_s, df):
         t0 = time.perf_counter()
@@ -99,7 +99,6 @@ def recall_report(spark, sf):
     idx16 = ann.build_cell_index(half_vec.select("id", from_half("embedding").alias("embedding")), f"{base}/cells16")
     b16 = int(round(time.perf_counter() - t0))
     run("cells float16", b16, ann.cell_search(qry.select("qid", from_half("qh").alias("qvec")), idx16, 10, nprobe=NPROBE))
-    _ = rows
     results = spark.read.parquet(*[f"{base}/results/{m}" for m, _, _ in timings])
     t = spark.createDataFrame(timings, "method string, build_seconds int, query_ms double")
     truth = results.where(F.col("method") == "exact float32").select("qid", F.col("id").alias("eid"))

@@ -1,4 +1,3 @@
-import os
 import sys
 import tempfile
 from pathlib import Path
@@ -37,5 +36,3 @@ def generated_docs(spark):
             for i in range(110)]
     return spark.createDataFrame(rows, "doc_id long, source string, text string")
 
-
-_ = os
