@@ -99,8 +99,10 @@ def missing_stopwords(spark: SparkSession, existing: DataFrame, words: str = ICE
     return wanted.join(existing.select("term").distinct(), "term", "left_anti")
 
 
-def common_df_limit(n_docs: int, share: float = 0.05, low: int = 1000, high: int = 200_000) -> int:
-    """Posting-list length above which a word counts as common (see ``text_top_k``)."""
+def common_df_limit(n_docs: int, share: float = 0.05, low: int = 100_000, high: int = 200_000) -> int:
+    """Posting-list length above which a word counts as common (see ``text_top_k``).
+
+    Below ~100k postings per word the plain join is cheaper than the two passes."""
     return int(min(high, max(low, round(n_docs * share))))
 
 
@@ -130,13 +132,19 @@ def text_top_k(questions: DataFrame, postings: DataFrame, k: int, *, qid: str =
     if common_df is None:
         n = p.select(F.countDistinct("id")).first()[0]
         common_df = common_df_limit(int(n or 0))
+    def keep(df):
+        return df.where(F.col("qid") != F.col("id")) if exclude_self else df
+
+    if stats.where(F.col("df") > common_df).limit(1).count() == 0:
+        # No word is common: the plain join is bounded already (and stays lazy).
+        scores = keep(qt.join(p, "term").groupBy("qid", "id").agg(F.sum("weight").alias("_s")))
+        scores = scores.select("qid", "id", (F.round("_s", digits) + F.lit(0.0)).alias("relevance"))
+        return top_k_per_query(scores, k, "relevance", descending=True)
+
     qts = qt.join(stats, "term")
     rare = qts.where(F.col("df") <= common_df).select("qid", "term")
     common = qts.where(F.col("df") > common_df).select("qid", "term", "maxw")
 
-    def keep(df):
-        return df.where(F.col("qid") != F.col("id")) if exclude_self else df
-
     # pass 1: candidates from rare words, completed with their common words
     cand = keep(rare.join(p, "term").groupBy("qid", "id").agg(F.sum("weight").alias("_r")))
     extra = (cand.select("qid", "id").join(common.select("qid", "term"), "qid")
@@ -144,14 +152,17 @@ def text_top_k(questions: DataFrame, postings: DataFrame, k: int, *, qid: str =
     full = (cand.join(extra, ["qid", "id"], "left")
             .select("qid", "id", (F.round(F.col("_r") + F.coalesce("_c", F.lit(0.0)), digits) + F.lit(0.0))
                     .alias("relevance")))
-    top = top_k_per_query(full, k, "relevance", descending=True)
+    # Questions × k rows, read three times below: written once to the shared checkpoint folder.
+    top = top_k_per_query(full, k, "relevance", descending=True).checkpoint()
 
     # which questions the bound does not settle
     bound = common.groupBy("qid").agg(F.sum("maxw").alias("_u"))
     kth = top.groupBy("qid").agg(F.min("relevance").alias("_t"), F.count(F.lit(1)).alias("_n"))
     open_q = (bound.join(kth, "qid", "left")
               .where(F.col("_n").isNull() | (F.col("_n") < k) | (F.col("_u") + F.lit(10.0 ** -digits) >= F.col("_t")))
-              .select("qid"))
+              .select("qid")).checkpoint()
+    if open_q.limit(1).count() == 0:
+        return top
     settled = top.join(open_q, "qid", "left_anti")
     # pass 2: exhaustive scoring for the open questions only
     open_terms = qt.join(open_q, "qid", "left_semi")

@@ -18,9 +18,10 @@ from lodestar.operators.knn import knn_batch, top_k_per_query
 
 def text_ranks(questions: DataFrame, postings: DataFrame, n: int = RRF_CANDIDATES, *,
                exclude_self: bool = True, stopwords: DataFrame | None = None,
-               common_df: int | None = None) -> DataFrame:
+               common_df: int | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Text top-n per question: ``qid, id, relevance, rank`` (exact, common words bounded)."""
-    return text_top_k(questions, postings, n, stopwords=stopwords, exclude_self=exclude_self, common_df=common_df)
+    return text_top_k(questions, postings, n, stopwords=stopwords, exclude_self=exclude_self,
+                      common_df=common_df, stats=stats)
 
 
 def vector_ranks(questions: DataFrame, corpus: DataFrame, n: int = RRF_CANDIDATES, *,
@@ -43,10 +44,10 @@ def fuse(vranks: DataFrame, franks: DataFrame, top_k: int = TOP_K, rrf_k: int =
 
 def hybrid_search(questions: DataFrame, corpus: DataFrame, postings: DataFrame, *, top_k: int = TOP_K,
                   candidates: int = RRF_CANDIDATES, exclude_self: bool = True,
-                  stopwords: DataFrame | None = None) -> DataFrame:
+                  stopwords: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """``qid, rank, id, source, score, closest`` for every question."""
     vr = vector_ranks(questions, corpus, candidates, exclude_self=exclude_self)
-    fr = text_ranks(questions, postings, candidates, exclude_self=exclude_self, stopwords=stopwords)
+    fr = text_ranks(questions, postings, candidates, exclude_self=exclude_self, stopwords=stopwords, stats=stats)
     top = fuse(vr, fr, top_k)
     return top.join(corpus.select("id", "source"), "id").select("qid", "rank", "id", "source", "score", "closest")
 
@@ -61,7 +62,8 @@ def vector_search(questions: DataFrame, corpus: DataFrame, *, top_k: int = TOP_K
 
 def retrieve(questions: DataFrame, corpus: DataFrame, postings: DataFrame | None, mode: str = "hybrid", *,
              top_k: int = TOP_K, max_distance: float = MAX_DISTANCE, candidates: int = RRF_CANDIDATES,
-             exclude_self: bool = True, stopwords: DataFrame | None = None) -> DataFrame:
+             exclude_self: bool = True, stopwords: DataFrame | None = None,
+             stats: DataFrame | None = None) -> DataFrame:
     """Rows to answer each question from, and the mode actually used.
 
     hybrid: all fused rows of a question are kept when its closest row is within
@@ -74,7 +76,7 @@ def retrieve(questions: DataFrame, corpus: DataFrame, postings: DataFrame | None
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "hybrid" and postings is not None:
         rows = hybrid_search(questions, corpus, postings, top_k=top_k, candidates=candidates,
-                             exclude_self=exclude_self, stopwords=stopwords)
+                             exclude_self=exclude_self, stopwords=stopwords, stats=stats)
         rows = rows.where(F.col("closest") <= F.lit(max_distance)).drop("closest")
         used = "hybrid"
     else:

@@ -32,7 +32,8 @@ def _run(spark, sf):
                       lambda: ft.build_postings(corpus, stopwords=stop, counts=counts).checkpoint())
     questions = ev.passage_sources(read_table(spark, sf, "benchmark"), docs, doc_terms=counts) \
         .withColumn("set", _set(F.col("qid")))
-    top = text_ranks(questions, post, 5, exclude_self=False, stopwords=stop)
+    vocab = built_once(spark, sf, "document_vocab", lambda: ft.term_stats(post).checkpoint())
+    top = text_ranks(questions, post, 5, exclude_self=False, stopwords=stop, stats=vocab)
     rows = (top.join(corpus, "id").select("qid", F.col("rank").alias("n"), "id", "source", "content"))
     answers = ev.answers_from_rows(questions, rows)
     return questions, ev.score(questions, rows, answers, MODE)

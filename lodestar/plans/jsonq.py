@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import vectors as V
 from lodestar.operators import jsonops as js
 from lodestar.plans.registry import register
-from lodestar.plans.retrieval import _index
+from lodestar.plans.retrieval import _index, _vocab
 from lodestar.plans.sqlparts import CORPUS, hybrid_ctes
 from lodestar.operators.hybrid import hybrid_search
 from lodestar.operators.halfprec import to_half
@@ -22,7 +22,7 @@ _LOG = """log AS (
 
 def _log(spark, sf):
     c, q, stop, post = _index(spark, sf)
-    return js.answer_log(hybrid_search(q, c, post, stopwords=stop), q)
+    return js.answer_log(hybrid_search(q, c, post, stopwords=stop, stats=_vocab(spark, sf)), q)
 
 
 @register("answer_log_json", f"WITH {hybrid_ctes()}, {_LOG} SELECT id, qid, question, details FROM log")

@@ -21,10 +21,16 @@ def _index(spark, sf):
     return c, corpus_questions(c), stop, post
 
 
+def _vocab(spark, sf):
+    """``term, df, maxw`` of the corpus index, built once with it."""
+    post = _index(spark, sf)[3]
+    return built_once(spark, sf, "corpus_vocab", lambda: ft.term_stats(post).checkpoint())
+
+
 @register("hybrid_rrf", f"WITH {hybrid_ctes()} SELECT * FROM hyb")
 def hybrid_rrf(spark, sf):
     c, q, stop, post = _index(spark, sf)
-    return hy.hybrid_search(q, c, post, stopwords=stop)
+    return hy.hybrid_search(q, c, post, stopwords=stop, stats=_vocab(spark, sf))
 
 
 @register("knn_single", f"""WITH {CORPUS}
@@ -90,7 +96,7 @@ def fulltext_postings(spark, sf):
 SELECT qid, id, relevance, rank FROM fr""")
 def fulltext_rank(spark, sf):
     c, q, stop, post = _index(spark, sf)
-    return hy.text_ranks(q, post, 20, stopwords=stop).select("qid", "id", "relevance", "rank")
+    return hy.text_ranks(q, post, 20, stopwords=stop, stats=_vocab(spark, sf)).select("qid", "id", "relevance", "rank")
 
 
 @register("fulltext_rank_pruned", f"""WITH {hybrid_ctes()}
@@ -119,7 +125,7 @@ FROM (SELECT DISTINCT qid FROM questions) q LEFT JOIN rows r USING (qid)"""
 @register("retrieve_hybrid", _RETRIEVE_SQL.format(ctes=hybrid_ctes(), src="hyb", cut="closest <= 0.52", mode="hybrid"))
 def retrieve_hybrid(spark, sf):
     c, q, stop, post = _index(spark, sf)
-    return hy.retrieve(q, c, post, "hybrid", stopwords=stop)
+    return hy.retrieve(q, c, post, "hybrid", stopwords=stop, stats=_vocab(spark, sf))
 
 
 _VSRC = f"""{CORPUS}, {QUESTIONS},
@@ -142,7 +148,7 @@ SELECT k.qid, 'hybrid' AS mode_used,
 FROM kept k JOIN corpus c ON c.id = k.id GROUP BY k.qid""")
 def passages_q(spark, sf):
     c, q, stop, post = _index(spark, sf)
-    p = hy.passages(hy.retrieve(q, c, post, "hybrid", stopwords=stop), c)
+    p = hy.passages(hy.retrieve(q, c, post, "hybrid", stopwords=stop, stats=_vocab(spark, sf)), c)
     return p.select("qid", "mode_used", F.to_json("passages").alias("passages"))
 
 
@@ -152,7 +158,7 @@ SELECT k.qid, string_agg('[' || k.n || '] (' || k.source || ')' || chr(10) || c.
 FROM kept k JOIN corpus c ON c.id = k.id GROUP BY k.qid""")
 def prompt_context(spark, sf):
     c, q, stop, post = _index(spark, sf)
-    return hy.prompt_context(hy.passages(hy.retrieve(q, c, post, "hybrid", stopwords=stop), c))
+    return hy.prompt_context(hy.passages(hy.retrieve(q, c, post, "hybrid", stopwords=stop, stats=_vocab(spark, sf)), c))
 
 
 _STRIP = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"
