@@ -190,9 +190,9 @@ def nearest_other_source(corpus: DataFrame) -> DataFrame:
     """For each document's first chunk, the document of the closest chunk from a *different* document.
 
     The correlated TOP 1 with ``<>`` is expressed as a batched top-1 with a group exclusion."""
-    w = Window.partitionBy("source").orderBy("id")
-    first = (corpus.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-             .select(F.col("id").alias("qid"), F.col("source").alias("qsource"), F.col("embedding").alias("qvec")))
+    # First chunk per document by aggregation (partial per partition), not a per-document sort.
+    first = (corpus.groupBy("source").agg(F.min_by(F.struct("id", "embedding"), "id").alias("_f"))
+             .select(F.col("_f.id").alias("qid"), F.col("source").alias("qsource"), F.col("_f.embedding").alias("qvec")))
     hits = knn_batch(first, corpus, 1, exclude="group", qgroup="qsource", group="source")
     names = corpus.select(F.col("id"), F.col("source").alias("closest_other_document"))
     return (first.select("qid", F.col("qsource").alias("source"))
@@ -204,12 +204,12 @@ def nearest_other_source(corpus: DataFrame) -> DataFrame:
 def topic_shift(corpus: DataFrame, n: int = 10) -> DataFrame:
     """Distance between each chunk and the previous chunk of the same document; the n largest.
 
-    ``lag`` works on arrays directly, so no self-joins by id are needed."""
-    w = Window.partitionBy("source").orderBy("id")
-    ordered = (corpus.select("source", "id", "embedding")
-               .withColumn("position", F.row_number().over(w).cast("long"))
-               .withColumn("prev", F.lag("embedding").over(w))
-               .where(F.col("prev").isNotNull()))
+    Position and previous vector come from ``sequence_context`` (no self-joins by id, and
+    no window that holds a whole document)."""
+    from lodestar.operators.sequence import sequence_context
+    seq = sequence_context(corpus.select("source", "id", "embedding"), "source", ["id"], ["embedding"], 1)
+    ordered = (seq.where(F.size("history") == 1)
+               .select("source", "position", "embedding", F.col("history")[0]["embedding"].alias("prev")))
     return (ordered.select("source", "position",
                            rounded(cosine_distance("embedding", "prev")).alias("shift_from_previous_chunk"))
             .orderBy(F.col("shift_from_previous_chunk").desc(), "source", "position").limit(n))

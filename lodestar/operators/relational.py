@@ -108,16 +108,18 @@ def same_department_as(owned_by: DataFrame, document: Column | str) -> DataFrame
 
 
 def first_per_group(df: DataFrame, group: str, order: str, value: str, n: int = 4) -> DataFrame:
-    """First ``value`` of each group in ``order``, then the first n groups by that order."""
-    w = Window.partitionBy(group).orderBy(order)
-    firsts = df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    """First ``value`` of each group in ``order``, then the first n groups by that order.
+
+    The first row per group is an aggregate (``min_by``, partial per partition), so a
+    large group is never sorted in one task."""
+    firsts = df.groupBy(group).agg(F.min_by(F.struct(order, value), order).alias("_f")).select(group, "_f.*")
     return firsts.orderBy(order).limit(n).select(group, order, value)
 
 
 def chat_history(messages: DataFrame, n: int = HISTORY_MESSAGES) -> DataFrame:
     """For each message, the n messages before it in its conversation as
-    ``array<struct<role, content>>`` (a bounded frame, per conversation)."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-n, -1)
-    return messages.select("conv_id", "turn", "role",
-                           F.collect_list(F.struct(F.col("role"), F.col("text").alias("content"))).over(w)
-                           .alias("history"))
+    ``array<struct<role, content>>`` (oldest first), also for a conversation with a
+    large share of all messages (``sequence_context``)."""
+    from lodestar.operators.sequence import sequence_context
+    msgs = messages.select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return sequence_context(msgs, "conv_id", ["turn"], ["role", "content"], n).select("conv_id", "turn", "role", "history")

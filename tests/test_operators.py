@@ -87,3 +87,18 @@ def test_update_audit_logs_unchanged_rows_too(spark):
     after = before.withColumn("rating", F.lit(4))
     rows = sorted((r["id"], r["old_value"], r["new_value"]) for r in ch.update_audit(before, after, "id", "rating").collect())
     assert rows == [(1, 4, 4), (2, 5, 4)]
+
+
+def test_sequence_context_matches_windows_with_a_hot_key(spark):
+    from lodestar.operators.sequence import sequence_context
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"),
+                                     F.col("id").alias("t"), (F.col("id") * 7).alias("v"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    got = {(r["k"], r["t"]): (r["position"], [h["v"] for h in r["history"]])
+           for r in sequence_context(df, "k", ["t"], ["v"], 3).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    w = Window.partitionBy("k").orderBy("t")
+    want = {(r["k"], r["t"]): (r["p"], [h["v"] for h in r["h"]]) for r in df.select(
+        "k", "t", F.row_number().over(w).alias("p"),
+        F.collect_list(F.struct("v")).over(w.rowsBetween(-3, -1)).alias("h")).collect()}
+    assert got == want
