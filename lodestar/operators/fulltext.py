@@ -129,13 +129,15 @@ def text_top_k(questions: DataFrame, postings: DataFrame, k: int, *, qid: str =
     qt = query_terms(questions, qid=qid, text=text, stopwords=stopwords)
     p = postings.select("term", "id", "weight")
     stats = stats if stats is not None else term_stats(p)
+    max_df = stats.agg(F.max("df")).first()[0] or 0
     if common_df is None:
-        n = p.select(F.countDistinct("id")).first()[0]
-        common_df = common_df_limit(int(n or 0))
+        # The limit is never below its floor: a vocabulary under it has no common word.
+        floor = common_df_limit(0)
+        common_df = floor if max_df <= floor else common_df_limit(int(p.select(F.countDistinct("id")).first()[0] or 0))
     def keep(df):
         return df.where(F.col("qid") != F.col("id")) if exclude_self else df
 
-    if stats.where(F.col("df") > common_df).limit(1).count() == 0:
+    if max_df <= common_df:
         # No word is common: the plain join is bounded already (and stays lazy).
         scores = keep(qt.join(p, "term").groupBy("qid", "id").agg(F.sum("weight").alias("_s")))
         scores = scores.select("qid", "id", (F.round("_s", digits) + F.lit(0.0)).alias("relevance"))
