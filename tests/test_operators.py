@@ -102,3 +102,26 @@ def test_sequence_context_matches_windows_with_a_hot_key(spark):
         "k", "t", F.row_number().over(w).alias("p"),
         F.collect_list(F.struct("v")).over(w.rowsBetween(-3, -1)).alias("h")).collect()}
     assert got == want
+
+
+def test_ingest_publishes_a_new_version_and_keeps_the_old_one(spark, tmp_path):
+    from lodestar.operators.ingest import ingest_chunks, load_published
+    base = str(tmp_path / "chunks")
+    v1 = spark.createDataFrame([(1, "a.txt", "first version of the text " * 30)], "doc_id long, source string, text string")
+    v2 = spark.createDataFrame([(1, "a.txt", "second version " * 10), (2, "b.txt", "another document here " * 5)],
+                               "doc_id long, source string, text string")
+    p1 = ingest_chunks(v1, base, version="1")
+    assert load_published(spark, base).count() == spark.read.parquet(p1).count() == 2
+    p2 = ingest_chunks(v2, base, version="2")
+    now = load_published(spark, base)
+    assert {r["source"] for r in now.collect()} == {"a.txt", "b.txt"}
+    assert sorted(r["id"] for r in now.collect()) == list(range(1, now.count() + 1))
+    assert spark.read.parquet(p1).count() == 2 and p1 != p2  # the old version is still readable
+
+
+def test_encryption_round_trip_and_wrong_key(spark):
+    from lodestar.operators.secure import decrypt, encrypt
+    key, wrong = F.lit("k" * 32), F.lit("w" * 32)
+    r = spark.range(1).select(encrypt(F.lit("jon@example.is"), key).alias("e")).select(
+        decrypt(F.col("e"), key).alias("ok"), decrypt(F.col("e"), wrong).alias("bad")).first()
+    assert r["ok"] == "jon@example.is" and r["bad"] is None
