@@ -48,12 +48,17 @@ def update_audit(spark, sf):
                         F.col("new_value").alias("new_rating"))
 
 
-@register("version_history", """SELECT user_id, event_type, value, ts AS valid_from,
+@register("version_history", """SELECT *, CASE WHEN valid_to < TIMESTAMP '9999-12-31 23:59:59.999999'
+                                    THEN date_sub('second', valid_from, valid_to) END AS valid_seconds
+FROM (SELECT user_id, event_type, value, ts AS valid_from,
   coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '9999-12-31 23:59:59.999999') AS valid_to
-FROM events""")
+FROM events)""")
 def version_history(spark, sf):
+    """Row history, plus how long each closed version was valid in whole seconds."""
     ev = read_table(spark, sf, "events")
-    return ch.version_history(ev, "user_id", "ts", ["event_type", "value"], tie="event_id")
+    hist = ch.version_history(ev, "user_id", "ts", ["event_type", "value"], tie="event_id")
+    closed = F.col("valid_to") < F.to_timestamp_ntz(F.lit(ch.OPEN_END))
+    return hist.withColumn("valid_seconds", F.when(closed, F.expr("timestampdiff(SECOND, valid_from, valid_to)")))
 
 
 @register("latest_per_key", """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type,
