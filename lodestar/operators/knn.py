@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.config import BLOCK_BYTES, DIST_DIGITS, QUERY_BLOCK_BYTES
+from lodestar.config import BLOCK_BYTES, BROADCAST_QUERY_BYTES, DIST_DIGITS, QUERY_BLOCK_BYTES
 from lodestar.functions.vectors import cosine_distance, rounded
 
 TOPK_SCHEMA = "qid long, id long, distance double"
@@ -127,15 +127,28 @@ def knn_batch(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude: st
               qid: str = "qid", qvec: str = "qvec", id: str = "id", vec: str = "embedding",
               qgroup: str | None = None, group: str | None = None,
               digits: int = DIST_DIGITS, blocks: tuple[int, int] | None = None,
-              decode=None, dims: int | None = None) -> DataFrame:
+              decode=None, dims: int | None = None, strategy: str = "auto") -> DataFrame:
     """Exact cosine top-k for every query: ``qid, id, distance, rank``.
 
     ``exclude="self"`` drops ``id == qid``; ``exclude="group"`` drops rows whose
     ``group`` equals the query's ``qgroup`` (e.g. a different document only).
+
+    ``strategy="auto"`` broadcasts the question matrix when its size is within
+    ``BROADCAST_QUERY_BYTES`` and scans the corpus where it lies (no corpus
+    shuffle); larger question sets use blocks of both sides (``"blocks"``).
     """
     spark = queries.sparkSession
+    n_q = None
+    if strategy in ("auto", "broadcast") and blocks is None:
+        n_q = queries.count()
+        if dims is None:
+            first = corpus.select(F.size(vec).alias("d")).limit(1).collect()
+            dims = first[0]["d"] if first else 1
+        if strategy == "broadcast" or n_q * max(1, dims) * 8 <= BROADCAST_QUERY_BYTES:
+            return _knn_broadcast(queries, corpus, k, exclude, qid, qvec, id, vec, qgroup, group, digits, decode)
     if blocks is None:
-        n_q, n_c = queries.count(), corpus.count()
+        n_q = queries.count() if n_q is None else n_q
+        n_c = corpus.count()
         if dims is None:
             first = corpus.select(F.size(vec).alias("d")).limit(1).collect()
             dims = first[0]["d"] if first else 1
@@ -151,6 +164,66 @@ def knn_batch(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude: st
     return top_k_per_query(local, k, "distance")
 
 
+def _knn_broadcast(queries, corpus, k, exclude, qid, qvec, id, vec, qgroup, group, digits, decode) -> DataFrame:
+    """Questions as a broadcast matrix (size checked by the caller); every corpus partition
+    keeps a running top-k per question over its Arrow batches and emits it once."""
+    spark = queries.sparkSession
+    q, c = _prepare(queries, corpus, exclude, qid, qvec, id, vec, qgroup, group)
+    qpdf = q.toPandas()  # bounded: n_questions × dims × 8 <= BROADCAST_QUERY_BYTES
+    Q = _stack(qpdf["qvec"].to_numpy(), decode) if len(qpdf) else np.zeros((0, 1))
+    payload = {"qid": qpdf["qid"].to_numpy(np.int64), "Q": Q, "qn": np.linalg.norm(Q, axis=1),
+               "qgrp": qpdf["qgrp"].to_numpy() if exclude == "group" else None}
+    bq = spark.sparkContext.broadcast(payload)
+
+    def run(batches):
+        data = bq.value
+        qids, Qm, qn, qgrp = data["qid"], data["Q"], data["qn"], data["qgrp"]
+        nq = len(qids)
+        best_d = np.full((nq, k), np.inf)
+        best_i = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
+        seen = False
+        for pdf in batches:
+            if len(pdf) == 0 or nq == 0:
+                continue
+            seen = True
+            C = _stack(pdf["vec"].to_numpy(), decode)
+            cn = np.linalg.norm(C, axis=1)
+            ids = pdf["id"].to_numpy(np.int64)
+            grp = pdf["grp"].to_numpy() if exclude == "group" else None
+            step = max(1, (8 << 20) // max(1, C.shape[0]))
+            for lo in range(0, nq, step):
+                hi = min(nq, lo + step)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    D = 1.0 - (Qm[lo:hi] @ C.T) / np.outer(qn[lo:hi], cn)
+                D = np.round(D, digits) + 0.0
+                if exclude == "self":
+                    D[qids[lo:hi, None] == ids[None, :]] = np.inf
+                elif exclude == "group":
+                    D[qgrp[lo:hi, None] == grp[None, :]] = np.inf
+                allD = np.concatenate([best_d[lo:hi], D], axis=1)
+                allI = np.concatenate([best_i[lo:hi], np.broadcast_to(ids, D.shape)], axis=1)
+                kth = np.partition(allD, k - 1, axis=1)[:, k - 1]
+                rows, cols = np.nonzero(allD <= kth[:, None])
+                dist, cid = allD[rows, cols], allI[rows, cols]
+                order = np.lexsort((cid, dist, rows))
+                rows, dist, cid = rows[order], dist[order], cid[order]
+                starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+                pos = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+                keep = pos < k
+                nd = np.full((hi - lo, k), np.inf)
+                ni = np.full((hi - lo, k), np.iinfo(np.int64).max, dtype=np.int64)
+                nd[rows[keep], pos[keep]] = dist[keep]
+                ni[rows[keep], pos[keep]] = cid[keep]
+                best_d[lo:hi], best_i[lo:hi] = nd, ni
+        if not seen:
+            return
+        r, j = np.nonzero(np.isfinite(best_d))
+        yield pd.DataFrame({"qid": qids[r], "id": best_i[r, j], "distance": best_d[r, j]})
+
+    local = c.mapInPandas(run, TOPK_SCHEMA)
+    return top_k_per_query(local, k, "distance")
+
+
 def _prepare(queries, corpus, exclude, qid, qvec, id, vec, qgroup, group):
     qcols = [F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec")]
     ccols = [F.col(id).cast("long").alias("id"), F.col(vec).alias("vec")]

@@ -78,3 +78,16 @@ def test_cell_search_recall_floor_at_half_the_cells(spark, tmp_path):
     half = ann.recall_at_k(exact, ann.cell_search(q, idx, 10, nprobe=idx.cells // 2)).first()["recall"]
     full = ann.recall_at_k(exact, ann.cell_search(q, idx, 10, nprobe=idx.cells)).first()["recall"]
     assert half >= 0.8 and full == 1.0
+
+
+@pytest.mark.parametrize("exclude", [None, "self", "group"])
+def test_broadcast_and_block_strategies_agree(spark, exclude):
+    from lodestar.operators.knn import knn_batch
+    from lodestar.sources.tables import corpus
+    c = corpus(spark, SF01)
+    q = c.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"), F.col("source").alias("qsource"))
+    kw = dict(exclude=exclude, qgroup="qsource", group="source")
+    a = knn_batch(q, c, 7, strategy="broadcast", **kw)
+    b = knn_batch(q, c, 7, strategy="blocks", **kw)
+    assert a.count() == 7 * 500
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
