@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.config import ANN_MIN_ROWS, BLOCK_BYTES, DIST_DIGITS, MAX_CENTROID_BYTES, QUERY_BLOCK_BYTES
-from lodestar.operators.knn import block_topk, knn_batch, top_k_per_query
+from lodestar.config import (ANN_MIN_ROWS, BLOCK_BYTES, BROADCAST_QUERY_BYTES, DIST_DIGITS, MAX_CENTROID_BYTES,
+                             QUERY_BLOCK_BYTES)
+from lodestar.operators.knn import TOPK_SCHEMA, _stack, block_topk, knn_batch, merge_topk, top_k_per_query
 
 
 @dataclass
@@ -151,30 +152,99 @@ def _probe(probes: DataFrame, index: CellIndex, k: int, exclude: str | None, qb:
     return block_topk(q, corpus, ["qb", "cell", "blk"], k, exclude, digits)
 
 
+def _probe_broadcast(qc: DataFrame, index: CellIndex, k: int, exclude: str | None, digits: int) -> DataFrame:
+    """Local top-k of questions ``qid, qvec, cells`` broadcast to a scan of the probed cells only.
+
+    Each task groups its rows by cell and scores them against the questions that probe
+    that cell; the index is read in place (no shuffle of its rows)."""
+    spark = qc.sparkSession
+    pdf = qc.toPandas()  # bounded by the caller: questions × dims × 8 <= BROADCAST_QUERY_BYTES
+    if len(pdf) == 0:
+        return spark.createDataFrame([], TOPK_SCHEMA)
+    lens = np.array([len(c) for c in pdf["cells"]], dtype=np.int64)
+    if lens.sum() == 0:
+        return spark.createDataFrame([], TOPK_SCHEMA)
+    flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in pdf["cells"]])
+    owner = np.repeat(np.arange(len(pdf)), lens)
+    order = np.argsort(flat, kind="stable")
+    cells, starts = np.unique(flat[order], return_index=True)
+    groups = np.split(owner[order], starts[1:])
+    Q = _stack(pdf["qvec"].to_numpy(), None)
+    payload = {"qid": pdf["qid"].to_numpy(np.int64), "Q": Q, "qn": np.linalg.norm(Q, axis=1),
+               "by_cell": dict(zip(cells.tolist(), groups))}
+    bq = spark.sparkContext.broadcast(payload)
+    rows = (spark.read.parquet(f"{index.path}/rows").where(F.col("cell").isin(cells.tolist()))
+            .select("cell", "id", F.col("embedding").alias("vec")))
+
+    def run(batches):
+        data = bq.value
+        qids, Qm, qn, by_cell = data["qid"], data["Q"], data["qn"], data["by_cell"]
+        nq = len(qids)
+        best_d = np.full((nq, k), np.inf)
+        best_i = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
+        touched = np.zeros(nq, dtype=bool)
+        for batch in batches:
+            for cell, grp in batch.groupby("cell", sort=False):
+                qi = by_cell.get(int(cell))
+                if qi is None:
+                    continue
+                C = _stack(grp["vec"].to_numpy(), None)
+                cn = np.linalg.norm(C, axis=1)
+                ids = grp["id"].to_numpy(np.int64)
+                step = max(1, (8 << 20) // max(1, C.shape[0]))
+                for lo in range(0, len(qi), step):
+                    sel = qi[lo:lo + step]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        D = 1.0 - (Qm[sel] @ C.T) / np.outer(qn[sel], cn)
+                    D = np.round(D, digits) + 0.0
+                    if exclude == "self":
+                        D[qids[sel, None] == ids[None, :]] = np.inf
+                    best_d[sel], best_i[sel] = merge_topk(best_d[sel], best_i[sel], D, ids, k)
+                    touched[sel] = True
+        r, j = np.nonzero(touched[:, None] & np.isfinite(best_d))
+        if len(r):
+            yield pd.DataFrame({"qid": qids[r], "id": best_i[r, j], "distance": best_d[r, j]})
+
+    return rows.mapInPandas(run, TOPK_SCHEMA)
+
+
 def cell_search(queries: DataFrame, index: CellIndex, k: int = 10, *, nprobe: int = 4, exclude: str | None = None,
-                qid: str = "qid", qvec: str = "qvec", digits: int = DIST_DIGITS, exact: bool = False) -> DataFrame:
+                qid: str = "qid", qvec: str = "qvec", digits: int = DIST_DIGITS, exact: bool = False,
+                strategy: str = "auto") -> DataFrame:
     """Top-k per query from the ``nprobe`` nearest cells: ``qid, id, distance, rank``.
 
     ``exact=True`` adds a second pass that makes the result equal to exact search:
     with unit vectors, cosine distance = |q - x|² / 2, and every row of a cell lies
     within its radius r of the centroid c, so no row of a cell is closer than
     (max(0, |q - c| - r))² / 2. Every unprobed cell whose bound is not above the
-    query's k-th distance from the first pass is scanned too."""
+    query's k-th distance from the first pass is scanned too.
+
+    ``strategy="auto"`` broadcasts the questions with their cells when the question
+    matrix is within ``BROADCAST_QUERY_BYTES`` (the index is scanned in place);
+    otherwise questions and cell blocks meet in a ``cogroup`` (``"blocks"``)."""
     q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"))
-    qb = _query_blocks(q, index.centroids.shape[1])
+    dims = index.centroids.shape[1]
+    n_q = q.count()
+    broadcast = strategy == "broadcast" or (strategy == "auto" and n_q * dims * 8 <= BROADCAST_QUERY_BYTES)
+    qb = 1 if broadcast else _query_blocks(q, dims)
     nearest = nearest_cells_udf(index.centroids, nprobe)
-    first = _probe(q.withColumn("cell", F.explode(nearest(F.col("qvec")))), index, k, exclude, qb, digits)
-    top = top_k_per_query(first, k, "distance")
+
+    def probe(with_cells: DataFrame) -> DataFrame:
+        if broadcast:
+            return _probe_broadcast(with_cells, index, k, exclude, digits)
+        return _probe(with_cells.withColumn("cell", F.explode("cells")).drop("cells"), index, k, exclude, qb, digits)
+
+    top = top_k_per_query(probe(q.withColumn("cells", nearest(F.col("qvec")))), k, "distance")
     if not exact:
         return top
     if index.radii is None:
         raise ValueError("the index has no cell radii; rebuild it for exact search")
+    top = top.checkpoint()  # questions × k rows, read twice below
     kth = top.groupBy("qid").agg(F.max("distance").alias("_dk"), F.count(F.lit(1)).alias("_n"))
     bound = F.when(F.col("_n") >= k, F.col("_dk"))  # fewer than k found: every cell may help
     extra_cells = bounded_cells_udf(index.centroids, index.radii, nprobe)
-    second = q.join(kth, "qid", "left").withColumn(
-        "cell", F.explode(extra_cells(F.col("qvec"), bound))).select("qid", "qvec", "cell")
-    more = _probe(second, index, k, exclude, qb, digits)
+    second = q.join(kth, "qid", "left").withColumn("cells", extra_cells(F.col("qvec"), bound)).select("qid", "qvec", "cells")
+    more = probe(second)
     return top_k_per_query(top.select("qid", "id", "distance").unionByName(more), k, "distance")
 
 

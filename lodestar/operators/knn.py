@@ -164,6 +164,26 @@ def knn_batch(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude: st
     return top_k_per_query(local, k, "distance")
 
 
+def merge_topk(best_d: np.ndarray, best_i: np.ndarray, D: np.ndarray, ids: np.ndarray, k: int):
+    """Running top-k: fold a block of distances ``D`` (rows = questions, columns = ``ids``)
+    into the current best ``k`` per question; ties go to the lower id."""
+    allD = np.concatenate([best_d, D], axis=1)
+    allI = np.concatenate([best_i, np.broadcast_to(ids, D.shape)], axis=1)
+    kth = np.partition(allD, k - 1, axis=1)[:, k - 1]
+    rows, cols = np.nonzero(allD <= kth[:, None])
+    dist, cid = allD[rows, cols], allI[rows, cols]
+    order = np.lexsort((cid, dist, rows))
+    rows, dist, cid = rows[order], dist[order], cid[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+    pos = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+    keep = pos < k
+    nd = np.full(best_d.shape, np.inf)
+    ni = np.full(best_i.shape, np.iinfo(np.int64).max, dtype=np.int64)
+    nd[rows[keep], pos[keep]] = dist[keep]
+    ni[rows[keep], pos[keep]] = cid[keep]
+    return nd, ni
+
+
 def _knn_broadcast(queries, corpus, k, exclude, qid, qvec, id, vec, qgroup, group, digits, decode) -> DataFrame:
     """Questions as a broadcast matrix (size checked by the caller); every corpus partition
     keeps a running top-k per question over its Arrow batches and emits it once."""
@@ -200,20 +220,7 @@ def _knn_broadcast(queries, corpus, k, exclude, qid, qvec, id, vec, qgroup, grou
                     D[qids[lo:hi, None] == ids[None, :]] = np.inf
                 elif exclude == "group":
                     D[qgrp[lo:hi, None] == grp[None, :]] = np.inf
-                allD = np.concatenate([best_d[lo:hi], D], axis=1)
-                allI = np.concatenate([best_i[lo:hi], np.broadcast_to(ids, D.shape)], axis=1)
-                kth = np.partition(allD, k - 1, axis=1)[:, k - 1]
-                rows, cols = np.nonzero(allD <= kth[:, None])
-                dist, cid = allD[rows, cols], allI[rows, cols]
-                order = np.lexsort((cid, dist, rows))
-                rows, dist, cid = rows[order], dist[order], cid[order]
-                starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-                pos = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-                keep = pos < k
-                nd = np.full((hi - lo, k), np.inf)
-                ni = np.full((hi - lo, k), np.iinfo(np.int64).max, dtype=np.int64)
-                nd[rows[keep], pos[keep]] = dist[keep]
-                ni[rows[keep], pos[keep]] = cid[keep]
+                nd, ni = merge_topk(best_d[lo:hi], best_i[lo:hi], D, ids, k)
                 best_d[lo:hi], best_i[lo:hi] = nd, ni
         if not seen:
             return

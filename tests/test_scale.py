@@ -91,3 +91,15 @@ def test_broadcast_and_block_strategies_agree(spark, exclude):
     b = knn_batch(q, c, 7, strategy="blocks", **kw)
     assert a.count() == 7 * 500
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_cell_search_strategies_agree(spark, tmp_path, exact):
+    from lodestar.operators import ann
+    from lodestar.sources.tables import corpus, corpus_questions
+    c = corpus(spark, SF01)
+    q = corpus_questions(c)
+    idx = ann.build_cell_index(c, str(tmp_path / "cells"))
+    a = ann.cell_search(q, idx, 10, nprobe=3, exclude="self", exact=exact, strategy="broadcast")
+    b = ann.cell_search(q, idx, 10, nprobe=3, exclude="self", exact=exact, strategy="blocks")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
