@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.config import (ANN_MIN_ROWS, BLOCK_BYTES, BROADCAST_QUERY_BYTES, DIST_DIGITS, MAX_CENTROID_BYTES,
-                             QUERY_BLOCK_BYTES)
-from lodestar.operators.knn import TOPK_SCHEMA, _stack, block_topk, knn_batch, merge_topk, top_k_per_query
+from lodestar.config import ANN_MIN_ROWS, BLOCK_BYTES, DIST_DIGITS, MAX_CENTROID_BYTES, QUERY_BLOCK_BYTES
+from lodestar.operators.knn import (TOPK_SCHEMA, _stack, block_topk, fits_broadcast, knn_batch, merge_topk,
+                                   top_k_per_query)
 
 
 @dataclass
@@ -224,8 +224,7 @@ def cell_search(queries: DataFrame, index: CellIndex, k: int = 10, *, nprobe: in
     otherwise questions and cell blocks meet in a ``cogroup`` (``"blocks"``)."""
     q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"))
     dims = index.centroids.shape[1]
-    n_q = q.count()
-    broadcast = strategy == "broadcast" or (strategy == "auto" and n_q * dims * 8 <= BROADCAST_QUERY_BYTES)
+    broadcast = strategy == "broadcast" or (strategy == "auto" and fits_broadcast(q, dims))
     qb = 1 if broadcast else _query_blocks(q, dims)
     nearest = nearest_cells_udf(index.centroids, nprobe)
 

@@ -138,16 +138,14 @@ def knn_batch(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude: st
     shuffle); larger question sets use blocks of both sides (``"blocks"``).
     """
     spark = queries.sparkSession
-    n_q = None
     if strategy in ("auto", "broadcast") and blocks is None:
-        n_q = queries.count()
         if dims is None:
             first = corpus.select(F.size(vec).alias("d")).limit(1).collect()
             dims = first[0]["d"] if first else 1
-        if strategy == "broadcast" or n_q * max(1, dims) * 8 <= BROADCAST_QUERY_BYTES:
+        if strategy == "broadcast" or fits_broadcast(queries, dims):
             return _knn_broadcast(queries, corpus, k, exclude, qid, qvec, id, vec, qgroup, group, digits, decode)
     if blocks is None:
-        n_q = queries.count() if n_q is None else n_q
+        n_q = queries.count()
         n_c = corpus.count()
         if dims is None:
             first = corpus.select(F.size(vec).alias("d")).limit(1).collect()
@@ -184,6 +182,12 @@ def merge_topk(best_d: np.ndarray, best_i: np.ndarray, D: np.ndarray, ids: np.nd
     return nd, ni
 
 
+def fits_broadcast(queries: DataFrame, dims: int, budget: int = BROADCAST_QUERY_BYTES) -> bool:
+    """Whether the question matrix is within ``budget`` bytes; reads at most one row past it."""
+    cap = max(1, budget // (max(1, dims) * 8))
+    return queries.limit(cap + 1).count() <= cap
+
+
 def _knn_broadcast(queries, corpus, k, exclude, qid, qvec, id, vec, qgroup, group, digits, decode) -> DataFrame:
     """Questions as a broadcast matrix (size checked by the caller); every corpus partition
     keeps a running top-k per question over its Arrow batches and emits it once."""
