@@ -111,6 +111,7 @@ def search_text(questions: DataFrame, rewrites: DataFrame) -> DataFrame:
     """What to search for: the rewritten follow-up when it is not blank, else the question.
 
     ``rewrites`` has ``qid, rewritten``; questions without a row keep their own text."""
+    from lodestar.operators.chunking import strip_text
     joined = questions.join(rewrites, "qid", "left")
-    text = F.coalesce(F.nullif(F.trim(F.col("rewritten")), F.lit("")), F.col("question"))
+    text = F.coalesce(F.nullif(strip_text(F.col("rewritten")), F.lit("")), F.col("question"))
     return joined.select("qid", "question", text.alias("search_query"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lodestar.config import NOT_FOUND, NUMBER_WORDS
 from lodestar.operators import evaluate as ev
 from lodestar.operators import fulltext as ft
-from lodestar.operators.chunking import strip_text
 from lodestar.operators.hybrid import search_text as search_text_op
 from lodestar.operators.hybrid import text_ranks
 from lodestar.plans.common import built_once
@@ -144,8 +143,7 @@ def search_text(spark, sf):
                                            F.col("text").alias("question"))
     rw = conv.where("role = 'system'").select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("qid"),
                                               F.col("text").alias("rewritten"))
-    out = search_text_op(q, rw.withColumn("rewritten", strip_text(F.col("rewritten"))))
-    return out
+    return search_text_op(q, rw)
 
 
 _PROC = """CASE WHEN e.props LIKE '{"k": 9_}' THEN 'search_ann' ELSE 'search_' || e.event_type END"""
