@@ -18,9 +18,9 @@ from lodestar.operators.fulltext import terms
 METRICS = ["Right chunk retrieved", "Correct answer", "…of which follow-up questions", "Off-topic refused"]
 
 
-def passage_sources(passages: DataFrame, docs: DataFrame, *, id: str = "item_id", text: str = "text",
-                    doc_id: str = "doc_id", doc_text: str = "text", doc_terms: DataFrame | None = None) -> DataFrame:
-    """Questions from passages: expected text = the passage, accepted sources = the documents holding it.
+def accepted_sources(passages: DataFrame, docs: DataFrame, *, id: str = "item_id", text: str = "text",
+                     doc_id: str = "doc_id", doc_text: str = "text", doc_terms: DataFrame | None = None) -> DataFrame:
+    """``qid, doc_id``: the documents that contain each passage.
 
     Containment is found without pairing every passage with every document: a
     document that holds the passage holds each of its inner words as a whole word,
@@ -39,17 +39,37 @@ def passage_sources(passages: DataFrame, docs: DataFrame, *, id: str = "item_id"
     key = (inner.join(freq, "term").groupBy("qid")
            .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
     cand = key.join(doc_words, "term").select("qid", "doc_id")
-    found = (cand.join(passages.select(F.col(id).alias("qid"), F.col(text).alias("_p")), "qid")
-             .join(docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("_d")), "doc_id")
-             .where(F.instr("_d", F.col("_p")) > 0)
-             .groupBy("qid").agg(F.array_join(F.sort_array(F.collect_set(F.col("doc_id").cast("string"))), "|")
-                                 .alias("sources")))
+    return (cand.join(passages.select(F.col(id).alias("qid"), F.col(text).alias("_p")), "qid")
+            .join(docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("_d")), "doc_id")
+            .where(F.instr("_d", F.col("_p")) > 0)
+            .select("qid", "doc_id").distinct())
+
+
+def passage_questions(passages: DataFrame, accepted: DataFrame, *, id: str = "item_id", text: str = "text") -> DataFrame:
+    """Questions from passages: expected text = the passage; ``answerable`` when some document holds it."""
+    found = accepted.select("qid").distinct().withColumn("answerable", F.lit(True))
     return (passages.select(F.col(id).alias("qid"), F.col(text).alias("question"), F.col(text).alias("expected"))
             .join(found, "qid", "left")
-            .select("qid", "question", "expected", F.coalesce("sources", F.lit("")).alias("sources"),
+            .select("qid", "question", "expected", F.coalesce("answerable", F.lit(False)).alias("answerable"),
                     F.lit("").alias("previous")))
 
 
+def sources_text(questions: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The CSV form of the key: accepted documents as one ``a|b|c`` string per question.
+
+    Only for writing the question file, whose format holds the list in one field."""
+    lists = (accepted.groupBy("qid")
+             .agg(F.array_join(F.sort_array(F.collect_set(F.col("doc_id").cast("string"))), "|").alias("sources")))
+    return questions.join(lists, "qid", "left").withColumn("sources", F.coalesce("sources", F.lit("")))
+
+
+def passage_sources(passages: DataFrame, docs: DataFrame, **kw) -> DataFrame:
+    """Questions with their ``sources`` string (see ``sources_text``)."""
+    acc = accepted_sources(passages, docs, **kw)
+    names = {k: kw[k] for k in ("id", "text") if k in kw}
+    return sources_text(passage_questions(passages, acc, **names), acc).drop("answerable")
+
+
 def answers_from_rows(questions: DataFrame, rows: DataFrame) -> DataFrame:
     """Answer text per question: the numbered passages (``[n] (source)\\ncontent``), or the
     refusal text when nothing was retrieved."""
@@ -60,18 +80,28 @@ def answers_from_rows(questions: DataFrame, rows: DataFrame) -> DataFrame:
             .select("qid", F.coalesce("answer", F.lit(NOT_FOUND)).alias("answer")))
 
 
-def score(questions: DataFrame, rows: DataFrame, answers: DataFrame, mode: str, mode_used: str | None = None) -> DataFrame:
+def score(questions: DataFrame, rows: DataFrame, answers: DataFrame, mode: str, mode_used: str | None = None,
+          accepted: DataFrame | None = None) -> DataFrame:
     """Per question: ``hit`` (a retrieved row from an accepted source holds the key text),
-    ``correct`` (the answer holds it), ``refused`` (the answer cites nothing)."""
-    q = questions.select("qid", "set", "expected", "sources", "previous")
-    hits = (rows.join(q.select("qid", "expected", "sources"), "qid")
-            .where(F.array_contains(F.split("sources", r"\|", -1), F.col("id").cast("string")))
+    ``correct`` (the answer holds it), ``refused`` (the answer cites nothing).
+
+    Accepted sources come as ``accepted`` pairs ``qid, doc_id`` (a semi-join, any number of
+    documents per question) or, for a question file, from its ``sources`` string."""
+    if accepted is not None:
+        q = questions.select("qid", "set", "expected", "answerable", "previous")
+        from_accepted = rows.join(accepted.select("qid", F.col("doc_id").alias("id")), ["qid", "id"], "left_semi")
+    else:
+        q = questions.select("qid", "set", "expected", (F.col("sources") != "").alias("answerable"), "previous",
+                             "sources")
+        from_accepted = (rows.join(q.select("qid", "sources"), "qid")
+                         .where(F.array_contains(F.split("sources", r"\|", -1), F.col("id").cast("string"))))
+    hits = (from_accepted.join(q.select("qid", "expected"), "qid")
             .where(contains_expected(F.col("content"), F.col("expected")))
             .select("qid").distinct().withColumn("hit", F.lit(True)))
     out = q.join(answers, "qid", "left").join(hits, "qid", "left")
     return out.select(
         "qid", "set", F.lit(mode).alias("mode"), F.lit(mode_used or mode).alias("mode_used"),
-        (F.col("sources") != "").alias("answerable"), (F.col("previous") != "").alias("followup"),
+        F.col("answerable"), (F.col("previous") != "").alias("followup"),
         F.coalesce("hit", F.lit(False)).alias("hit"),
         contains_expected(F.col("answer"), F.col("expected")).alias("correct"),
         (F.instr("answer", "[") == 0).alias("refused"))

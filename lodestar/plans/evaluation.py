@@ -29,13 +29,14 @@ def _run(spark, sf):
     counts = built_once(spark, sf, "document_term_counts", lambda: ft.term_counts(corpus))
     post = built_once(spark, sf, "document_postings",
                       lambda: ft.build_postings(corpus, stopwords=stop, counts=counts).checkpoint())
-    questions = ev.passage_sources(read_table(spark, sf, "benchmark"), docs, doc_terms=counts) \
-        .withColumn("set", _set(F.col("qid")))
+    bench = read_table(spark, sf, "benchmark")
+    accepted = ev.accepted_sources(bench, docs, doc_terms=counts)
+    questions = ev.passage_questions(bench, accepted).withColumn("set", _set(F.col("qid")))
     vocab = built_once(spark, sf, "document_vocab", lambda: ft.term_stats(post).checkpoint())
     top = text_ranks(questions, post, 5, exclude_self=False, stopwords=stop, stats=vocab)
     rows = (top.join(corpus, "id").select("qid", F.col("rank").alias("n"), "id", "source", "content"))
     answers = ev.answers_from_rows(questions, rows)
-    return questions, ev.score(questions, rows, answers, MODE)
+    return questions, ev.score(questions, rows, answers, MODE, accepted=accepted), accepted
 
 
 # --- oracle SQL -----------------------------------------------------------------------
@@ -95,13 +96,13 @@ _RATIOS = f"""r AS (SELECT set, mode, {_ratio_sql('retrieved', 'n_answerable')}
 
 @register("eval_retrieval", f"WITH {_SCORED} SELECT * FROM m")
 def eval_retrieval(spark, sf):
-    _, scored = _run(spark, sf)
+    _, scored, _ = _run(spark, sf)
     return ev.metrics(scored)
 
 
 @register("eval_answers", f"WITH {_SCORED}, {_RATIOS} SELECT * FROM r")
 def eval_answers(spark, sf):
-    _, scored = _run(spark, sf)
+    _, scored, _ = _run(spark, sf)
     return ev.ratios(ev.metrics(scored))
 
 
@@ -112,7 +113,7 @@ long AS (SELECT set, 'Right chunk retrieved' AS metric, mode, right_chunk AS val
          UNION ALL SELECT set, 'Off-topic refused', mode, off_topic_refused FROM r)
 SELECT set, metric, first(value) FILTER (WHERE mode = '{MODE}') AS "{MODE}" FROM long GROUP BY set, metric""")
 def eval_table(spark, sf):
-    _, scored = _run(spark, sf)
+    _, scored, _ = _run(spark, sf)
     return ev.table(ev.ratios(ev.metrics(scored)), [MODE])
 
 
@@ -124,7 +125,7 @@ SELECT set, mode, qid, kind FROM (
   UNION ALL SELECT set, mode, qid, CASE WHEN NOT answerable AND NOT refused THEN 'answered off-topic' END FROM scored)
 WHERE kind IS NOT NULL""")
 def eval_failures(spark, sf):
-    questions, scored = _run(spark, sf)
+    questions, scored, _ = _run(spark, sf)
     return ev.failures(scored, questions)
 
 
@@ -191,7 +192,8 @@ def questions_csv(spark, sf):
     fields come back as empty strings, as a CSV dict reader gives them."""
     from lodestar.session import scratch_path
     from lodestar.sources.tables import read_questions_csv
-    questions, _ = _run(spark, sf)
+    questions, _, accepted = _run(spark, sf)
+    questions = ev.sources_text(questions, accepted)
     path = scratch_path(spark, f"questions_csv_{abs(hash(sf))}")
     (questions.select("set", "question", F.col("sources").alias("source"), "expected", "previous")
      .write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path))
