@@ -29,7 +29,8 @@ def document_stats(chunks: DataFrame) -> DataFrame:
 
 
 def rank_desc(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """``RANK() OVER (ORDER BY value DESC)`` without a single-partition window over all rows.
+    """``RANK() OVER (ORDER BY value DESC)`` without a single-partition window over all rows,
+    for a value with few distinct values (such as chunk counts).
 
     Rank = 1 + rows with a larger value. The rows per distinct value are counted
     first (partial aggregation), the running count runs over the distinct values
@@ -41,11 +42,11 @@ def rank_desc(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
 
 
 def running_totals(stats: DataFrame) -> DataFrame:
-    """Running chunk total per department in source order (explicit ROWS frame) and size rank."""
-    w = (Window.partitionBy("department").orderBy("source")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = stats.select("department", "source", "chunks",
-                       F.sum("chunks").over(w).alias("running_total_in_department"))
+    """Running chunk total per department in source order (ROWS UNBOUNDED PRECEDING) and size rank;
+    a department owning most documents is still spread over many tasks (``running_total``)."""
+    from lodestar.operators.sequence import running_total
+    out = running_total(stats.select("department", "source", "chunks"), "department", ["source"], "chunks",
+                        "running_total_in_department")
     return rank_desc(out, "chunks", "size_rank")
 
 

@@ -47,3 +47,15 @@ def sequence_context(df: DataFrame, key: str, order: list[str], carry: list[str]
     hist = F.when(F.col("_lp") > n_prev, F.col("_lh")).otherwise(
         _last(F.concat(F.col("_carry"), F.col("_lh")), n_prev))
     return out.select(*df.columns, (F.col("_off") + F.col("_lp")).cast("long").alias(position), hist.alias(history))
+
+
+def running_total(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
+    """``SUM(value) OVER (PARTITION BY key ORDER BY order ROWS UNBOUNDED PRECEDING)`` for keys of any size:
+    a running sum inside each range partition plus the sums of the key's earlier segments."""
+    parted = df.repartitionByRange(key, *order).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = parted.withColumn("_ls", F.sum(value).over(w))
+    seg = parted.groupBy("_pid", key).agg(F.sum(value).alias("_s"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.select("_pid", key, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    return local.join(seg, ["_pid", key]).select(*df.columns, (F.col("_off") + F.col("_ls")).alias(out))

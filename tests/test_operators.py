@@ -125,3 +125,15 @@ def test_encryption_round_trip_and_wrong_key(spark):
     r = spark.range(1).select(encrypt(F.lit("jon@example.is"), key).alias("e")).select(
         decrypt(F.col("e"), key).alias("ok"), decrypt(F.col("e"), wrong).alias("bad")).first()
     assert r["ok"] == "jon@example.is" and r["bad"] is None
+
+
+def test_running_total_matches_the_window_with_a_hot_key(spark):
+    from lodestar.operators.sequence import running_total
+    df = spark.range(0, 2000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 25).alias("k"),
+                                     F.col("id").alias("t"), (F.col("id") % 7).alias("v"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    got = {(r["k"], r["t"]): r["rt"] for r in running_total(df, "k", ["t"], "v", "rt").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    want = {(r["k"], r["t"]): r["rt"] for r in df.withColumn("rt", F.sum("v").over(w)).collect()}
+    assert got == want
