@@ -82,12 +82,24 @@ def fulltext_scores(questions: DataFrame, postings: DataFrame, *, qid: str = "qi
             .withColumn("relevance", F.round("relevance", digits) + F.lit(0.0)))
 
 
+def term_bitmaps(postings: DataFrame) -> DataFrame:
+    """Each word's rows as bitmaps: ``term, bucket, bm`` (32,768 row ids per bucket)."""
+    return (postings.select("term", F.bitmap_bucket_number("id").alias("bucket"),
+                            F.bitmap_bit_position("id").alias("pos"))
+            .groupBy("term", "bucket").agg(F.bitmap_construct_agg("pos").alias("bm")))
+
+
 def match_count(questions: DataFrame, postings: DataFrame, *, qid: str = "qid", text: str = "question",
-                stopwords: DataFrame | None = None) -> DataFrame:
-    """How many rows match any word of each question (0 when all its words are stop words)."""
+                stopwords: DataFrame | None = None, bitmaps: DataFrame | None = None) -> DataFrame:
+    """How many rows match any word of each question (0 when all its words are stop words).
+
+    Exact, without listing (question, row) pairs: the bitmaps of a question's words are
+    OR-ed per bucket and their bits counted, so a word found in every row costs one
+    row per 32,768 rows."""
     qt = query_terms(questions, qid=qid, text=text, stopwords=stopwords)
-    matched = qt.join(postings.select("term", "id"), "term").select("qid", "id").distinct()
-    counts = matched.groupBy("qid").agg(F.count(F.lit(1)).alias("matches"))
+    bm = bitmaps if bitmaps is not None else term_bitmaps(postings)
+    per_bucket = qt.join(bm, "term").groupBy("qid", "bucket").agg(F.bitmap_or_agg("bm").alias("bm"))
+    counts = per_bucket.groupBy("qid").agg(F.sum(F.bitmap_count("bm")).alias("matches"))
     return (questions.select(F.col(qid).alias("qid")).distinct()
             .join(counts, "qid", "left")
             .select("qid", F.coalesce("matches", F.lit(0)).cast("long").alias("matches")))
