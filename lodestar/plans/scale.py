@@ -143,3 +143,29 @@ def ann_exact(spark, sf):
     c, idx = _index(spark, sf)
     found, _ = ann.vector_top_k(corpus_questions(c), c, idx, 10, nprobe=NPROBE, exclude="self", exact=True)
     return found
+
+
+@register("recall_report_exact", """WITH corpus AS (SELECT d.doc_id AS id, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+truth AS (SELECT qid, id FROM (
+  SELECT q.id AS qid, c.id, round(list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) + 0.0 AS distance
+  FROM corpus q JOIN corpus c ON c.id <> q.id)
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, id) <= 10),
+results AS (SELECT 'exact float32' AS method, qid, id FROM truth UNION ALL SELECT 'cells exact float32', qid, id FROM truth),
+methods AS (SELECT DISTINCT method FROM results)
+SELECT m.method, round(100.0 * count(e.id) / (SELECT count(*) FROM truth), 1)::DOUBLE AS recall_pct
+FROM methods m LEFT JOIN results r ON r.method = m.method
+LEFT JOIN truth e ON e.qid = r.qid AND e.id = r.id
+GROUP BY m.method""")
+def recall_report_exact(spark, sf):
+    """Recall@10 against exact float32 of the two exact methods: brute force and the cell
+    index with its exactness pass (both 100%)."""
+    c, idx = _index(spark, sf)
+    q = corpus_questions(c)
+    exact = knn_batch(q, c, 10, exclude="self").select(F.lit("exact float32").alias("method"), "qid", "id")
+    cells, _ = ann.vector_top_k(q, c, idx, 10, nprobe=NPROBE, exclude="self", exact=True)
+    results = exact.unionByName(cells.select(F.lit("cells exact float32").alias("method"), "qid", "id"))
+    truth = exact.select("qid", F.col("id").alias("eid"))
+    total = truth.select(F.count(F.lit(1))).scalar()
+    hit = results.join(truth, (results["qid"] == truth["qid"]) & (results["id"] == truth["eid"]), "left")
+    return (hit.groupBy("method").agg(F.count("eid").alias("_found"))
+            .select("method", F.round(F.lit(100.0) * F.col("_found") / total, 1).cast("double").alias("recall_pct")))
