@@ -46,10 +46,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def build_cell_index(corpus: DataFrame, path: str, *, n_cells: int | None = None, min_rows: int = ANN_MIN_ROWS,
-                     seed: int = 7, max_iter: int = 10, id: str = "id", vec: str = "embedding") -> CellIndex | None:
+                     seed: int = 7, max_iter: int = 10, id: str = "id", vec: str = "embedding",
+                     train_rows: int = 1_000_000) -> CellIndex | None:
     """Write the cell index of ``corpus`` (``id, embedding``) under ``path``.
 
-    Returns None below ``min_rows`` rows: such a table is searched exactly."""
+    Returns None below ``min_rows`` rows: such a table is searched exactly. Centroids are
+    trained on all rows up to ``train_rows`` and on a seeded sample of about that many
+    beyond it (each KMeans iteration is a pass over its input); every row is then
+    assigned to its nearest centroid, so every row is indexed."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -64,7 +68,8 @@ def build_cell_index(corpus: DataFrame, path: str, *, n_cells: int | None = None
         raise ValueError(f"{k} cells × {dims} numbers exceed the centroid budget of {MAX_CENTROID_BYTES} bytes")
     feats = corpus.select(F.col(id).cast("long").alias("id"), F.col(vec).alias("embedding"),
                           array_to_vector(F.col(vec)).alias("features"))
-    model = KMeans(k=k, distanceMeasure="cosine", seed=seed, maxIter=max_iter).fit(feats)
+    train = feats if n <= train_rows else feats.sample(fraction=min(1.0, train_rows / n), seed=seed)
+    model = KMeans(k=k, distanceMeasure="cosine", seed=seed, maxIter=max_iter).fit(train)
     centroids = _unit(np.array(model.clusterCenters(), dtype=np.float64))
     assigned = model.transform(feats).select("id", "embedding", F.col("prediction").cast("int").alias("cell"))
     crows = int(min(65536, max(1024, BLOCK_BYTES // max(1, dims * 8))))
