@@ -51,7 +51,17 @@ def ann_recall(spark, sf):
     return ann.recall_at_k(exact, found)
 
 
-@register("knn_half_precision")
+# float16 round-to-nearest-even of a float32 number, written out for the SQL oracle:
+# quantum 2^(floor(log2|x|) - 10) for normal numbers, 2^-24 below 2^-14.
+_HALF = ("CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round_even(x::DOUBLE / pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10), 0)"
+         " * pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10) END")
+
+
+@register("knn_half_precision", f"""WITH corpus AS (SELECT d.doc_id AS id, list_transform(e.embedding, lambda x: {_HALF}) AS h
+                FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)
+SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM (
+  SELECT q.id AS qid, c.id, round(list_cosine_distance(q.h, c.h), 6) + 0.0 AS distance FROM corpus q JOIN corpus c ON c.id <> q.id)
+QUALIFY rank <= 10""")
 def knn_half_precision(spark, sf):
     c = corpus(spark, sf).select("id", to_half("embedding").alias("h"))
     q = c.select(F.col("id").alias("qid"), F.col("h").alias("qvec"))
