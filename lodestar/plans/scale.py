@@ -133,14 +133,16 @@ def embed_dedup(spark, sf):
     return embed_distinct(conv.select("conv_id", "turn", F.col("text").alias("question")), "question", "qvec")
 
 
-@register("load_documents")
+@register("load_documents", """SELECT 'doc' || doc_id AS source, text || chr(10) AS text, (strlen(text) + 1)::BIGINT AS bytes
+FROM documents""")
 def load_documents_q(spark, sf):
-    """The documents written out as one text file each, read back as a folder of files."""
+    """The documents written out as one text file each (a folder per document name), read
+    back as a folder of files; the text writer ends each file with a newline."""
     path = scratch_path(spark, f"docs_folder_{abs(hash(sf))}")
     docs = read_table(spark, sf, "documents")
     docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text") \
         .write.mode("overwrite").partitionBy("name").text(path)
-    return load_documents(spark, path, "*.txt")
+    return load_documents(spark, path, "*.txt", name_column="name")
 
 
 @register("ann_exact", """WITH corpus AS (SELECT d.doc_id AS id, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)

@@ -58,12 +58,15 @@ def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_sources(bench, docs)
 
 
-def load_documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """A folder of text files as documents: ``source`` is the file name
-    (``unknown`` when it cannot be told), ``text`` the whole file."""
-    raw = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-           .option("recursiveFileLookup", "true").load(path))
-    name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
+def load_documents(spark: SparkSession, path: str, pattern: str = "*.txt", *, name_column: str | None = None) -> DataFrame:
+    """A folder of text files as documents: ``source`` is the file name (or the partition
+    folder value ``name_column`` when the folder is partitioned; ``unknown`` when it cannot be
+    told), ``text`` the whole file, ``bytes`` its size."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    if name_column is None:
+        reader = reader.option("recursiveFileLookup", "true")
+    raw = reader.load(path)
+    name = F.col(name_column) if name_column else F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
     return raw.select(
         F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown")).alias("source"),
         F.decode(F.col("content"), "UTF-8").alias("text"),

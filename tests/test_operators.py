@@ -137,3 +137,13 @@ def test_running_total_matches_the_window_with_a_hot_key(spark):
     w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     want = {(r["k"], r["t"]): r["rt"] for r in df.withColumn("rt", F.sum("v").over(w)).collect()}
     assert got == want
+
+
+def test_load_documents_names_each_file(spark, tmp_path):
+    from lodestar.sources.tables import load_documents
+    (tmp_path / "a.txt").write_text("Fyrsta skjalið.", encoding="utf-8")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.txt").write_text("Annað skjal.", encoding="utf-8")
+    (tmp_path / "skip.pdf").write_bytes(b"%PDF")
+    got = {r["source"]: r["text"] for r in load_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "Fyrsta skjalið.", "b.txt": "Annað skjal."}
