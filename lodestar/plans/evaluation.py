@@ -190,11 +190,11 @@ SELECT set, question, sources AS source, expected, previous FROM questions""")
 def questions_csv(spark, sf):
     """The question set written as CSV with a header (quoted, UTF-8) and read back: blank
     fields come back as empty strings, as a CSV dict reader gives them."""
-    from lodestar.session import scratch_path
+    from lodestar.session import data_tag, scratch_path
     from lodestar.sources.tables import read_questions_csv
     questions, _, accepted = _run(spark, sf)
     questions = ev.sources_text(questions, accepted)
-    path = scratch_path(spark, f"questions_csv_{abs(hash(sf))}")
+    path = scratch_path(spark, f"questions_csv_{data_tag(sf)}")
     (questions.select("set", "question", F.col("sources").alias("source"), "expected", "previous")
      .write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path))
     return read_questions_csv(spark, path)

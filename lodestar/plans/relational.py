@@ -11,7 +11,7 @@ from lodestar.operators.ingest import ingest_chunks, load_published
 from lodestar.plans.common import chunks
 from lodestar.plans.registry import register
 from lodestar.plans.sqlparts import CHUNKS, CORPUS
-from lodestar.session import scratch_path
+from lodestar.session import data_tag, scratch_path
 from lodestar.sources.tables import corpus, first_line, read_table
 
 
@@ -67,7 +67,7 @@ def usage_generate(spark, sf):
 SELECT date_trunc('month', used_on)::DATE AS month, count(*) AS rows FROM usage GROUP BY 1""")
 def usage_partitioned(spark, sf):
     """Write usage partitioned by month, then count the rows of each partition."""
-    path = scratch_path(spark, f"search_usage_{abs(hash(sf))}")
+    path = scratch_path(spark, f"search_usage_{data_tag(sf)}")
     usage = _usage(spark, sf).withColumn("month", F.trunc("used_on", "month"))
     usage.write.mode("overwrite").partitionBy("month").parquet(path)
     back = spark.read.parquet(path)
@@ -146,6 +146,6 @@ def validate_rows(spark, sf):
 @register("ingest_chunks", f"""WITH {CHUNKS}
 SELECT row_number() OVER (ORDER BY source, doc_id, chunk_no) AS id, source, content FROM chunks""")
 def ingest_chunks_q(spark, sf):
-    base = scratch_path(spark, f"chunks_{abs(hash(sf))}")
+    base = scratch_path(spark, f"chunks_{data_tag(sf)}")
     ingest_chunks(read_table(spark, sf, "documents"), base)
     return load_published(spark, base).select("id", "source", "content")

@@ -15,7 +15,7 @@ from lodestar.operators.knn import knn_batch
 from lodestar.operators.noisy import noisy_copies
 from lodestar.plans.common import chunks
 from lodestar.plans.registry import register
-from lodestar.session import scratch_path
+from lodestar.session import data_tag, scratch_path
 from lodestar.sources.tables import corpus, corpus_questions, load_documents, read_table
 
 NPROBE = 4
@@ -23,7 +23,7 @@ NPROBE = 4
 
 def _index(spark, sf, tag="corpus"):
     c = corpus(spark, sf)
-    idx = ann.build_cell_index(c, scratch_path(spark, f"cells_{tag}_{abs(hash(sf))}"))
+    idx = ann.build_cell_index(c, scratch_path(spark, f"cells_{tag}_{data_tag(sf)}"))
     return c, idx
 
 
@@ -81,7 +81,7 @@ def recall_report(spark, sf):
     noisy = noisy_copies(corpus(spark, sf), copies=20)
     vectors = noisy.where("copy_no > 0").select((F.col("chunk_id") * 1000 + F.col("copy_no")).alias("id"), "embedding")
     queries = noisy.where("copy_no = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("qvec"))
-    base = scratch_path(spark, f"scale_{abs(hash(sf))}")
+    base = scratch_path(spark, f"scale_{data_tag(sf)}")
     vectors.withColumn("h", to_half("embedding")).write.mode("overwrite").parquet(f"{base}/vectors")
     queries.withColumn("qh", to_half("qvec")).write.mode("overwrite").parquet(f"{base}/queries")
     vec = spark.read.parquet(f"{base}/vectors")
@@ -138,7 +138,7 @@ FROM documents""")
 def load_documents_q(spark, sf):
     """The documents written out as one text file each (a folder per document name), read
     back as a folder of files; the text writer ends each file with a newline."""
-    path = scratch_path(spark, f"docs_folder_{abs(hash(sf))}")
+    path = scratch_path(spark, f"docs_folder_{data_tag(sf)}")
     docs = read_table(spark, sf, "documents")
     docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text") \
         .write.mode("overwrite").partitionBy("name").text(path)

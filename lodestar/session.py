@@ -49,6 +49,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def data_tag(path: str) -> str:
+    """A stable short name for an input folder (the same in every process, so a restarted
+    stream finds its checkpoint again)."""
+    import hashlib
+    return hashlib.sha1(path.rstrip("/").encode("utf-8")).hexdigest()[:12]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder for written intermediate tables, under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
