@@ -5,7 +5,6 @@ the defaults that give the same results as the system being rebuilt.
 """
 
 # --- fixed values: retrieval settings (must equal the original for equal results) ---
-EMBED_DIMS = 1024          # model width of the original; the driver tables use 64
 CHUNK_SIZE = 500           # characters per chunk
 CHUNK_OVERLAP = 50         # characters shared by neighbouring chunks
 MIN_CHUNK_CHARS = 20       # shorter stripped chunks are dropped
@@ -23,13 +22,6 @@ EMAIL_REDACTION = "[email]"
 AMOUNT_PATTERN = r"\d{1,3}(\.\d{3})+ kr"
 MASKED_EMAIL_SUFFIX = "XX@XXXX.com"
 
-# --- fixed values: departments by document (original file names) ---
-IT_DOCUMENTS = ["Demo_IT_Reglur.pdf", "Demo_Oryggi_og_neydaraaetlun.pdf",
-                "Demo_Personuverndarstefna.pdf", "Demo_Samfelluaaetlun.pdf"]
-FINANCE_DOCUMENTS = ["Demo_Innkaup_og_kostnadur.pdf", "Demo_Thjonustulysing.pdf",
-                     "Demo_Verklagsreglur.pdf", "Demo_Um_fyrirtaekid.pdf"]
-DEPARTMENTS = ["HR", "IT", "Finance"]
-
 # --- fixed values: Icelandic stop words of the full-text index ---
 ICELANDIC_STOPWORDS = (
     "á að af aðeins allt alltaf annað annars auk eða eftir ef eiga ekki ég eins en enda er eru "

@@ -8,17 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.config import EMAIL_PATTERN
+from lodestar.config import AMOUNT_PATTERN, EMAIL_PATTERN
 from lodestar.functions.text import edit_similarity, first_email, mask_email
 
 
-def regex_matches(df: DataFrame, pattern: str, *, text: str = "content", keep=("id", "source")) -> DataFrame:
+def regex_matches(df: DataFrame, pattern: str = AMOUNT_PATTERN, *, text: str = "content",
+                  keep=("id", "source")) -> DataFrame:
     """One row per match (``ordinal`` 1-based, ``match_value``), like a lateral table function."""
     return (df.select(*keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)))
             .select(*keep, (F.col("pos") + 1).cast("long").alias("ordinal"), F.col("col").alias("match_value")))
 
 
-def regex_count_by(df: DataFrame, pattern: str, group: str = "source", text: str = "content",
+def regex_count_by(df: DataFrame, pattern: str = AMOUNT_PATTERN, group: str = "source", text: str = "content",
                    name: str = "amounts") -> DataFrame:
     return df.groupBy(group).agg(F.sum(F.regexp_count(F.col(text), F.lit(pattern))).alias(name))
 
