@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import range_partitions
+
 OPEN_END = "9999-12-31 23:59:59.999999"
 
 
@@ -44,7 +46,7 @@ def next_in_key(df: DataFrame, key: str, order: list[str], value: str, out: str)
     partitions; ``lead`` runs inside each partition, and the last row of a key in a
     partition takes its successor from the first row of the next non-empty
     partition (one row per partition, a bounded side)."""
-    parted = df.repartitionByRange(key, *order).withColumn("_pid", F.spark_partition_id())
+    parted = df.repartitionByRange(range_partitions(df), key, *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
     w = Window.partitionBy("_pid", key).orderBy(*order)
     local = parted.withColumn(out, F.lead(value).over(w))
     first = (parted.groupBy("_pid")

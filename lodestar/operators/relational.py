@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import range_partitions
+
 from lodestar.config import DRIVER_FINANCE_SOURCES, DRIVER_IT_SOURCES, HISTORY_MESSAGES
 
 
@@ -55,7 +57,7 @@ def dense_index(df: DataFrame, order: list[str], name: str = "n", start: int = 0
 
     Rows are range-partitioned on the order, numbered inside each partition,
     and shifted by the sizes of the partitions before them (one row per partition)."""
-    parted = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    parted = df.repartitionByRange(range_partitions(df), *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
     w = Window.partitionBy("_pid").orderBy(*order)
     local = parted.withColumn("_local", F.row_number().over(w))
     sizes = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))

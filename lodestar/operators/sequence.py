@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import range_partitions
+
 
 def _last(arr, n: int):
     return F.when(F.size(arr) > n, F.slice(arr, F.size(arr) - n + 1, n)).otherwise(arr)
@@ -25,7 +27,7 @@ def sequence_context(df: DataFrame, key: str, order: list[str], carry: list[str]
     """``df`` plus ``position`` (1-based within ``key`` in ``order``) and ``history``: the
     ``carry`` columns of up to ``n_prev`` preceding rows, oldest first, as ``array<struct>``."""
     item = F.struct(*[F.col(c) for c in carry])
-    parted = df.repartitionByRange(key, *order).withColumn("_pid", F.spark_partition_id())
+    parted = df.repartitionByRange(range_partitions(df), key, *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
     w = Window.partitionBy("_pid", key).orderBy(*order)
     local = (parted.withColumn("_lp", F.row_number().over(w))
              .withColumn("_lh", F.collect_list(item).over(w.rowsBetween(-n_prev, -1))))
@@ -52,7 +54,7 @@ def sequence_context(df: DataFrame, key: str, order: list[str], carry: list[str]
 def running_total(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
     """``SUM(value) OVER (PARTITION BY key ORDER BY order ROWS UNBOUNDED PRECEDING)`` for keys of any size:
     a running sum inside each range partition plus the sums of the key's earlier segments."""
-    parted = df.repartitionByRange(key, *order).withColumn("_pid", F.spark_partition_id())
+    parted = df.repartitionByRange(range_partitions(df), key, *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
     w = Window.partitionBy("_pid", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = parted.withColumn("_ls", F.sum(value).over(w))
     seg = parted.groupBy("_pid", key).agg(F.sum(value).alias("_s"))

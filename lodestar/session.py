@@ -60,3 +60,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder for written intermediate tables, under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def range_partitions(df) -> int:
+    """An explicit partition count for ``repartitionByRange`` in the jobs that number rows per
+    partition (AQE does not coalesce a shuffle with a given count). Those jobs also checkpoint
+    the rows together with their ``spark_partition_id()``: the partition a row lands in is then
+    data, read alike by every branch of the plan, however AQE plans each branch."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
