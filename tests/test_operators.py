@@ -147,3 +147,14 @@ def test_load_documents_names_each_file(spark, tmp_path):
     (tmp_path / "skip.pdf").write_bytes(b"%PDF")
     got = {r["source"]: r["text"] for r in load_documents(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": "Fyrsta skjalið.", "b.txt": "Annað skjal."}
+
+
+def test_row_history_at_sf01_through_collect(spark):
+    """Regression: partition ids must agree across plan branches also when the result is
+    collected (this once lost successors at partition boundaries)."""
+    from lodestar.operators.changes import next_in_key
+    ev = spark.read.parquet("/root/testdata/sf0.1/events.parquet").select("user_id", "ts", "event_id")
+    got = {(r["user_id"], r["event_id"]): r["nxt"] for r in next_in_key(ev, "user_id", ["ts", "event_id"], "ts", "nxt").collect()}
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    want = {(r["user_id"], r["event_id"]): r["nxt"] for r in ev.withColumn("nxt", F.lead("ts").over(w)).collect()}
+    assert got == want
