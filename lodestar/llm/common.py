@@ -11,14 +11,22 @@ from lodestar.session import ensure_checkpoint_dir
 
 #: Broadcast a side only when it was counted to hold at most so many bytes.
 BROADCAST_BYTES = 16 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the folder that ``spark.checkpoint.dir`` names, read again:
-    it cuts the lineage, and a lost executor costs no recomputation of what stands before it."""
+    it cuts the lineage, and a lost executor costs no recomputation of what stands before it. The
+    shuffle files of the write are given back when it is done (a setting of Spark's own), so that a job
+    of many steps holds those of one step at a time."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

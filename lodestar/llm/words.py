@@ -96,13 +96,13 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(data[offs[0]:offs[-1]], offs - offs[0])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Batches again, cut into slices of whole texts of about ``SLICE_BYTES`` each."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Batches again, cut into slices of whole texts of about ``size`` bytes each."""
     for batch in batches:
         t = texts_of(batch.column(batch.schema.get_field_index(column)))
         lo = 0
         while lo < t.n:
-            hi = max(lo + 1, int(np.searchsorted(t.offs, t.offs[lo] + SLICE_BYTES, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(t.offs, t.offs[lo] + size, side="right")) - 1)
             yield batch.slice(lo, hi - lo), Texts(t.data[t.offs[lo]:t.offs[hi]], t.offs[lo:hi + 1] - t.offs[lo])
             lo = hi
 
