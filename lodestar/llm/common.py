@@ -11,7 +11,8 @@ from lodestar.session import ensure_checkpoint_dir
 
 #: Broadcast a side only when it was counted to hold at most so many bytes.
 BROADCAST_BYTES = 16 << 20
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a step is written; whole texts are long, so a batch to Python takes fewer rows.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -21,12 +22,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     of many steps holds those of one step at a time."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -114,12 +114,18 @@ def _prefixes(hot):
     return run
 
 
+def _views(column: pa.Array) -> list[np.ndarray]:
+    """The token sets of a binary column, without a copy."""
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2]
+    return [np.frombuffer(data, np.uint64, (hi - lo) // 8, lo) for lo, hi in zip(offs, offs[1:], strict=False)]
+
+
 def _linked(batches):
     """Pairs whose sets reach the similarity."""
     for b in batches:
         keep = []
-        for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(_views(b.column("ta")), _views(b.column("tb")), strict=True):
             both = np.concatenate([x, y])
             both.sort()
             same = int((both[1:] == both[:-1]).sum())
@@ -202,8 +208,8 @@ def link_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _exploded(batches):
     for b in batches:
-        for x in b.column("tokens").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], names=["token"])
+        for x in _views(b.column("tokens")):
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["token"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
