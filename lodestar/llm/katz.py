@@ -31,8 +31,8 @@ from lodestar.llm.common import table
 from lodestar.llm.words import NONSPACE, mix, slices
 
 K = 5
-CHUNK = 2_000_000        # tokens of a chunk, about
-SLOT = 4_000_000         # tokens for each slot of each order, about
+CHUNK = 1_200_000        # tokens of a chunk, about
+SLOT = 2_000_000         # tokens for each slot of each order, about
 UNIGRAM, BIGRAM, CONTEXT = 1, 2, 3
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
