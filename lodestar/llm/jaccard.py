@@ -12,7 +12,8 @@ sets are one class, represented by its smallest id. Then
 3. *bound*: for a document and another group, the number of matrix tokens they share bounds
    the overlap with any member from above; the group is opened only if that reaches what 0.75 needs
    for some member size;
-4. *open*: members of opened groups of a fitting size are compared exactly.
+4. *open*: members of opened groups of a fitting size are compared exactly: about ``FEW`` of them
+   first, and all the others where none of these linked.
 
 Documents already in one group need no further link between them, so the result (the smallest id
 reachable) is exact while the thousands of near copies of one text cost one comparison each.
@@ -35,6 +36,7 @@ from lodestar.llm.words import NONSPACE, Texts, mix, slices, windows
 WIDTH = 5
 NUM, DEN = 75, 100      # similarity
 SIGNATURES = 4
+FEW = 6                 # members of a group that an opened one is compared with first, about
 SAMPLE = 16             # one class in so many tells which tokens are frequent
 HOT_COUNT = 4           # so often in the sample: frequent
 HOT_MOST = 400_000      # most frequent tokens that are broadcast (8 bytes each)
@@ -189,20 +191,28 @@ def link_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                    .select("doc_id", "n", F.coalesce("root", "doc_id").alias("grp"), "tokens"), "prefix")
     shared = table(prefix.select(F.explode("tokens").alias("token"), "grp").groupBy("token").agg(
         F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("token"), "shared")
-    rows = table(prefix.select(F.explode("tokens").alias("token"), "doc_id", "n", "grp").join(small_side(shared, 24), "token"), "matrix")
-    size = prefix.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = rows.select("token", "grp").distinct().join(size, "grp").select("token", F.col("grp").alias("other"), "lo", "hi")
+    rows = table(prefix.select(F.explode("tokens").alias("token"), "doc_id", "n", "grp").join(shared, "token"), "matrix")
+    size = table(prefix.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("size")), "sizes")
+    matrix = rows.select("token", "grp").distinct().join(size, "grp").select("token", F.col("grp").alias("other"), "lo", "hi", "size")
     # 3. bound; a pair of groups is looked at from the one with the larger id
     low, high = F.ceil(F.col("n") * NUM / DEN), F.floor(F.col("n") * DEN / NUM)
     lo, hi = F.greatest("lo", low), F.least("hi", high)
     met = rows.join(matrix, "token").where((F.col("grp") > F.col("other")) & (lo <= hi))
-    opened = (met.groupBy("doc_id", "n", "other", "lo", "hi").agg(F.count(F.lit(1)).alias("c"))
-              .where(F.col("c") >= _need(F.col("n"), lo, hi)))
-    # 4. open
+    opened = table(met.groupBy("doc_id", "n", "other", "lo", "hi", "size").agg(F.count(F.lit(1)).alias("c"))
+                   .where(F.col("c") >= _need(F.col("n"), lo, hi)).select("doc_id", "n", "other", "size"), "opened")
+    # 4. open: against a few members first; whoever links to one of them needs no other member
     members = prefix.select(F.col("grp").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    wide = (opened.join(members, "other").where((F.col("nb") >= low) & (F.col("nb") <= high))
-            .select(F.col("doc_id").alias("a"), "b").distinct())
-    more = compare(table(wide, "opened"), d)
+    every = F.greatest(F.lit(1), F.floor(F.col("size") / FEW)).cast("long")
+    fits = (F.col("nb") >= low) & (F.col("nb") <= high)
+    some = opened.join(members, "other").where(fits & (F.pmod(F.xxhash64("b"), every) == 0))
+    links = links.unionByName(compare(table(some.select(F.col("doc_id").alias("a"), "b").distinct(), "some"), d))
+    roots = components(links, "groups")
+    left = (opened.where(F.col("size") > FEW)
+            .join(roots.select(F.col("id").alias("doc_id"), F.col("root").alias("r1")), "doc_id", "left")
+            .join(roots.select(F.col("id").alias("other"), F.col("root").alias("r2")), "other", "left")
+            .where(F.coalesce("r1", "doc_id") != F.coalesce("r2", "other")))
+    rest = left.join(members, "other").where(fits & (F.pmod(F.xxhash64("b"), every) != 0))
+    more = compare(table(rest.select(F.col("doc_id").alias("a"), "b").distinct(), "rest"), d)
     return sets, classes, links.unionByName(more)
 
 
