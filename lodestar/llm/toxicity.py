@@ -1,13 +1,14 @@
 """Toxicity: a support vector machine over a gapped subsequence string kernel with Nystroem landmarks.
 
-The unit of a sentence is a word (lower case, outer punctuation off, digits and signs that
-stand for letters put back); a run of three or more single letters is one word too, so "i d i o t"
+The unit of a sentence is a word (lower case, signs off, digits and signs that stand for
+letters put back); a run of three or more single letters is one word too, so "i d i o t"
 and "i.d.i-ot" stay close to "idiot". The kernel of two words sums all common subsequences of
 ``P`` characters, weighted by ``LAMBDA`` per character that they span (gaps and inserted characters
 cost little), normalised. ``LANDMARKS`` training words span the Nystroem features, and a linear
 squared-hinge machine is trained on words of labelled sentences: a toxic text is a bag with at
 least one insult. Greedy cover finds the words that tell toxic from clean training texts, then the
-machine picks the witnesses of the texts not explained yet and is trained again.
+machine picks the witnesses of the texts not explained yet and is trained again. The words found are also
+trained on with a letter put in or doubled.
 
 A text's raw score is that of its worst word, and a monotone fit on the training labels turns it into
 a probability. The machine is fitted on at most ``MAX_DOCS`` labelled texts of the training folds;
@@ -43,7 +44,13 @@ _CACHE: dict[str, object] = {}
 
 def normal(word: str) -> str:
     w = word.lower().strip(".,!?;:#*%&|()[]{}\"'`_-~<>/\\+=")
-    return w.translate(LEET) if any(c.isalpha() for c in w) else ""
+    return "".join(c for c in w.translate(LEET) if c.isalnum()) if any(c.isalpha() for c in w) else ""
+
+
+def _variants(word: str) -> list[str]:
+    """The word with a letter put in or doubled, as gapped insults are written."""
+    n = len(word)
+    return [word[:n // 2] + "x" + word[n // 2:], word[:n // 3] + "e" + word[n // 3:], word[:n // 2] + word[n // 2 - 1:]] if n >= 4 else []
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -259,6 +266,8 @@ def train(seen: DataFrame) -> Machine | None:
     marks = list(dict.fromkeys(pos[:LANDMARKS * 2 // 3] + [neg[i] for i in rng.permutation(len(neg))]))[:LANDMARKS]
     white = _nystroem(marks)
     machine, weight = None, np.array([min(chosen.get(w, 1), 200) for w in pos], float)
+    spelt = [v for w in pos[:100] for v in _variants(w)]
+    pos, weight = pos + spelt, np.r_[weight, np.full(len(spelt), 4.0)]
     for _ in range(2):
         both = pos + neg
         x = np.maximum.reduceat(kernel_matrix([v for w in both for v in _windows_of(w)], marks),
@@ -310,14 +319,17 @@ def _scores(machine):
 
 
 def _monotone(pos: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Non-decreasing share of positives per bin (pool adjacent violators); empty bins take the share below."""
+    """Non-decreasing share of positives per bin (pool adjacent violators); empty bins lie between their neighbours."""
+    full = np.flatnonzero(n)
+    if not len(full):
+        return np.zeros(len(n))
     blocks: list[list[float]] = []
-    for p, k in zip(pos, n, strict=True):
+    for p, k in zip(pos[full], n[full], strict=True):
         blocks.append([p, k, 1])
-        while len(blocks) > 1 and blocks[-2][0] * max(blocks[-1][1], 1e-9) >= blocks[-1][0] * max(blocks[-2][1], 1e-9):
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             p2, k2, m2 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + p2, blocks[-1][1] + k2, blocks[-1][2] + m2]
-    return np.concatenate([np.full(int(m), p / k if k else 0.0) for p, k, m in blocks])
+    return np.interp(np.arange(len(n)), full, np.concatenate([np.full(int(m), p / k) for p, k, m in blocks]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows) -> DataFrame:
