@@ -13,12 +13,13 @@ OPEN_END = "9999-12-31 23:59:59.999999"
 def snapshot_changes(old: DataFrame, new: DataFrame, key: str = "id", value: str = "content") -> DataFrame:
     """Rows changed between two snapshots: ``key, operation`` (I insert, U update, D delete).
 
-    Values are compared by hash, so only the digests meet in the join."""
-    o = old.select(F.col(key).alias("_k"), F.sha2(F.col(value), 256).alias("_o"))
-    n = new.select(F.col(key).alias("_k"), F.sha2(F.col(value), 256).alias("_n"))
+    Values are compared by hash, so only the digests meet in the join. A null value is a value:
+    presence is told by a flag, not by the digest."""
+    o = old.select(F.col(key).alias("_k"), F.sha2(F.col(value), 256).alias("_o"), F.lit(True).alias("_was"))
+    n = new.select(F.col(key).alias("_k"), F.sha2(F.col(value), 256).alias("_n"), F.lit(True).alias("_is"))
     d = o.join(n, "_k", "full")
-    op = (F.when(F.col("_o").isNull(), "I").when(F.col("_n").isNull(), "D")
-          .when(F.col("_o") != F.col("_n"), "U"))
+    op = (F.when(F.col("_was").isNull(), "I").when(F.col("_is").isNull(), "D")
+          .when(~F.col("_o").eqNullSafe(F.col("_n")), "U"))
     return d.select(F.col("_k").alias(key), op.alias("operation")).where(F.col("operation").isNotNull())
 
 

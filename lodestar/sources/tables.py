@@ -77,8 +77,9 @@ def load_documents(spark: SparkSession, path: str, pattern: str = "*.txt", *, na
 def read_questions_csv(spark: SparkSession, path: str) -> DataFrame:
     """The question set as CSV with a header: ``set, question, source, expected, previous``.
 
-    Blank fields come back as empty strings (not null), as a CSV dict reader gives them."""
+    Blank fields come back as empty strings (not null), as a CSV dict reader gives them; a quote inside a quoted field is written twice."""
     schema = "set string, question string, source string, expected string, previous string"
     df = (spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8")
+          .option("quote", '"').option("escape", '"')
           .schema(schema).csv(path))
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
