@@ -12,8 +12,9 @@ sets are one class, represented by its smallest id. Then
 3. *bound*: for a document and another group, the number of matrix tokens they share bounds
    the overlap with any member from above; the group is opened only if that reaches what 0.75 needs
    for some member size;
-4. *open*: members of opened groups of a fitting size are compared exactly: about ``FEW`` of them
-   first, and all the others where none of these linked.
+4. *open*: for ``ROUNDS`` rounds a document is compared with about ``FEW`` members of the group that
+   it shares most tokens with, and linked groups become one; then all members of fitting size of the groups
+   still apart are compared.
 
 Documents already in one group need no further link between them, so the result (the smallest id
 reachable) is exact while the thousands of near copies of one text cost one comparison each.
@@ -36,7 +37,8 @@ from lodestar.llm.words import NONSPACE, Texts, mix, slices, windows
 WIDTH = 5
 NUM, DEN = 75, 100      # similarity
 SIGNATURES = 4
-FEW = 6                 # members of a group that an opened one is compared with first, about
+FEW = 4                 # members of a group that an opened one is compared with first, about
+ROUNDS = 2              # rounds in which a document meets only the group it shares most with
 SAMPLE = 16             # one class in so many tells which tokens are frequent
 HOT_COUNT = 4           # so often in the sample: frequent
 HOT_MOST = 400_000      # most frequent tokens that are broadcast (8 bytes each)
@@ -199,19 +201,22 @@ def link_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lo, hi = F.greatest("lo", low), F.least("hi", high)
     met = rows.join(matrix, "token").where((F.col("grp") > F.col("other")) & (lo <= hi))
     opened = table(met.groupBy("doc_id", "n", "other", "lo", "hi", "size").agg(F.count(F.lit(1)).alias("c"))
-                   .where(F.col("c") >= _need(F.col("n"), lo, hi)).select("doc_id", "n", "other", "size"), "opened")
-    # 4. open: against a few members first; whoever links to one of them needs no other member
+                   .where(F.col("c") >= _need(F.col("n"), lo, hi)).select("doc_id", "n", "other", "size", "c"), "opened")
+    # 4. open: every document against a few members of the group it shares most with; groups that link
+    # become one, and only pairs of groups that are still apart go on
     members = prefix.select(F.col("grp").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     every = F.greatest(F.lit(1), F.floor(F.col("size") / FEW)).cast("long")
     fits = (F.col("nb") >= low) & (F.col("nb") <= high)
-    some = opened.join(members, "other").where(fits & (F.pmod(F.xxhash64("b"), every) == 0))
-    links = links.unionByName(compare(table(some.select(F.col("doc_id").alias("a"), "b").distinct(), "some"), d))
-    roots = components(links, "groups")
-    left = (opened.where(F.col("size") > FEW)
-            .join(roots.select(F.col("id").alias("doc_id"), F.col("root").alias("r1")), "doc_id", "left")
-            .join(roots.select(F.col("id").alias("other"), F.col("root").alias("r2")), "other", "left")
-            .where(F.coalesce("r1", "doc_id") != F.coalesce("r2", "other")))
-    rest = left.join(members, "other").where(fits & (F.pmod(F.xxhash64("b"), every) != 0))
+    apart = opened
+    for _ in range(ROUNDS):
+        best = apart.groupBy("doc_id", "n").agg(F.max_by(F.struct("other", "size"), F.struct("c", "other")).alias("x"))
+        some = best.select("doc_id", "n", "x.*").join(members, "other").where(fits & (F.pmod(F.xxhash64("b"), every) == 0))
+        links = links.unionByName(compare(table(some.select(F.col("doc_id").alias("a"), "b").distinct(), "some"), d))
+        roots = components(links, "groups")
+        apart = table(apart.join(roots.select(F.col("id").alias("doc_id"), F.col("root").alias("r1")), "doc_id", "left")
+                      .join(roots.select(F.col("id").alias("other"), F.col("root").alias("r2")), "other", "left")
+                      .where(F.coalesce("r1", "doc_id") != F.coalesce("r2", "other")).select(*opened.columns), "apart")
+    rest = apart.join(members, "other").where(fits)
     more = compare(table(rest.select(F.col("doc_id").alias("a"), "b").distinct(), "rest"), d)
     return sets, classes, links.unionByName(more)
 
