@@ -49,15 +49,15 @@ def next_in_key(df: DataFrame, key: str, order: list[str], value: str, out: str)
     partition (one row per partition, a bounded side)."""
     parted = df.repartitionByRange(range_partitions(df), key, *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
     w = Window.partitionBy("_pid", key).orderBy(*order)
-    local = parted.withColumn(out, F.lead(value).over(w))
+    local = parted.withColumn(out, F.lead(value).over(w)).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
     first = (parted.groupBy("_pid")
              .agg(F.min_by(F.struct(F.col(key).alias("_fk"), F.col(value).alias("_fv")),
                            F.struct(*[F.col(c) for c in [key, *order]])).alias("_f")))
     nxt = first.select((F.lag("_pid").over(Window.orderBy("_pid"))).alias("_prev"), "_f._fk", "_f._fv")
     nxt = nxt.where(F.col("_prev").isNotNull())
     fixed = local.join(F.broadcast(nxt), (local["_pid"] == nxt["_prev"]) & (local[key] == nxt["_fk"])
-                       & local[out].isNull(), "left")
-    return fixed.select(*df.columns, F.coalesce(F.col(out), F.col("_fv")).alias(out))
+                       & local["_last"], "left")
+    return fixed.select(*df.columns, F.when(F.col("_last"), F.col("_fv")).otherwise(F.col(out)).alias(out))
 
 
 def version_history(versions: DataFrame, key: str, ts: str, cols: list[str], tie: str | None = None) -> DataFrame:

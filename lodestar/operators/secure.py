@@ -30,14 +30,13 @@ def visible_to(df: DataFrame, user: str, mapping: DataFrame, owner: str = OWNER)
 def grants(df: DataFrame, mapping: DataFrame, owner: str = OWNER) -> DataFrame:
     """(reader, department) pairs for every reader at once: the mapping plus the owner on every department."""
     everything = df.select("department").distinct().select(F.lit(owner).alias("user_name"), "department")
-    return mapping.select("user_name", "department").unionByName(everything)
+    return mapping.select("user_name", "department").unionByName(everything).distinct()
 
 
 def visible_counts(df: DataFrame, mapping: DataFrame, owner: str = OWNER) -> DataFrame:
-    """Rows visible per reader and department, in one scan (grants are small and broadcast)."""
-    g = grants(df, mapping, owner)
-    return (df.select("department").join(F.broadcast(g), "department")
-            .groupBy("user_name", "department").agg(F.count(F.lit(1)).alias("visible_chunks")))
+    """Rows visible per reader and department: rows are counted per department before they meet the grants."""
+    counts = df.groupBy("department").agg(F.count(F.lit(1)).alias("visible_chunks"))
+    return grants(df, mapping, owner).join(counts, "department").select("user_name", "department", "visible_chunks")
 
 
 def encrypt(col: Column, key: Column) -> Column:

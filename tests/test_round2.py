@@ -1,7 +1,8 @@
 """Nulls in snapshot diffs, doubled quotes in question files, restarts of the update audit."""
 
-from lodestar.operators.changes import snapshot_changes
+from lodestar.operators.changes import next_in_key, snapshot_changes
 from lodestar.operators.ingest import load_published, publish, published_path
+from lodestar.operators.secure import visible_counts
 from lodestar.sources.tables import read_questions_csv
 from lodestar.streaming.ingest import stream_update_audit
 
@@ -39,3 +40,18 @@ def test_update_audit_goes_on_after_a_restart(spark, tmp_path):
     got = {(r.old_value, r.new_value) for r in run().collect()}
     assert got == {(2, 4), (4, 3)}
     assert {tuple(r) for r in load_published(spark, str(tmp_path / "out/table")).select("id", "v").collect()} == {(1, 3), (2, 7)}
+
+
+def test_repeated_grants_count_rows_once(spark):
+    docs = spark.createDataFrame([("HR",), ("HR",), ("IT",)], "department string")
+    mapping = spark.createDataFrame([("ann", "HR"), ("ann", "HR"), ("dbo", "IT")], "user_name string, department string")
+    got = sorted(tuple(r) for r in visible_counts(docs, mapping, "dbo").collect())
+    assert got == [("ann", "HR", 2), ("dbo", "HR", 2), ("dbo", "IT", 1)]
+
+
+def test_null_successors_inside_a_key_stay_null(spark):
+    rows = [(1, i, None if i % 3 == 0 else i) for i in range(400)] + [(2, 0, 5), (2, 1, None)]
+    df = spark.createDataFrame(rows, "k long, at long, v long")
+    got = {(r.k, r.at): r.nxt for r in next_in_key(df, "k", ["at"], "v", "nxt").collect()}
+    after = {(k, at): v for k, at, v in rows}
+    assert got == {(k, at): after.get((k, at + 1)) for k, at, _ in rows}
