@@ -25,8 +25,10 @@ def accepted_sources(passages: DataFrame, docs: DataFrame, *, id: str = "item_id
     Containment is found without pairing every passage with every document: a
     document that holds the passage holds each of its inner words as a whole word,
     so candidates are the documents with the passage's rarest inner word (an
-    equi-join on the word), and ``instr`` confirms each candidate. Passages of
-    fewer than three words have no inner word and get no sources."""
+    equi-join on the word), and ``instr`` confirms each candidate. A passage of one
+    or two words has no inner word: its longest word is a piece of some word of the
+    document, so it meets the pieces of that length of all distinct words. A passage
+    without words gets no sources."""
     words = passages.select(F.col(id).alias("qid"), F.posexplode(terms(F.col(text))).alias("pos", "term"),
                             F.size(terms(F.col(text))).alias("n"))
     inner = words.where((F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1)).select("qid", "term").distinct()
@@ -39,6 +41,16 @@ def accepted_sources(passages: DataFrame, docs: DataFrame, *, id: str = "item_id
     key = (inner.join(freq, "term").groupBy("qid")
            .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
     cand = key.join(doc_words, "term").select("qid", "doc_id")
+    short = (words.where("n < 3").groupBy("qid").agg(F.max_by("term", F.struct(F.length("term"), F.col("term"))).alias("piece"))
+             .withColumn("len", F.length("piece")))
+    lengths = [r.len for r in short.select("len").distinct().collect()]  # of single words
+    if lengths:
+        sized = freq.select("term", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])).alias("len"))
+        sized = sized.where(F.col("len") <= F.length("term"))
+        starts = sized.select("term", "len", F.explode(F.expr("sequence(1, length(term) - len + 1)")).alias("at"))
+        pieces = starts.select("term", F.expr("substring(term, at, len)").alias("piece"))
+        hits = pieces.join(short, "piece").select("qid", "term").distinct()
+        cand = cand.unionByName(hits.join(doc_words, "term").select("qid", "doc_id").distinct())
     return (cand.join(passages.select(F.col(id).alias("qid"), F.col(text).alias("_p")), "qid")
             .join(docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("_d")), "doc_id")
             .where(F.instr("_d", F.col("_p")) > 0)

@@ -1,6 +1,7 @@
 """Nulls in snapshot diffs, doubled quotes in question files, restarts of the update audit."""
 
 from lodestar.operators.changes import next_in_key, snapshot_changes
+from lodestar.operators.evaluate import accepted_sources
 from lodestar.operators.ingest import load_published, publish, published_path
 from lodestar.operators.secure import visible_counts
 from lodestar.sources.tables import read_questions_csv
@@ -55,3 +56,12 @@ def test_null_successors_inside_a_key_stay_null(spark):
     got = {(r.k, r.at): r.nxt for r in next_in_key(df, "k", ["at"], "v", "nxt").collect()}
     after = {(k, at): v for k, at, v in rows}
     assert got == {(k, at): after.get((k, at + 1)) for k, at, _ in rows}
+
+
+def test_short_passages_have_sources(spark):
+    texts = {1: "a red fox ran home", 2: "Red fox", 3: "shattered foxes ran", 4: "fox red", 5: "", 6: None}
+    asked = {1: "red fox", 2: "a red fox ran", 3: "fox", 4: "owl", 5: "red", 6: "", 7: " - ", 8: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    passages = spark.createDataFrame(list(asked.items()), "item_id long, text string")
+    got = {tuple(r) for r in accepted_sources(passages, docs).collect()}
+    assert got == {(q, d) for q, p in asked.items() for d, t in texts.items() if p and t and p.strip(" -") and p in t}
