@@ -12,7 +12,8 @@ from lodestar.session import ensure_checkpoint_dir
 #: Broadcast a side only when it was counted to hold at most so many bytes.
 BROADCAST_BYTES = 16 << 20
 #: Settings while a step is written; whole texts are long, so a batch to Python takes fewer rows.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+           "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

@@ -12,8 +12,9 @@ sets are one class, represented by its smallest id. Then
 3. *bound*: for a document and another group, the number of matrix tokens they share bounds
    the overlap with any member from above; the group is opened only if that reaches what 0.75 needs
    for some member size;
-4. *open*: members of opened groups of a fitting size are compared exactly: about ``FEW`` of them
-   first, and all the others where none of these linked.
+4. *open*: members of opened groups are compared exactly. A group's whole sets lie in blocks of about
+   ``BLOCK_BYTES``, and one row compares a document with all members of a block: with those of the first
+   block, and, where none of these linked, with every other block.
 
 Documents already in one group need no further link between them, so the result (the smallest id
 reachable) is exact while the thousands of near copies of one text cost one comparison each.
@@ -36,7 +37,7 @@ from lodestar.llm.words import NONSPACE, Texts, mix, slices, windows
 WIDTH = 5
 NUM, DEN = 75, 100      # similarity
 SIGNATURES = 4
-FEW = 6                 # members of a group that an opened one is compared with first, about
+BLOCK_BYTES = 64 << 10  # of members' sets that a document is compared with in one row, about
 SAMPLE = 16             # one class in so many tells which tokens are frequent
 HOT_COUNT = 4           # so often in the sample: frequent
 HOT_MOST = 400_000      # most frequent tokens that are broadcast (8 bytes each)
@@ -135,11 +136,36 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _linked_members(batches):
+    """Pairs (a, b) of a document and the members b of a block whose sets reach the similarity."""
+    for b in batches:
+        out_a, out_b = [], []
+        lists, ids = b.column("sets"), b.column("ids")
+        bounds, flat = lists.offsets.to_numpy(), _views(lists.values)
+        id_bounds, id_flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+        for i, (a, x) in enumerate(zip(b.column("a").to_pylist(), _views(b.column("tokens")), strict=True)):
+            members = flat[bounds[i]:bounds[i + 1]]
+            n = np.array([len(m) for m in members])
+            both = np.concatenate(members)
+            hit = x[np.minimum(np.searchsorted(x, both), len(x) - 1)] == both
+            same = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+            got = id_flat[id_bounds[i]:id_bounds[i + 1]][DEN * same >= NUM * (len(x) + n - same)]
+            out_a.append(np.full(len(got), a, np.int64))
+            out_b.append(got)
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+
+
+def whole_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and the whole set of every row of ``docs`` whose id is among ``ids`` and whose text has words."""
+    texts = docs.select("doc_id", "text").join(small_side(ids, 24), "doc_id", "left_semi")
+    return table(texts.mapInArrow(_tokens, "doc_id long, tokens binary").where("length(tokens) > 0"), "tokens")
+
+
 def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole texts link."""
     ids = table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = docs.select("doc_id", "text").join(small_side(ids, 24), "doc_id", "left_semi")
-    sets = table(texts.mapInArrow(_tokens, "doc_id long, tokens binary"), "tokens")
+    sets = whole_sets(ids, docs)
     out = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
            .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b"))
     return table(out.select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long").distinct(), "links")
@@ -192,28 +218,37 @@ def link_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shared = table(prefix.select(F.explode("tokens").alias("token"), "grp").groupBy("token").agg(
         F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("token"), "shared")
     rows = table(prefix.select(F.explode("tokens").alias("token"), "doc_id", "n", "grp").join(shared, "token"), "matrix")
-    size = table(prefix.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("size")), "sizes")
-    matrix = rows.select("token", "grp").distinct().join(size, "grp").select("token", F.col("grp").alias("other"), "lo", "hi", "size")
+    size = table(prefix.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"),
+                                            F.ceil(F.sum("n") * F.lit(8.0 / BLOCK_BYTES)).cast("long").alias("parts")), "sizes")
+    matrix = rows.select("token", "grp").distinct().join(size, "grp").select("token", F.col("grp").alias("other"), "lo", "hi", "parts")
     # 3. bound; a pair of groups is looked at from the one with the larger id
     low, high = F.ceil(F.col("n") * NUM / DEN), F.floor(F.col("n") * DEN / NUM)
     lo, hi = F.greatest("lo", low), F.least("hi", high)
     met = rows.join(matrix, "token").where((F.col("grp") > F.col("other")) & (lo <= hi))
-    opened = table(met.groupBy("doc_id", "n", "other", "lo", "hi", "size").agg(F.count(F.lit(1)).alias("c"))
-                   .where(F.col("c") >= _need(F.col("n"), lo, hi)).select("doc_id", "n", "other", "size"), "opened")
-    # 4. open: against a few members first; whoever links to one of them needs no other member
-    members = prefix.select(F.col("grp").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    every = F.greatest(F.lit(1), F.floor(F.col("size") / FEW)).cast("long")
-    fits = (F.col("nb") >= low) & (F.col("nb") <= high)
-    some = opened.join(members, "other").where(fits & (F.pmod(F.xxhash64("b"), every) == 0))
-    links = links.unionByName(compare(table(some.select(F.col("doc_id").alias("a"), "b").distinct(), "some"), d))
+    opened = table(met.groupBy("doc_id", "n", "other", "lo", "hi", "parts").agg(F.count(F.lit(1)).alias("c"))
+                   .where(F.col("c") >= _need(F.col("n"), lo, hi))
+                   .select(F.col("doc_id").alias("a"), "other", "parts").distinct(), "opened")
+    # 4. open: against the first block; whoever links to a member there needs no other block
+    chosen = table(opened.select("other", "parts").distinct(), "chosen")
+    members = table(prefix.select(F.col("grp").alias("other"), F.col("doc_id").alias("b")).distinct().join(chosen, "other").select(
+        "other", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("block")), "members")
+    whole = whole_sets(opened.select(F.col("a").alias("doc_id")).unionByName(members.select(F.col("b").alias("doc_id"))).distinct(), d)
+    blocks = (members.join(whole.withColumnRenamed("doc_id", "b"), "b").groupBy("other", "block")
+              .agg(F.collect_list(F.struct("b", "tokens")).alias("m")).select("other", "block", F.col("m.b").alias("ids"), F.col("m.tokens").alias("sets")))
+    blocks = table(blocks, "blocks")
+
+    def against(asked: DataFrame) -> DataFrame:
+        met = asked.join(whole.withColumnRenamed("doc_id", "a"), "a").join(blocks, ["other", "block"])
+        return table(met.select("a", "tokens", "ids", "sets").mapInArrow(_linked_members, "a long, b long"), "links")
+
+    links = links.unionByName(against(opened.select("a", "other", F.lit(0).cast("long").alias("block"))))
     roots = components(links, "groups")
-    left = (opened.where(F.col("size") > FEW)
-            .join(roots.select(F.col("id").alias("doc_id"), F.col("root").alias("r1")), "doc_id", "left")
+    left = (opened.where("parts > 1")
+            .join(roots.select(F.col("id").alias("a"), F.col("root").alias("r1")), "a", "left")
             .join(roots.select(F.col("id").alias("other"), F.col("root").alias("r2")), "other", "left")
-            .where(F.coalesce("r1", "doc_id") != F.coalesce("r2", "other")))
-    rest = left.join(members, "other").where(fits & (F.pmod(F.xxhash64("b"), every) != 0))
-    more = compare(table(rest.select(F.col("doc_id").alias("a"), "b").distinct(), "rest"), d)
-    return sets, classes, links.unionByName(more)
+            .where(F.coalesce("r1", "a") != F.coalesce("r2", "other")))
+    rest = left.select("a", "other", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts") - 1)).alias("block"))
+    return sets, classes, links.unionByName(against(table(rest, "rest")))
 
 
 def _exploded(batches):

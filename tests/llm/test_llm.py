@@ -172,9 +172,8 @@ def test_quality_rule_counts_equal_brute_force(docs, texts):
     assert sum(r.kept for i, r in by_id(got).items() if i < 60) >= 58
 
 
-def test_near_duplicates_equal_brute_force(docs, texts):
-    got = jaccard.near_duplicates(docs)
-    assert got.count() == docs.count()
+def classes_of(texts):
+    """Set sizes and smallest reachable ids by brute force."""
     sets = {}
     for i, x in texts.items():
         w = spaced(lower(x))
@@ -190,8 +189,31 @@ def test_near_duplicates_equal_brute_force(docs, texts):
             if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
+    return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+def test_near_duplicates_equal_brute_force(docs, texts):
+    got = jaccard.near_duplicates(docs)
+    assert got.count() == docs.count()
+    want = classes_of(texts)
     for i, r in by_id(got).items():
-        assert (r.n_shingles, r.component_id) == (len(sets[i]), top(i)), i
+        assert (r.n_shingles, r.component_id) == want[i], i
+
+
+def test_near_copies_around_the_limit_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4096)
+    rng = random.Random(11)
+    base = prose(rng, 140).split()
+    texts = {}
+    for i in range(150):  # copies of copies: many pairs lie just below or above the limit
+        w = list(base) if i < 40 or i % 3 else texts[rng.randrange(i)].split()
+        for j in rng.sample(range(len(w)), rng.randint(2, 6)):
+            w[j] = f"w{rng.randrange(10 ** 6)}"
+        texts[i] = " ".join(w)
+    want = classes_of(texts)
+    assert 1 < len({c for _, c in want.values()}) < 140
+    got = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {i: (r.n_shingles, r.component_id) for i, r in by_id(got).items()} == want
 
 
 def test_string_kernel():
