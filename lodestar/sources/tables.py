@@ -58,10 +58,11 @@ def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_sources(bench, docs)
 
 
-def load_documents(spark: SparkSession, path: str, pattern: str = "*.txt", *, name_column: str | None = None) -> DataFrame:
+def load_documents(spark: SparkSession, path: str, pattern: str = "*", *, name_column: str | None = None) -> DataFrame:
     """A folder of text files as documents: ``source`` is the file name (or the partition
     folder value ``name_column`` when the folder is partitioned; ``unknown`` when it cannot be
-    told), ``text`` the whole file, ``bytes`` its size."""
+    told), ``text`` the whole file, ``bytes`` its size. Every file that ``pattern`` takes is read as
+    UTF-8 text; one that is not text fails the job instead of being left out."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     if name_column is None:
         reader = reader.option("recursiveFileLookup", "true")

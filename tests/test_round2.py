@@ -1,11 +1,14 @@
-"""Nulls in snapshot diffs, doubled quotes in question files, restarts of the update audit."""
+"""Nulls in snapshot diffs, doubled quotes in question files, restarts of the update audit, files that readers take."""
+
+import pyarrow as pa
+import pyarrow.parquet as pa_parquet
 
 from lodestar.operators.changes import next_in_key, snapshot_changes
 from lodestar.operators.evaluate import accepted_sources
 from lodestar.operators.ingest import load_published, publish, published_path
 from lodestar.operators.secure import visible_counts
-from lodestar.sources.tables import read_questions_csv
-from lodestar.streaming.ingest import stream_update_audit
+from lodestar.sources.tables import load_documents, read_questions_csv
+from lodestar.streaming.ingest import append_log, file_stream, stream_update_audit
 
 
 def test_null_values_are_values_in_a_diff(spark):
@@ -65,3 +68,18 @@ def test_short_passages_have_sources(spark):
     passages = spark.createDataFrame(list(asked.items()), "item_id long, text string")
     got = {tuple(r) for r in accepted_sources(passages, docs).collect()}
     assert got == {(q, d) for q, p in asked.items() for d, t in texts.items() if p and t and p.strip(" -") and p in t}
+
+
+def test_folder_reader_takes_every_text_file(spark, tmp_path):
+    (tmp_path / "one.txt").write_text("first")
+    (tmp_path / "two.md").write_text("# second")
+    (tmp_path / "notes").write_text("third")
+    got = {r.source: (r.text, r.bytes) for r in load_documents(spark, str(tmp_path)).collect()}
+    assert got == {"one.txt": ("first", 5), "two.md": ("# second", 8), "notes": ("third", 5)}
+
+
+def test_stream_reads_its_own_table_only(spark, tmp_path):
+    for name, x in (("part", 1), ("part-2", 2), ("part.3", 3), ("part_sizes", 9), ("parts", 9)):
+        pa_parquet.write_table(pa.table({"x": [x]}), tmp_path / f"{name}.parquet")
+    got = append_log(spark, file_stream(spark, str(tmp_path), "part", "x long"), str(tmp_path / "sink"), str(tmp_path / "ck"))
+    assert sorted(r.x for r in got.collect()) == [1, 2, 3]
