@@ -2,17 +2,19 @@
 
 Every message is split into runs of lines with one quote level (the ``>`` signs at the line's start).
 A quoted run is a passage; its text without the signs is normalised (lower case, words joined by
-one space) and hashed. What a message says itself is hashed as well: its whole own text, every run, and every
-line. A passage is linked to the earliest earlier message of its conversation that says it. Messages
-then form threads: a message answers the message that its first linked passage of the lowest level comes from, and a
+one space) and hashed. What a message says itself is hashed as well: its whole own text, every run, every
+line, and every sentence, within a line and across line breaks. A passage is taken whole, as the sentences of its lines, and
+as its sentences whatever the line breaks; it is linked to the earliest earlier message of its conversation that says
+all parts of one of these, so a trimmed or re-wrapped quote is found. Messages then form threads: a message answers the message that its first linked passage of the lowest level comes from, and a
 conversation is given thread by thread in the order of the messages, without quotes.
 
 All steps are built-in functions: the originals of a key are reduced to the earliest message before
-they meet the quotes, so a line that everybody quotes joins one row per conversation; roots come from
-pointer jumping. No conversation is ever gathered into one row.
+they meet the quotes, so a line that everybody quotes joins one row per conversation; a passage of several parts
+meets only the messages that say its rarest part, once for all that quote it; roots come from pointer jumping. No conversation is ever gathered into one row.
 
 Defined results: null text is empty; turns tied within a conversation are ordered by role, then text; a message
-of quotes alone has an empty text; a passage that no earlier message says stays unlinked; nested levels are
+of quotes alone has an empty text; a passage that no earlier message says stays unlinked, as does a re-wrapped one that
+starts or ends inside a sentence; a passage may leave out sentences or lines of its source; nested levels are
 passages of their own; rows without conv_id or turn are kept, are not linked and are roots."""
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import table
 
 
+#: A sentence ends with these signs and white space, or with the full-width ones.
+SENTENCE = r"(?<=[.!?…][\"'”’»)\]]{0,3})\s+|(?<=[。！？])"
+
+
 def _normal(c):
     return F.trim(F.regexp_replace(F.lower(c), r"[\s\p{P}\p{S}]+", " "))
 
@@ -44,6 +50,25 @@ def _runs(lines):
         .otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["body"].alias("body"))))))
 
 
+def _sentences(text):
+    return F.split(text, SENTENCE)
+
+
+def _joined(body):
+    """The sentences of a text whatever its line breaks."""
+    return _sentences(F.regexp_replace(body, r"\s+", " "))
+
+
+def _by_line(body):
+    """The sentences of each line."""
+    return F.flatten(F.transform(F.split(body, "\n"), _sentences))
+
+
+def _parts(texts):
+    """Distinct normalised texts that hold a word, in a fixed order."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(texts, _normal), lambda x: x != "")))
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """msg (a row number), conv_id, turn, role, own text without quotes, and runs by quote level."""
     m = messages.select("conv_id", "turn", "role", "text").withColumn("msg", F.monotonically_increasing_id())
@@ -57,16 +82,31 @@ def link(messages: DataFrame) -> DataFrame:
     m = table(parse(messages), "messages")
     place = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "msg")
     keyed = m.where("conv_id is not null and turn is not null").withColumn("place", place)
-    quoted = keyed.select("conv_id", "msg", "place", F.posexplode("runs").alias("at", "run")).where("run.level > 0")
-    quoted = table(quoted.select("conv_id", "msg", "place", F.struct("run.level", "at").alias("at"), F.xxhash64(_normal(F.col("run.body"))).alias("key"), _normal(F.col("run.body")).alias("said"))
-                   .where("said <> ''"), "passages")
-    wanted = quoted.select("conv_id", "key", "said").distinct()
-    texts = F.array_union(F.array(F.col("own")), F.array_union(
-        F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["body"]), F.split("own", "\n")))
-    says = keyed.select("conv_id", "place", F.explode(F.array_distinct(F.transform(texts, _normal))).alias("said")).where("said <> ''")
-    says = says.withColumn("key", F.xxhash64("said")).join(wanted, ["conv_id", "key", "said"], "left_semi")
-    first = says.groupBy("conv_id", "key", "said").agg(F.min("place").alias("source"))
-    linked = quoted.join(first, ["conv_id", "key", "said"]).where("source < place")
+    quoted = keyed.select("conv_id", "msg", F.posexplode("runs").alias("at", "run")).where("run.level > 0")
+    body = F.col("run.body")
+    ways = F.array_distinct(F.array(_parts(F.array(body)), _parts(_by_line(body)), _parts(_joined(body))))
+    ways = table(quoted.select("conv_id", "msg", F.struct("run.level", "at").alias("at"), F.explode(ways).alias("parts"))
+                 .where(F.size("parts") > 0), "passages")
+    wanted = table(ways.select("conv_id", "parts").distinct().withColumn("want", F.monotonically_increasing_id()), "wanted")
+    part = wanted.select("conv_id", "want", F.size("parts").alias("n"), F.explode("parts").alias("said")).withColumn("key", F.xxhash64("said"))
+    own = F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["body"])
+    texts = F.concat(F.array(F.col("own")), own, F.split("own", "\n"), _by_line(F.col("own")), _joined(F.col("own")),
+                     F.flatten(F.transform(own, _joined)))
+    says = keyed.select("conv_id", "msg", F.explode(_parts(texts)).alias("said")).withColumn("key", F.xxhash64("said"))
+    says = table(says.join(part.select("conv_id", "key", "said").distinct(), ["conv_id", "key", "said"], "left_semi"), "says")
+    often = says.groupBy("conv_id", "key", "said").agg(F.count(F.lit(1)).alias("often"))
+    part = table(part.join(often, ["conv_id", "key", "said"]), "parts")
+    # a message that says all parts of a passage says the one that the fewest messages say
+    lead = part.groupBy("conv_id", "want", "n").agg(
+        F.count(F.lit(1)).alias("found"), F.min_by(F.struct("key", "said"), F.struct("often", "key", "said")).alias("lead")).where("found = n")
+    near = lead.select("conv_id", "want", "n", "lead.key", "lead.said").join(says, ["conv_id", "key", "said"]).select("want", "n", "msg")
+    several = (near.where("n > 1").join(part.select("conv_id", "want", "key", "said"), "want").join(says, ["conv_id", "key", "said", "msg"])
+               .groupBy("want", "n", "msg").agg(F.count(F.lit(1)).alias("found")).where("found = n").select("want", "msg"))
+    first = (near.where("n = 1").select("want", "msg").union(several).join(keyed.select("msg", "place"), "msg")
+             .groupBy("want").agg(F.min("place").alias("source")))
+    source = wanted.join(first, "want").select("conv_id", "parts", "source")
+    linked = ways.join(source, ["conv_id", "parts"]).groupBy("msg", "at").agg(F.min("source").alias("source"))
+    linked = linked.join(keyed.select("msg", "place"), "msg").where("source < place")
     parent = linked.groupBy("msg").agg(F.min_by(F.col("source.msg"), "at").alias("parent"), F.count(F.lit(1)).alias("n_links"))
     return m.join(parent, "msg", "left")
 

@@ -157,6 +157,19 @@ def test_quotes(spark):
     assert quotes.conversations(m.limit(0)).count() == 0
 
 
+def test_trimmed_and_rewrapped_quotes(spark):
+    said = "First line here.\nSecond one follows here. With more of it.\nA third line without a stop"
+    rows = [(1, 0, "user", said), (1, 1, "assistant", "> Second one follows here. With more of it.\n> A third line without a stop\nReply one."),
+            (1, 2, "user", "> With more of it.\nReply two."), (1, 3, "user", "> First line\n> here. Second one\n> follows here.\nReply three."),
+            (1, 4, "user", "> First line here.\n> Reply one.\nNobody says both."), (1, 5, "user", "> First line here.\n> [...]\n> With more of it.\nSnipped."),
+            (1, 6, "user", "Reply one.\nReply two.\nReply three."), (1, 7, "user", "> Reply three.\n>\n> Reply one.\nLate."),
+            (2, 0, "user", "> Second one follows here.\n> With more of it.\nElsewhere.")]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.reply_to, r.root, r.n_links) for r in got} == {
+        (1, 0): (None, 0, 0), (1, 1): (0, 0, 1), (1, 2): (0, 0, 1), (1, 3): (0, 0, 1), (1, 4): (None, 4, 0), (1, 5): (0, 0, 1),
+        (1, 6): (None, 6, 0), (1, 7): (6, 6, 1), (2, 0): (None, 0, 0)}
+
+
 def test_quality_rule_counts_equal_brute_force(docs, texts):
     got = outliers.judge(docs)
     assert got.count() == docs.count()
