@@ -7,9 +7,13 @@ Coverage is the share of the template's words that are aligned. Because words ou
 never align, each text is reduced to the template's words first, and a text whose word counts
 cannot reach ``MIN_COVERAGE`` is left out before any alignment; both change no result.
 
-The templates are a small list (a parameter; ``MAX_TEMPLATE_WORDS`` is checked), sent to every task. A
-template is aligned to whole texts, and where a text has several copies of a notice, its words are not
-unique in the whole text: then each stretch of ``STRETCH`` template lengths, half of it apart, is aligned.
+An alignment spans at most ``STRETCH`` template lengths of the text's own words, so that words far apart are no notice. The
+alignment of the whole text by anchors comes first. It misses a notice that the text has several times, or next to more of its
+words, for these are not unique. Then each occurrence of the template's rarest words is taken as the anchor,
+so many of them that no better alignment can do without all, and what stands before and after it is aligned with the
+most words in the least span. So the coverage is the largest that any stretch of that length gives, at every size.
+
+The templates are a small list (a parameter; ``MAX_TEMPLATE_WORDS`` is checked), sent to every task.
 
 Defined results: null and empty texts have no license; templates without words are ignored; repeated rows
 are scanned each; of equal coverage the longer template, then the one whose name sorts first, is the text's
@@ -17,7 +21,8 @@ license."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +100,94 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _densest(pairs: list[tuple[int, int]], pos: list[int], width: int) -> tuple[int, int, int]:
+    """(aligned words, first word, end word) of the aligned pairs within ``width`` words that are most."""
+    best, lo = (0, 0, 0), 0
+    for hi, (k, _) in enumerate(pairs):
+        while pos[k] - pos[pairs[lo][0]] >= width:
+            lo += 1
+        if hi - lo + 1 > best[0]:
+            best = (hi - lo + 1, pos[pairs[lo][0]], pos[k] + 1)
+    return best
+
+
+def _dense(seq: list[int], pos: list[int], need: dict[int, int], width: int, least: int) -> list[int]:
+    """Places in ``seq`` that lie in ``width`` words which hold ``least`` words of the template, in any order."""
+    out: list[int] = []
+    has = dict.fromkeys(need, 0)
+    lo = n = 0
+    for hi, w in enumerate(seq):
+        has[w] += 1
+        n += has[w] <= need[w]
+        while pos[hi] - pos[lo] >= width:
+            n -= has[seq[lo]] <= need[seq[lo]]
+            has[seq[lo]] -= 1
+            lo += 1
+        if n >= least:
+            out.extend(range(max(lo, out[-1] + 1 if out else 0), hi + 1))
+    return out
+
+
+def _gains(words, far, masks: dict[int, int], skip: int, n: int, width: int) -> list[int]:
+    """The distance at which 1, 2, ... of the template's ``n`` words after its first ``skip`` can be aligned (bits that are
+    cleared in one number count the longest common subsequence)."""
+    full = (1 << n) - 1
+    open_, out = full, []
+    for w, d in zip(words, far, strict=True):
+        if d >= width or len(out) == n:
+            break
+        hit = open_ & (masks[w] >> skip)
+        if hit:
+            open_ = ((open_ + hit) | (open_ - hit)) & full
+            if n - open_.bit_count() > len(out):
+                out.append(d)
+    return out
+
+
+def best_stretch(seq: list[int], pos: list[int], code: list[int], least: int) -> tuple[int, int, int]:
+    """(aligned words, first word, end word) of the stretch of a text that aligns most words of the template;
+    (0, 0, 0) if none has ``least``. ``pos`` are the places of ``seq`` in the text."""
+    n, width = len(code), max(STRETCH * len(code), 8)
+    best = _densest(align(seq, code), pos, width)
+    if best[0] == n:
+        return best
+    need: dict[int, int] = {}
+    ahead: dict[int, int] = {}
+    back: dict[int, int] = {}
+    at: dict[int, list[int]] = {}
+    for j, w in enumerate(code):
+        need[w] = need.get(w, 0) + 1
+        at.setdefault(w, []).append(j)
+        ahead[w] = ahead.get(w, 0) | 1 << j
+        back[w] = back.get(w, 0) | 1 << (n - 1 - j)
+    places = _dense(seq, pos, need, width, max(least, best[0] + 1))
+    found: dict[int, list[int]] = {w: [] for w in need}
+    for k in places:
+        found[seq[k]].append(k)
+    held = 0
+    for w in sorted(need, key=lambda x: (len(found[x]), x)):
+        # a better alignment leaves out fewer than n - best words, so it has one of any n - best
+        if held >= n - max(best[0], least - 1):
+            break
+        held += need[w]
+        for k in found[w]:
+            lo, hi = bisect_right(pos, pos[k] - width), bisect_left(pos, pos[k] + width)
+            for j in at[w]:
+                after = [0, *_gains(seq[k + 1:hi], (x - pos[k] for x in pos[k + 1:hi]), ahead, j + 1, n - j - 1, width)]
+                if j + len(after) <= best[0]:
+                    continue
+                before = [0, *_gains(seq[lo:k][::-1], (pos[k] - x for x in pos[lo:k][::-1]), back, n - j, j, width)]
+                if len(before) + len(after) - 1 <= best[0]:
+                    continue
+                ends = [bisect_right(after, width - 1 - d) - 1 for d in before]
+                most, short, d = max((g + h + 1, -d - after[h], d) for g, (d, h) in enumerate(zip(before, ends, strict=True)))
+                if most > best[0]:
+                    best = (most, pos[k] - d, pos[k] - short - d + 1)
+            if best[0] == n:
+                return best
+    return best if best[0] >= least else (0, 0, 0)
+
+
 def _template_words(templates: dict[str, str]) -> list[tuple[str, np.ndarray]]:
     t = texts_of(pa.array(list(templates.values()), pa.string()))
     s, e = t.words(ALNUM)
@@ -123,20 +216,13 @@ def scan_texts(t: Texts, templates: list[tuple[str, np.ndarray]], least: float)
         bound = np.zeros(t.n)  # words of the template that the text has at all
         for c, k in need.items():
             bound += np.minimum(np.bincount(d[x == c], minlength=t.n), k)
-        for i in np.flatnonzero(bound >= least * len(code)).tolist():
+        enough = max(1, ceil(least * len(code) - 1e-9))
+        for i in np.flatnonzero(bound >= enough).tolist():
             lo, hi = np.searchsorted(d, i), np.searchsorted(d, i + 1)
             seq, pos = x[lo:hi].tolist(), (p[lo:hi] - begin[i]).tolist()
-            best = (0.0, 0, 0)
-            width = max(STRETCH * len(code), 8)
-            cuts = [(0, len(seq))] + [(k, min(k + width, len(seq))) for k in range(0, len(seq), width // 2) if len(seq) > width]
-            for a, b in cuts:
-                got = align(seq[a:b], code.tolist())
-                if got and len(got) / len(code) > best[0]:
-                    best = (len(got) / len(code), pos[a + got[0][0]], pos[a + got[-1][0]] + 1)
-                if best[0] == 1.0:
-                    break
-            if best[0] >= least:
-                out[i].append((name, *best))
+            got, first, end = best_stretch(seq, pos, code.tolist(), enough)
+            if got:
+                out[i].append((name, got / len(code), first, end))
     return out
 
 

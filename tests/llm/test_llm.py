@@ -144,6 +144,49 @@ def test_patience_alignment(spark, docs, texts):
     assert rows[900].first_word == 2 and rows[900].end_word == 10 and rows[202].n_licenses == 0
 
 
+def licenses(text, templates=patience.TEMPLATES):
+    words = patience._template_words({k: templates[k] for k in sorted(templates)})
+    return {x[0]: x[1:] for x in patience.scan_texts(texts_of(pa.array([text])), words, patience.MIN_COVERAGE)[0]}
+
+
+def test_patience_finds_repeated_notices_amid_template_words():
+    name, notice = "All-Rights-Reserved", "All rights reserved."
+    assert licenses("All photos here. All rights reserved. Again: all rights reserved. That is all.") == {name: (1.0, 3, 6)}
+    for phase in range(40):  # copies in a row, with words of the template before and after, wherever they lie
+        text = "all of it, " * phase + " ".join([notice] * 3) + " by all, of all" * (phase % 7)
+        assert licenses(text)[name] == (1.0, 3 * phase, 3 * phase + 3), phase
+        text = "the license by cc, " * phase + "Released under the MIT License. " * 4 + "under the license " * (phase % 5)
+        assert licenses(text)["MIT"][0] == 1.0, phase
+    torn = "Licensed under the Apache Version 2.0. " * 5
+    assert licenses("the license the " * 9 + torn)["Apache-2.0"] == (7 / 8, 27, 34)
+
+
+def test_patience_bounds_the_span():
+    far = " some other words" * 40
+    assert licenses(f"all{far} rights{far} reserved{far}") == {}
+    assert licenses(f"all{far} all the rights are reserved{far}") == {"All-Rights-Reserved": (1.0, 121, 126)}
+
+
+def test_patience_equals_brute_force():
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            row, old = [0] * (len(y) + 1), row
+            for j, b in enumerate(y):
+                row[j + 1] = old[j] + 1 if a == b else max(old[j + 1], row[j])
+        return row[-1]
+    rng = random.Random(11)
+    for _ in range(400):
+        code = [rng.randrange(6) for _ in range(rng.randint(1, 7))]
+        words = [rng.choice([*code, None, None]) for _ in range(rng.randint(1, 50))]
+        pos = [i for i, w in enumerate(words) if w is not None]
+        width, least = max(patience.STRETCH * len(code), 8), rng.randint(1, len(code))
+        most = max(common(words[i:i + width], code) for i in range(len(words)))
+        got, first, end = patience.best_stretch([words[i] for i in pos], pos, code, least)
+        assert got == (most if most >= least else 0)
+        assert end - first <= width and common(words[first:end], code) == got
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "> How are you?\nFine, thanks."),
             (1, 2, "user", ">> how ARE you\n> Fine, thanks.\nGood."), (1, 3, "user", "> never said\nOther"), (1, 3, "user", "> never said\nOther"),
