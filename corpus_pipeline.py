@@ -4,11 +4,12 @@ Stages, in order: toxic documents go; documents failing the quality rules go; on
 id) of each group of near duplicates stays; documents that hold a benchmark passage go; the rest is
 packed into sequences. Each stage works on all that its predecessor kept and returns whole rows of
 ``documents``; the last returns one row per piece. What a stage keeps is written as Parquet in the shared
-folder and read again as the next one's input.
+folder and read again as the next one's input. A filtering stage writes its input with a number per row,
+which the operator carries and by which rejected rows leave.
 
-Defined results: rows without a doc_id are judged by text where a stage can (quality rules, benchmark) and
-else kept; null texts fail the quality rules; rows that repeat an id stay once (near duplicates);
-empty tables give empty results; extra columns are kept by the filters and ignored by the packing."""
+Defined results: every row is judged by its own text, with or without a doc_id, and whatever other rows have its
+id; of near duplicates rows without an id come last, and of one id the smallest text stays; null texts fail the quality
+rules; empty tables give empty results; extra columns are kept by the filters and ignored by the packing."""
 
 from __future__ import annotations
 
@@ -22,36 +23,53 @@ from lodestar.llm.common import small_side, table
 TOXIC = 0.3
 
 
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own in each row, written so that every reader sees the same."""
+    return table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """Numbered ``docs`` with the number as their id, for operators that only hand the id on."""
+    return docs.withColumn("doc_id", F.col(ROW))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``rejected``; rows without an id stay."""
-    ids = table(rejected.select("doc_id").where("doc_id is not null").distinct(), "rejected")
-    return docs.join(small_side(ids, 24), "doc_id", "left_anti").select(*docs.columns)
+    """Numbered ``docs`` without the rows whose numbers ``rejected`` has; the numbers go."""
+    rows = table(rejected.select(F.col(rejected.columns[0]).alias(ROW)).distinct(), "rejected")
+    return docs.join(small_side(rows, 24), ROW, "left_anti").drop(ROW)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
-    scores = toxicity.score_toxicity(docs, labels, train)
-    return _without(docs, scores.where(F.col("score") >= TOXIC))
+    docs = _numbered(docs)
+    scores = toxicity.score_toxicity(docs, labels, train, row=ROW)
+    return _without(docs, scores.where(F.col("score") >= TOXIC).select(ROW))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, outliers.judge(docs).where("not kept"))
+    docs = _numbered(docs)
+    return _without(docs, outliers.judge(_by_row(docs)).where("not kept").select("doc_id"))
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = _without(docs, jaccard.near_duplicates(docs).where("component_id < doc_id"))
-    # several rows of one id are one document: the row with the smallest text stays
-    again = table(kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
-    one = kept.join(small_side(again, 24), "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min_by(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]), F.coalesce("text", F.lit(""))).alias("row"))
-    one = one.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    return kept.join(small_side(again, 24), "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    docs = _numbered(docs)
+    found = jaccard.near_duplicates(_by_row(docs)).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("grp"))
+    copies = table(found.where(F.col("grp") < F.col(ROW)), "copies")
+    members = table(copies.unionByName(copies.select(F.col("grp").alias(ROW), "grp").distinct()), "members")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")), ROW)
+    first = docs.select(ROW, "doc_id", "text").join(members, ROW).groupBy("grp").agg(F.min(order).alias("first"))
+    stays = table(first.select(F.col(f"first.{ROW}").alias(ROW)), "first")
+    return _without(docs, members.join(stays, ROW, "left_anti").select(ROW))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, leaks.where(F.size("starts") > 0))
+    docs = _numbered(docs)
+    leaks = decontaminate.find_leaks(_by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, leaks.where(F.size("starts") > 0).select("doc_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -314,7 +314,8 @@ def _scores(machine):
                 f[i] = v
             raw = np.full(t.n, LOW)
             np.maximum.at(raw, own, f[inv])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(raw)], names=["doc_id", "raw"])
+            ids = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c).cast(pa.int64()) for c in ids], pa.array(raw)], names=[*ids, "raw"])
     return run
 
 
@@ -332,16 +333,18 @@ def _monotone(pos: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(n)), full, np.concatenate([np.full(int(m), p / k) for p, k, m in blocks]))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows, row: str | None = None) -> DataFrame:
     """doc_id and score of every row of ``docs`` (doc_id, text). ``labels``: doc_id, toxic;
-    ``train_rows``: a condition on doc_id, of the rows whose labels may be used."""
+    ``train_rows``: a condition on doc_id, of the rows whose labels may be used; ``row``: a long
+    column of ``docs`` that the result has too."""
     spark = docs.sparkSession
     known = table(labels.where(train_rows & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
                   .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "labels")
     by = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    text = docs.select("doc_id", "text")
+    ids = ["doc_id", row] if row else ["doc_id"]
+    text = docs.select(*ids, "text")
     if not by.get(1):
-        return text.select("doc_id", F.lit(0.0).alias("score"))
+        return text.select(*ids, F.lit(0.0).alias("score"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     share = [min(1.0, MAX_DOCS / 2 / max(by.get(k, 1), 1)) for k in (0, 1)]
     fit = known.where(F.when(F.col("toxic") == 1, part < int(share[1] * (1 << 20))).otherwise(part < int(share[0] * (1 << 20))))
@@ -349,8 +352,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows) -> DataFrame:
     seen = table(rows.mapInArrow(_seen, "word string, toxic int, key long"), "seen")
     machine = train(seen)
     if machine is None:
-        return text.select("doc_id", F.lit(0.0).alias("score"))
-    raw = table(text.mapInArrow(_scores(spark.sparkContext.broadcast(machine)), "doc_id long, raw double"), "raw")
+        return text.select(*ids, F.lit(0.0).alias("score"))
+    raw = table(text.mapInArrow(_scores(spark.sparkContext.broadcast(machine)), "".join(f"{c} long, " for c in ids) + "raw double"), "raw")
     at = F.least(F.lit(BINS - 1), F.floor((F.col("raw") - LOW) / (HIGH - LOW) * BINS)).cast("int")
     got = raw.join(known, "doc_id").groupBy(at.alias("bin")).agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n")).collect()
     pos, n = np.zeros(BINS), np.zeros(BINS)
@@ -358,4 +361,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows) -> DataFrame:
         pos[r.bin], n[r.bin] = r.pos, r.n
     share = _monotone(pos, n)
     curve = F.array(*[F.lit(float(x)) for x in share])
-    return raw.select("doc_id", (0.98 * curve[at] + 0.02 / (1 + F.exp(-F.col("raw")))).alias("score"))
+    return raw.select(*ids, (0.98 * curve[at] + 0.02 / (1 + F.exp(-F.col("raw")))).alias("score"))

@@ -391,3 +391,30 @@ def test_stages_on_odd_and_empty_tables(spark, docs, tmp_path):
         kept = {json.dumps(r.doc_id) for r in d.collect()}
         packed = corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path))
         assert {json.dumps(r.doc_id) for r in packed.collect()} == kept
+
+
+def test_stages_judge_rows_without_or_with_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+    rng = random.Random(21)
+    good, other, third = (prose(rng, 90) for _ in range(3))
+    leak = "this benchmark passage has words that no other text of the table holds in this order"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = [(i, 1, i % 2) for i in range(100, 140)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(stage, rows):
+        d = spark.createDataFrame([(i, x, "en", "s") for i, x in rows], "doc_id long, text string, lang string, source string")
+        got = stages[stage](spark, d, str(tmp_path))
+        assert got.columns == d.columns
+        return sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+
+    def ordered(rows):
+        return sorted(rows, key=str)
+    assert kept("quality_rules", [(None, None), (None, "short"), (None, good), (7, "short"), (7, other)]) == ordered([(None, good), (7, other)])
+    assert kept("decontamination", [(None, f"{good} {leak}"), (None, good), (7, f"{other} {leak}"), (7, other)]) == ordered([(None, good), (7, other)])
+    assert kept("near_duplicates", [(None, good), (None, good), (9, good), (7, good), (7, other), (8, third), (8, third), (None, third + " x")]) \
+        == ordered([(7, good), (7, other), (8, third)])
+    train = [(i, f"{prose(rng, 30)} {'fuckwit' if t else 'harmless'} {prose(rng, 30)}") for i, _, t in labels]
+    odd = [(None, f"{good} fuckwit"), (None, good), (7, f"{other} fuckwit"), (7, other)]
+    assert [x for x in kept("toxicity", train + odd) if x[0] in (None, 7)] == ordered([(None, good), (7, other)])
