@@ -156,7 +156,8 @@ def _ask_rows(kind: int, chunk: int, keys, counts, slots: int, a=None, b=None):
             cols["chunk"].append(chunk)
             cols["n"].append(hi - lo)
             cols["keys"].append(_pack_sorted(keys[lo:hi]))
-            cols["counts"].append(_pack(counts[lo:hi].astype(np.uint32)))
+            # a chunk's own counts are small; the totals of contexts are those of the whole corpus
+            cols["counts"].append(_pack(counts[lo:hi].astype(np.uint64 if kind == CONTEXT else np.uint32)))
             cols["a"].append(None if a is None else _pack(a[lo:hi]))
             cols["b"].append(None if b is None else _pack(b[lo:hi]))
     long, raw = pa.int64(), pa.binary()
@@ -297,7 +298,7 @@ def _weights(t: pa.Table) -> pa.Table:
     keys = [_unpack_sorted(r["keys"]) for r in rows]
     distinct, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     cat = lambda k, dtype: np.concatenate([_unpack(r[k], dtype) for r in rows])
-    total = cat("counts", np.uint32).astype(np.int64)[first]
+    total = cat("counts", np.uint64).astype(np.int64)[first]
     a = backoff(total, np.bincount(inv, cat("a", np.float64)), np.bincount(inv, cat("b", np.float64)))
     at = np.r_[0, np.cumsum([len(k) for k in keys])]
     out = [(rows[0]["slot"], -1, len(distinct), _pack_sorted(distinct), _pack(a), None)]

@@ -418,3 +418,14 @@ def test_stages_judge_rows_without_or_with_repeated_ids(spark, tmp_path):
     train = [(i, f"{prose(rng, 30)} {'fuckwit' if t else 'harmless'} {prose(rng, 30)}") for i, _, t in labels]
     odd = [(None, f"{good} fuckwit"), (None, good), (7, f"{other} fuckwit"), (7, other)]
     assert [x for x in kept("toxicity", train + odd) if x[0] in (None, 7)] == ordered([(None, good), (7, other)])
+
+
+def test_katz_context_totals_beyond_32_bits():
+    keys, totals = np.array([3, 5, 9], np.uint64), np.array([5_000_000_000, 1 << 32, 7], np.int64)
+    seen, mass = totals * 0.75, np.array([0.5, 0.25, 0.125])
+    asks = katz._ask_rows(katz.CONTEXT, 0, keys, totals, 1, seen, mass)
+    rows = katz._weights(pa.Table.from_batches([asks])).to_pylist()
+    want = katz.backoff(totals, seen, mass)
+    assert (want > 0).all()
+    for r in rows:
+        assert katz._unpack(r["data"], np.float64) == pytest.approx(want)
