@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.session import ensure_checkpoint_dir
+from lodestar.session import ensure_checkpoint_dir, range_partitions
 
 #: Broadcast a side only when it was counted to hold at most so many bytes.
 BROADCAST_BYTES = 16 << 20
@@ -41,6 +41,26 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def numbered(df: DataFrame, order: list[Column], place: str, group: str | None = None, total: str | None = None) -> DataFrame:
+    """``df`` with each row's ``place`` (from 0) in ``order``, within ``group`` (a column without nulls) if one is named,
+    and the number of rows of the group as ``total``.
+
+    Rows are dealt by ranges of the order, sorted and written once with running numbers, so a group
+    of any size spans many tasks; what is summed up afterwards is one row per group and partition."""
+    by = [F.col(group), *order] if group else order
+    key = ["__part", group] if group else ["__part"]
+    at = df.repartitionByRange(range_partitions(df), *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    at = table(at.withColumn("__part", F.shiftright("__at", 33)), "numbered")
+    runs = at.groupBy(*key).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(group) if group else Window.partitionBy()
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*key, (before - F.col("__first")).alias("__shift"), F.sum("__n").over(w).alias("__total"))
+    out = at.join(small_side(table(runs, "runs"), 64), key).withColumn(place, F.col("__at") + F.col("__shift"))
+    if total:
+        out = out.withColumn(total, F.col("__total"))
+    return out.drop("__part", "__at", "__shift", "__total")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest id reachable from each id of ``edges`` (a, b): rows (id, root).
 

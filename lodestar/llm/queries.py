@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, jaccard, katz, outliers, packing, patience, quality, quotes, toxicity, urlfilter
+from lodestar.llm import (decontaminate, jaccard, katz, merkle, mixture, outliers, packing, patience, quality, quotes, resample, toxicity,
+                          urlfilter)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"), "prior")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(merkle.build(_t(spark, sf_dir, "documents"), F.coalesce(_fold(5) == 0, F.lit(False))))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resample.resample(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(_t(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_katz, op3_urlfilter, op4_patience, op5_quotes, op6_outliers,
-                                   op7_toxicity, op8_jaccard, op9_packing, op10_quality)}
-ORACLE: dict[str, str] = {"op3_urlfilter": urlfilter.ORACLE}
+                                   op7_toxicity, op8_jaccard, op9_packing, op10_quality, op11_merkle, op12_resample, op13_mixture)}
+ORACLE: dict[str, str] = {"op3_urlfilter": urlfilter.ORACLE, "op11_merkle": merkle.ORACLE, "op12_resample": resample.ORACLE,
+                          "op13_mixture": mixture.ORACLE}
