@@ -212,9 +212,11 @@ def link_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         np.array(counts.where(F.col("count") >= least).select("token").toPandas()["token"], np.int64).view(np.uint64))
     spare = marked.where("rep is not null and rep <> doc_id").select("doc_id", F.lit(None).cast("long").alias("root"))
     special = table(spare.unionByName(groups.withColumnRenamed("id", "doc_id")).withColumn("special", F.lit(True)), "special")
-    prefix = table(d.where("doc_id is not null").mapInArrow(_prefixes(spark.sparkContext.broadcast(hot)), "doc_id long, n long, tokens array<long>")
+    sent = spark.sparkContext.broadcast(hot)
+    prefix = table(d.where("doc_id is not null").mapInArrow(_prefixes(sent), "doc_id long, n long, tokens array<long>")
                    .where("n > 0").join(small_side(special, 32), "doc_id", "left").where("special is null or root is not null")
                    .select("doc_id", "n", F.coalesce("root", "doc_id").alias("grp"), "tokens"), "prefix")
+    sent.destroy()  # the prefixes are written
     shared = table(prefix.select(F.explode("tokens").alias("token"), "grp").groupBy("token").agg(
         F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("token"), "shared")
     rows = table(prefix.select(F.explode("tokens").alias("token"), "doc_id", "n", "grp").join(shared, "token"), "matrix")

@@ -46,7 +46,7 @@ def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _t(spark, sf_dir, "labels").select("doc_id", "toxic")
     scores = toxicity.score_toxicity(_t(spark, sf_dir, "documents"), labels, _fold(4) != 2)
-    return scores.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scores.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _t(spark, sf_dir, "labels").select("doc_id", "quality")
     scores = quality.score_quality(_t(spark, sf_dir, "documents"), labels, _fold(5) != 0)
-    return scores.select("doc_id", (_fold(5) == 0).alias("held_out"), "score",
+    return scores.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"), "prior")
 
 

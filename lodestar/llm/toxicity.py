@@ -173,12 +173,18 @@ class Machine:
 
 def units(t: Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct raw words of the slice, and for each use: its number and its text."""
+    h, spans, inv, own, extra, extra_own = _units(t)
+    raw = t.data.tobytes()
+    names = [raw[a:b].decode("utf-8", "replace") for a, b in spans.tolist()]
+    return names + extra, np.r_[inv, len(h) + np.arange(len(extra), dtype=np.int64)], np.r_[own, np.array(extra_own, own.dtype)]
+
+
+def _units(t: Texts):
+    """Hashes of the distinct raw words, a place of each, number and text of each use; runs of single letters and their texts."""
     s, e = t.words(NONSPACE)
     own = t.text_of(s)
-    raw = t.data.tobytes()
-    h = t.hashes(s, e)
-    _, first, inv = np.unique(h, return_index=True, return_inverse=True)
-    names = [raw[s[i]:e[i]].decode("utf-8", "replace") for i in first.tolist()]
+    raw = t.data
+    h, first, inv = np.unique(t.hashes(s, e), return_index=True, return_inverse=True)
     # runs of at least three single letters or digits in one text
     single = (e - s == 1) & ALNUM[t.data[np.minimum(s, max(len(t.data) - 1, 0))]] if len(s) else np.zeros(0, bool)
     extra, extra_own = [], []
@@ -190,11 +196,28 @@ def units(t: Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
                 if len(at) >= 3:
                     extra.append("".join(chr(raw[s[i]]) for i in at.tolist()))
                     extra_own.append(d)
-    if extra:
-        inv = np.r_[inv, len(names) + np.arange(len(extra))]
-        own = np.r_[own, np.array(extra_own, own.dtype)]
-        names += extra
-    return names, inv, own
+    return h, np.c_[s[first], e[first]], inv, own, extra, extra_own
+
+
+class _Known:
+    """Decision values of words by 64-bit hash: 12 bytes a word, forgotten beyond ``CACHE_WORDS``."""
+
+    def __init__(self):
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The values of sorted hashes; not a number for those not known."""
+        if not len(self.keys):
+            return np.full(len(h), np.nan, np.float32)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.values[at], np.float32(np.nan))
+
+    def learn(self, h: np.ndarray, values: np.ndarray) -> None:
+        if len(self.keys) > CACHE_WORDS:
+            self.__init__()
+        at = np.searchsorted(self.keys, h)
+        new = np.ones(len(h), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != h
+        self.keys, self.values = np.insert(self.keys, at[new], h[new]), np.insert(self.values, at[new], values[new])
 
 
 def _seen(batches):
@@ -285,37 +308,36 @@ def train(seen: DataFrame) -> Machine | None:
     return machine
 
 
+def _values(m: Machine, names: list[str]) -> np.ndarray:
+    """The decision value of each raw word; one of at most two letters gets the lowest."""
+    plain = [normal(x) for x in names]
+    order = sorted({w for w in plain if len(w) > 2})
+    got = dict(zip(order, m.words(order).tolist(), strict=True)) if order else {}
+    return np.array([got.get(w, LOW) for w in plain], np.float32)
+
+
 def _scores(machine):
     def run(batches):
         m = machine.value
         key = (m.bias, float(m.table.sum()))
         if _CACHE.get("key") != key:
             _CACHE.clear()
-            _CACHE.update(key=key, words={})
-        cache = _CACHE["words"]
+            _CACHE.update(key=key, words=_Known())
+        known = _CACHE["words"]
         for b, t in slices(batches):
-            names, inv, own = units(t)
-            todo = {w for w in map(normal, [x for x in names if x not in cache]) if len(w) > 2}
-            got = {}
-            if todo:
-                order = sorted(todo)
-                got = dict(zip(order, m.words(order).tolist(), strict=True))
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            f = np.full(len(names), LOW)
-            for i, x in enumerate(names):
-                v = cache.get(x)
-                if v is None:
-                    w = normal(x)
-                    v = got.get(w)
-                    if v is None:
-                        v = LOW if len(w) <= 2 else float(m.words([w])[0])
-                    cache[x] = v
-                f[i] = v
-            raw = np.full(t.n, LOW)
-            np.maximum.at(raw, own, f[inv])
+            h, spans, inv, own, extra, extra_own = _units(t)
+            f = known.find(h)
+            new = np.flatnonzero(np.isnan(f))
+            if len(new):
+                raw = t.data.tobytes()
+                f[new] = _values(m, [raw[x:y].decode("utf-8", "replace") for x, y in spans[new].tolist()])
+                known.learn(h[new], f[new])
+            worst = np.full(t.n, LOW)
+            np.maximum.at(worst, own, f[inv].astype(float))
+            if extra:
+                np.maximum.at(worst, np.array(extra_own), _values(m, extra).astype(float))
             ids = [c for c in b.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[b.column(c).cast(pa.int64()) for c in ids], pa.array(raw)], names=[*ids, "raw"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).cast(pa.int64()) for c in ids], pa.array(worst)], names=[*ids, "raw"])
     return run
 
 
@@ -353,7 +375,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows, row: str | No
     machine = train(seen)
     if machine is None:
         return text.select(*ids, F.lit(0.0).alias("score"))
-    raw = table(text.mapInArrow(_scores(spark.sparkContext.broadcast(machine)), "".join(f"{c} long, " for c in ids) + "raw double"), "raw")
+    sent = spark.sparkContext.broadcast(machine)
+    raw = table(text.mapInArrow(_scores(sent), "".join(f"{c} long, " for c in ids) + "raw double"), "raw")
+    sent.destroy()  # the scores are written
     at = F.least(F.lit(BINS - 1), F.floor((F.col("raw") - LOW) / (HIGH - LOW) * BINS)).cast("int")
     got = raw.join(known, "doc_id").groupBy(at.alias("bin")).agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n")).collect()
     pos, n = np.zeros(BINS), np.zeros(BINS)

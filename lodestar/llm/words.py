@@ -105,6 +105,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             hi = max(lo + 1, int(np.searchsorted(t.offs, t.offs[lo] + size, side="right")) - 1)
             yield batch.slice(lo, hi - lo), Texts(t.data[t.offs[lo]:t.offs[hi]], t.offs[lo:hi + 1] - t.offs[lo])
             lo = hi
+        del batch, t
+    pa.default_memory_pool().release_unused()  # a worker outlives its task
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:

@@ -214,3 +214,16 @@ def test_empty_tables(spark, docs):
     assert resample.resample(docs, empty).count() == docs.count()
     blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [r.taken for r in mixture.mix(blank).collect()] == [0, 0]
+
+
+def test_stage_rows_keep_every_column_and_leave_by_place(spark, tmp_path):
+    import corpus_pipeline
+    rows = [(i % 3, f"text {i}", 10 * i, "f") for i in range(40)] + [(None, None, -1, None)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, __row long, __row_f string").repartition(3).write.parquet(path)
+    for docs in (spark.read.parquet(path), spark.createDataFrame(rows, "doc_id long, text string, __row long, __row_f string")):
+        got, row = corpus_pipeline._numbered(docs)
+        ids = [r[row] for r in got.select(row).collect()]
+        assert len(set(ids)) == len(rows) and set(docs.columns) < set(got.columns)
+        out = corpus_pipeline._without(got, row, got.where("__row >= 200 or doc_id is null").select(row))
+        assert some(out.select(*docs.columns).collect()) == some(r for r in rows if 0 <= r[2] < 200) and out.columns == docs.columns
