@@ -63,9 +63,8 @@ def build_cell_index(corpus: DataFrame, path: str, *, n_cells: int | None = None
         return None
     first = corpus.select(F.size(vec).alias("d")).limit(1).collect()
     dims = int(first[0]["d"])
-    k = int(n_cells or max(2, round(math.sqrt(n))))
-    if k * dims * 8 > MAX_CENTROID_BYTES:
-        raise ValueError(f"{k} cells × {dims} numbers exceed the centroid budget of {MAX_CENTROID_BYTES} bytes")
+    # never more cells than the centroid budget holds; a larger table has larger cells (blocks stay bounded)
+    k = min(int(n_cells or max(2, round(math.sqrt(n)))), MAX_CENTROID_BYTES // (dims * 8))
     feats = corpus.select(F.col(id).cast("long").alias("id"), F.col(vec).alias("embedding"),
                           array_to_vector(F.col(vec)).alias("features"))
     train = feats if n <= train_rows else feats.sample(fraction=min(1.0, train_rows / n), seed=seed)

@@ -60,6 +60,20 @@ def next_in_key(df: DataFrame, key: str, order: list[str], value: str, out: str)
     return fixed.select(*df.columns, F.when(F.col("_last"), F.col("_fv")).otherwise(F.col(out)).alias(out))
 
 
+def chained_audit(before: DataFrame, updates: DataFrame, key: str, value: str, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Audit of ``updates`` that may hold several rows per key, and each key's last value (``key, value``).
+
+    The updates of a key form a chain in ``order`` (ties, and no order at all: by value): the first replaces the row's value, each later one
+    what its predecessor wrote. Keys that have no row are not audited. A key's updates of one batch are one ordered array."""
+    rank = F.struct(*(order or []), F.col(value))
+    chain = updates.groupBy(key).agg(F.sort_array(F.collect_list(rank)).alias("_c"))
+    chain = chain.select(key, F.transform("_c", lambda x: x[value]).alias("_v"))
+    rows = before.select(key, F.col(value).alias("_old")).join(chain, key)
+    steps = rows.select(key, "_v", F.concat(F.array("_old"), F.slice("_v", 1, F.size("_v") - 1)).alias("_b"))
+    audit = steps.select(key, F.inline(F.arrays_zip(F.col("_b").alias("old_value"), F.col("_v").alias("new_value"))))
+    return audit, chain.select(key, F.element_at("_v", -1).alias(value))
+
+
 def version_history(versions: DataFrame, key: str, ts: str, cols: list[str], tie: str | None = None) -> DataFrame:
     """Row history with ``valid_from`` / ``valid_to`` (open end for the current version)."""
     order = [ts] + ([tie] if tie else [])

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.config import MAX_DISTANCE, RRF_CANDIDATES, RRF_K, TOP_K
+from lodestar.operators import vindex
 from lodestar.operators.fulltext import text_top_k
 from lodestar.operators.knn import knn_batch, top_k_per_query
+from lodestar.operators.vindex import VectorIndex
 
 
 def text_ranks(questions: DataFrame, postings: DataFrame, n: int = RRF_CANDIDATES, *,
@@ -26,8 +28,9 @@ def text_ranks(questions: DataFrame, postings: DataFrame, n: int = RRF_CANDIDATE
 
 def vector_ranks(questions: DataFrame, corpus: DataFrame, n: int = RRF_CANDIDATES, *,
                  exclude_self: bool = True) -> DataFrame:
-    """Vector top-n per question: ``qid, id, distance, rank``."""
-    return knn_batch(questions, corpus, n, exclude="self" if exclude_self else None)
+    """Vector top-n per question: ``qid, id, distance, rank``; questions and rows without a vector take no part."""
+    return knn_batch(questions.where("qvec is not null"), corpus.where("embedding is not null").select("id", "embedding"), n,
+                     exclude="self" if exclude_self else None)
 
 
 def fuse(vranks: DataFrame, franks: DataFrame, top_k: int = TOP_K, rrf_k: int = RRF_K) -> DataFrame:
@@ -53,9 +56,12 @@ def hybrid_search(questions: DataFrame, corpus: DataFrame, postings: DataFrame,
 
 
 def vector_search(questions: DataFrame, corpus: DataFrame, *, top_k: int = TOP_K,
-                  exclude_self: bool = True) -> DataFrame:
-    """``qid, rank, id, source, score`` with score = cosine distance."""
-    top = knn_batch(questions, corpus, top_k, exclude="self" if exclude_self else None)
+                  exclude_self: bool = True, index: VectorIndex | None = None) -> DataFrame:
+    """``qid, rank, id, source, score`` with score = cosine distance; through the vector index where there is one."""
+    if index is not None:
+        top = vindex.search(questions, index, top_k, exclude_self=exclude_self)
+    else:
+        top = vector_ranks(questions, corpus, top_k, exclude_self=exclude_self)
     return (top.join(corpus.select("id", "source"), "id")
             .select("qid", "rank", "id", "source", F.col("distance").alias("score")))
 
@@ -63,12 +69,14 @@ def vector_search(questions: DataFrame, corpus: DataFrame, *, top_k: int = TOP_K
 def retrieve(questions: DataFrame, corpus: DataFrame, postings: DataFrame | None, mode: str = "hybrid", *,
              top_k: int = TOP_K, max_distance: float = MAX_DISTANCE, candidates: int = RRF_CANDIDATES,
              exclude_self: bool = True, stopwords: DataFrame | None = None,
-             stats: DataFrame | None = None) -> DataFrame:
+             stats: DataFrame | None = None, index: VectorIndex | None = None) -> DataFrame:
     """Rows to answer each question from, and the mode actually used.
 
     hybrid: all fused rows of a question are kept when its closest row is within
     ``max_distance`` (inclusive), otherwise none; vector: rows are cut one by one.
-    Without a text index, hybrid falls back to vector and says so in ``mode_used``.
+    Without a text index, hybrid falls back to vector and says so in ``mode_used``. ``index`` is the vector index
+    of the corpus (``ingest.published_index``): vector mode searches it, and exactly where there is none; hybrid
+    mode takes exact distances either way.
     A question with no rows left is ``refused``: one row with null ``id``.
     Output: ``qid, mode_used, n, id, source, score, refused``.
     """
@@ -80,7 +88,7 @@ def retrieve(questions: DataFrame, corpus: DataFrame, postings: DataFrame | None
         rows = rows.where(F.col("closest") <= F.lit(max_distance)).drop("closest")
         used = "hybrid"
     else:
-        rows = vector_search(questions, corpus, top_k=top_k, exclude_self=exclude_self)
+        rows = vector_search(questions, corpus, top_k=top_k, exclude_self=exclude_self, index=index)
         rows = rows.where(F.col("score") <= F.lit(max_distance))
         used = "vector"
     # Renumber after the cut so passages are 1..n.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.operators.chunking import split_chunks
 from lodestar.operators.relational import with_department
@@ -17,10 +18,17 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 _BUILT: dict[tuple, object] = {}
 
 
-def built_once(spark: SparkSession, sf: str, name: str, build):
-    """An index built once per session and data folder, then reused by every query
-    (as a deployment builds its index at ingest and queries it many times)."""
+def built_once(spark: SparkSession, sf: str, name: str, build, tables: tuple[str, ...] = ("documents",)):
+    """An index built once per session and state of its input ``tables``, then reused by every query
+    (as a deployment builds its index at ingest and queries it many times). A changed input is built anew."""
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _BUILT:
-        _BUILT[key] = build()
-    return _BUILT[key]
+    state = tuple(data_version(read_table(spark, sf, t)) for t in tables)
+    if key not in _BUILT or _BUILT[key][0] != state:
+        _BUILT[key] = (state, build())
+    return _BUILT[key][1]
+
+
+def data_version(df: DataFrame) -> int:
+    """A number that changes with the files of ``df``: names, sizes and times, added up over the files; no column is read."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return files.agg(F.sum(F.shiftright(F.xxhash64("file_path", "file_size", "file_modification_time"), 20))).first()[0] or 0

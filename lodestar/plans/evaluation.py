@@ -25,7 +25,7 @@ def _set(qid):
 def _run(spark, sf):
     docs = read_table(spark, sf, "documents")
     stop = ft.stopword_table(spark)
-    corpus = docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("content"))
+    corpus = docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("content")).where("content is not null")
     counts = built_once(spark, sf, "document_term_counts", lambda: ft.term_counts(corpus))
     post = built_once(spark, sf, "document_postings",
                       lambda: ft.build_postings(corpus, stopwords=stop, counts=counts).checkpoint())

@@ -10,9 +10,9 @@ from lodestar.operators import validate as va
 from lodestar.operators.ingest import ingest_chunks, load_published
 from lodestar.plans.common import chunks
 from lodestar.plans.registry import register
-from lodestar.plans.sqlparts import CHUNKS, CORPUS
+from lodestar.plans.sqlparts import CHUNKS, WHOLE
 from lodestar.session import data_tag, scratch_path
-from lodestar.sources.tables import corpus, first_line, read_table
+from lodestar.sources.tables import read_table, whole_corpus
 
 
 @register("chunk_departments", f"""WITH {CHUNKS}
@@ -91,10 +91,10 @@ def graph_two_hop(spark, sf):
     return rel.same_department_as(owned_by, c.select(F.min("source")).scalar())
 
 
-@register("first_per_source", """SELECT source, doc_id, split_part(text, chr(10), 1) AS question FROM documents
+@register("first_per_source", """SELECT source, doc_id, text AS question FROM documents
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 ORDER BY doc_id LIMIT 4""")
 def first_per_source(spark, sf):
-    docs = read_table(spark, sf, "documents").withColumn("question", first_line(F.col("text")))
+    docs = read_table(spark, sf, "documents").withColumn("question", F.col("text"))
     return rel.first_per_group(docs, "source", "doc_id", "question", 4)
 
 
@@ -107,15 +107,22 @@ def chat_history(spark, sf):
     return h.withColumn("history", F.to_json("history"))
 
 
-@register("corpus_status", f"""WITH {CORPUS}
+@register("corpus_status", f"""WITH {WHOLE}
 SELECT count(*) AS chunks, min(id) AS min_id, max(id) AS max_id,
-       CASE WHEN count(*) >= {ANN_MIN_ROWS} THEN 'cell index (approximate)' ELSE 'none (exact search)' END AS vector_index,
+       CASE WHEN count(embedding) >= {ANN_MIN_ROWS} THEN 'approximate' ELSE 'exact' END AS vector_search,
+       CASE WHEN count(embedding) >= {ANN_MIN_ROWS} THEN count(embedding) END AS indexed_vectors,
+       CASE WHEN count(embedding) >= {ANN_MIN_ROWS} THEN max(len(embedding))::INTEGER END AS dimensions,
        {MAX_DISTANCE}::DOUBLE AS max_distance FROM corpus""")
 def corpus_status(spark, sf):
-    c = corpus(spark, sf)
-    n = F.count(F.lit(1))
-    return c.agg(n.alias("chunks"), F.min("id").alias("min_id"), F.max("id").alias("max_id"),
-                 F.when(n >= ANN_MIN_ROWS, "cell index (approximate)").otherwise("none (exact search)").alias("vector_index"),
+    """The table, and what its manifest says of the vector index; the index itself gives rows and dimensions."""
+    from lodestar.operators.ingest import published_index
+    from lodestar.plans.scale import published
+    index = published_index(spark, published(spark, sf))
+    c = whole_corpus(spark, sf)
+    return c.agg(F.count(F.lit(1)).alias("chunks"), F.min("id").alias("min_id"), F.max("id").alias("max_id"),
+                 F.lit("approximate" if index else "exact").alias("vector_search"),
+                 F.lit(index.rows if index else None).cast("long").alias("indexed_vectors"),
+                 F.lit(index.dims if index else None).cast("int").alias("dimensions"),
                  F.lit(MAX_DISTANCE).cast("double").alias("max_distance"))
 
 

@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from lodestar.operators import fulltext as ft
 from lodestar.operators import hybrid as hy
 from lodestar.operators import knn
+from lodestar.operators import textindex as ti
 from lodestar.operators.chunking import split_chunks
 from lodestar.plans.common import built_once
 from lodestar.plans.registry import register
-from lodestar.plans.sqlparts import CORPUS, POSTINGS, QTERMS, QUESTIONS, STOP, cos, hybrid_ctes
-from lodestar.sources.tables import corpus, corpus_questions, read_table
+from lodestar.plans.sqlparts import CORPUS, POSTINGS, QTERMS, QUESTIONS, STOP, TEXTS, VQUESTIONS, cos, hybrid_ctes
+from lodestar.session import data_tag, scratch_path
+from lodestar.sources.tables import corpus, read_table, text_corpus, text_questions, vector_questions, whole_corpus
 
 
 def _index(spark, sf):
-    c = corpus(spark, sf)
+    """The whole corpus, the text questions, the stop list, and the postings of all documents."""
+    texts = text_corpus(spark, sf).where("content is not null")
     stop = ft.stopword_table(spark)
-    post = built_once(spark, sf, "corpus_postings", lambda: ft.build_postings(c, stopwords=stop).checkpoint())
-    return c, corpus_questions(c), stop, post
+    counts = built_once(spark, sf, "document_term_counts", lambda: ft.term_counts(texts))
+    post = built_once(spark, sf, "document_postings", lambda: ft.build_postings(texts, stopwords=stop, counts=counts).checkpoint())
+    return whole_corpus(spark, sf), text_questions(spark, sf), stop, post
 
 
 def _vocab(spark, sf):
-    """``term, df, maxw`` of the corpus index, built once with it."""
+    """``term, df, maxw`` of the text index, built once with it."""
     post = _index(spark, sf)[3]
-    return built_once(spark, sf, "corpus_vocab", lambda: ft.term_stats(post).checkpoint())
+    return built_once(spark, sf, "document_vocab", lambda: ft.term_stats(post).checkpoint())
 
 
 @register("hybrid_rrf", f"WITH {hybrid_ctes()} SELECT * FROM hyb")
@@ -41,13 +47,13 @@ def knn_single(spark, sf):
     return knn.knn_single(c, knn.first_vector(c), 5, cols=("id", "source"))
 
 
-@register("knn_batch", f"""WITH {CORPUS}, {QUESTIONS}
+@register("knn_batch", f"""WITH {CORPUS}, {VQUESTIONS}
 SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM (
   SELECT q.qid, c.id, {cos('q.qvec', 'c.embedding')} AS distance FROM questions q JOIN corpus c ON c.id <> q.qid)
 QUALIFY rank <= 10""")
 def knn_batch(spark, sf):
     c = corpus(spark, sf)
-    return knn.knn_batch(corpus_questions(c), c, 10, exclude="self")
+    return knn.knn_batch(vector_questions(c), c, 10, exclude="self")
 
 
 @register("similar_items", f"""WITH {CORPUS}
@@ -74,19 +80,19 @@ cand AS (SELECT d.source, o.source AS other, o.id, {cos('o.embedding', 'd.embedd
 SELECT source, other AS closest_other_document FROM cand
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY dist, id) = 1""")
 def nearest_other_source(spark, sf):
-    return knn.nearest_other_source(corpus(spark, sf))
+    return knn.nearest_other_source(corpus(spark, sf).where("source is not null"))
 
 
 @register("topic_shift", f"""WITH {CORPUS},
 o AS (SELECT source, id, embedding, row_number() OVER (PARTITION BY source ORDER BY id) AS position,
-             lag(embedding) OVER (PARTITION BY source ORDER BY id) AS prev FROM corpus)
+             lag(embedding) OVER (PARTITION BY source ORDER BY id) AS prev FROM corpus WHERE source IS NOT NULL)
 SELECT source, position, {cos('embedding', 'prev')} AS shift_from_previous_chunk FROM o WHERE prev IS NOT NULL
 ORDER BY shift_from_previous_chunk DESC, source, position LIMIT 10""")
 def topic_shift(spark, sf):
-    return knn.topic_shift(corpus(spark, sf), 10)
+    return knn.topic_shift(corpus(spark, sf).where("source is not null"), 10)
 
 
-@register("fulltext_postings", f"WITH {CORPUS}, {STOP}, {POSTINGS} SELECT term, id, tf, df, round(weight, 6) + 0.0 AS weight FROM post")
+@register("fulltext_postings", f"WITH {TEXTS}, {STOP}, {POSTINGS} SELECT term, id, tf, df, round(weight, 6) + 0.0 AS weight FROM post")
 def fulltext_postings(spark, sf):
     c, _, stop, post = _index(spark, sf)
     return post.select("term", "id", "tf", "df", (F.round("weight", 6) + F.lit(0.0)).alias("weight"))
@@ -108,7 +114,23 @@ def fulltext_rank_pruned(spark, sf):
     return ft.text_top_k(q, post, 20, stopwords=stop, exclude_self=True, common_df=32)
 
 
-@register("fulltext_match_count", f"""WITH {CORPUS}, {QUESTIONS}, {STOP}, {POSTINGS}, {QTERMS},
+def text_index(spark, sf) -> ti.TextIndex:
+    """All documents as one segment of the text index, built and published once."""
+    def build():
+        base = scratch_path(spark, f"text_index_{data_tag(sf)}/{time.time_ns()}")
+        ti.apply_batch(text_corpus(spark, sf).select("id", "content"), base, 0)
+        return base
+    return ti.TextIndex(spark, built_once(spark, sf, "text_index", build), ft.stopword_table(spark))
+
+
+@register("fulltext_blocks", f"""WITH {hybrid_ctes()}
+SELECT qid, id, relevance, rank FROM fr""")
+def fulltext_blocks(spark, sf):
+    """The same ranking from blocks with bounds: ranges that cannot reach a question's k-th score are not opened."""
+    return ti.search(text_questions(spark, sf), text_index(spark, sf), 20, exclude_self=True)
+
+
+@register("fulltext_match_count", f"""WITH {TEXTS}, {QUESTIONS}, {STOP}, {POSTINGS}, {QTERMS},
 m AS (SELECT qid, count(DISTINCT id) AS matches FROM qt JOIN post USING (term) GROUP BY qid)
 SELECT q.qid, coalesce(m.matches, 0)::BIGINT AS matches FROM questions q LEFT JOIN m USING (qid)""")
 def fulltext_match_count(spark, sf):
@@ -128,7 +150,7 @@ def retrieve_hybrid(spark, sf):
     return hy.retrieve(q, c, post, "hybrid", stopwords=stop, stats=_vocab(spark, sf))
 
 
-_VSRC = f"""{CORPUS}, {QUESTIONS},
+_VSRC = f"""{CORPUS}, {VQUESTIONS},
 vs AS (SELECT v.qid, v.id, c.source, v.distance AS score, v.rank FROM (
          SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM (
            SELECT q.qid, c.id, {cos('q.qvec', 'c.embedding')} AS distance FROM questions q JOIN corpus c ON c.id <> q.qid)
@@ -138,7 +160,7 @@ vs AS (SELECT v.qid, v.id, c.source, v.distance AS score, v.rank FROM (
 @register("retrieve_vector", _RETRIEVE_SQL.format(ctes=_VSRC, src="vs", cut="score <= 0.52", mode="vector"))
 def retrieve_vector(spark, sf):
     c = corpus(spark, sf)
-    return hy.retrieve(corpus_questions(c), c, None, "vector")
+    return hy.retrieve(vector_questions(c), c, None, "vector")
 
 
 @register("passages", f"""WITH {hybrid_ctes()},

@@ -8,47 +8,94 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import ann
+from lodestar.config import ANN_MIN_ROWS
+from lodestar.functions.text import ratio_text
+from lodestar.operators import ann, vindex
 from lodestar.operators.embedding import embed_column, embed_distinct
 from lodestar.operators.halfprec import decode_half, to_half
+from lodestar.operators.hybrid import retrieve
+from lodestar.operators.ingest import publish, published_index
 from lodestar.operators.knn import knn_batch
 from lodestar.operators.noisy import noisy_copies
-from lodestar.plans.common import chunks
+from lodestar.plans.common import built_once, chunks
 from lodestar.plans.registry import register
 from lodestar.session import data_tag, scratch_path
-from lodestar.sources.tables import corpus, corpus_questions, load_documents, read_table
+from lodestar.sources.tables import corpus, load_documents, read_table, vector_questions
 
-NPROBE = 4
+NPROBE = 4  # first pass of the exact cell search
 
 
 def _index(spark, sf, tag="corpus"):
     c = corpus(spark, sf)
-    idx = ann.build_cell_index(c, scratch_path(spark, f"cells_{tag}_{data_tag(sf)}"))
+    idx = built_once(spark, sf, f"cells_{tag}", lambda: ann.build_cell_index(c, scratch_path(spark, f"cells_{tag}_{data_tag(sf)}")),
+                     ("embeddings",))
     return c, idx
 
 
-@register("ann_build")
+def published(spark, sf) -> str:
+    """The folder whose manifest names the vector index of all embeddings, built and published once."""
+    def build():
+        base = scratch_path(spark, f"published_{data_tag(sf)}")
+        path = f"{base}/v={time.time_ns()}"
+        index = vindex.build_index(read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), f"{path}_vectors")
+        publish(spark, base, f"{sf}/embeddings.parquet", vectors=index.path if index else None)
+        return base
+    return built_once(spark, sf, "published", build, ("embeddings",))
+
+
+def _found(spark, sf, k=10):
+    """Questions, the whole table, and what the published path finds: the index, or exact search where there is none."""
+    c = corpus(spark, sf).select("id", "embedding")
+    q, index = vector_questions(c), published_index(spark, published(spark, sf))
+    found = vindex.search(q, index, k, exclude_self=True) if index else knn_batch(q, c, k, exclude="self")
+    return q, c, index, found
+
+
+@register("ann_build", f"""SELECT vec_id AS id, CASE WHEN (SELECT count(*) FROM embeddings) >= {ANN_MIN_ROWS} THEN {vindex.SPILL} ELSE 0 END::BIGINT AS copies,
+  (len(embedding))::INTEGER AS code_bytes FROM embeddings""")
 def ann_build(spark, sf):
-    c, idx = _index(spark, sf)
-    if idx is None:
-        return spark.createDataFrame([], "cell int, rows long, nblk int")
-    return spark.read.parquet(f"{idx.path}/cells")
+    """Every embedding with the number of cells that hold it and the bytes of its code, read from the built index."""
+    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").alias("n"))
+    index = published_index(spark, published(spark, sf))
+    if index is None:
+        return e.select("id", F.lit(0).cast("long").alias("copies"), F.col("n").alias("code_bytes"))
+    held = vindex.index_rows(spark, index).groupBy("id").agg(F.countDistinct("cell").alias("copies"), F.max(F.octet_length("code")).alias("code_bytes"))
+    return e.select("id").join(held, "id", "left")
 
 
 @register("ann_search")
 def ann_search(spark, sf):
-    c, idx = _index(spark, sf)
-    found, _ = ann.vector_top_k(corpus_questions(c), c, idx, 10, nprobe=NPROBE)
-    return found
+    return _found(spark, sf)[3]
 
 
 @register("ann_recall")
 def ann_recall(spark, sf):
-    c, idx = _index(spark, sf)
-    q = corpus_questions(c)
-    exact = knn_batch(q, c, 10)
-    found, _ = ann.vector_top_k(q, c, idx, 10, nprobe=NPROBE)
-    return ann.recall_at_k(exact, found)
+    """Recall of the published path against exact search, self-match left out, also as ``k/n (p%)``."""
+    q, c, _, found = _found(spark, sf)
+    r = ann.recall_at_k(knn_batch(q, c, 10, exclude="self"), found)
+    return r.withColumn("ratio", ratio_text(F.col("found"), F.col("total")))
+
+
+@register("ann_recall_target", """WITH n AS (SELECT count(*) AS n FROM embeddings)
+SELECT n AS questions, n * least(10, n - 1) AS neighbours, true AS recall_reached, true AS under_half_of_the_cells, true AS distances_exact FROM n""")
+def ann_recall_target(spark, sf):
+    """Whether the index finds at least 98% of the true ten neighbours of every embedding, itself left out, from under half
+    of its cells, and gives the exact distance of all it finds."""
+    q, c, index, found = _found(spark, sf)
+    truth = knn_batch(q, c, 10, exclude="self").select("qid", "id", F.col("distance").alias("d"))
+    both = truth.join(found.select("qid", "id", "distance"), ["qid", "id"], "left")
+    n = both.agg(F.countDistinct("qid").alias("questions"), F.count(F.lit(1)).alias("neighbours"), F.count("distance").alias("hits"),
+                 F.count_if(F.col("distance").isNotNull() & (F.abs(F.col("d") - F.col("distance")) > 1e-6)).alias("off"))
+    return n.select("questions", "neighbours", (F.col("hits") >= 0.98 * F.col("neighbours")).alias("recall_reached"),
+                    F.lit(index is None or 2 * index.nprobe < index.cells).alias("under_half_of_the_cells"),
+                    (F.col("off") == 0).alias("distances_exact"))
+
+
+@register("retrieve_indexed")
+def retrieve_indexed(spark, sf):
+    """Vector retrieval through the published index (``retrieve_vector`` is its exact form)."""
+    c = corpus(spark, sf)
+    return retrieve(vector_questions(c), c, None, "vector", index=published_index(spark, published(spark, sf)))
 
 
 # float16 round-to-nearest-even of a float32 number, written out for the SQL oracle:
@@ -57,8 +104,8 @@ _HALF = ("CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round_even(x::DOUBLE / pow(2.0,
          " * pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10) END")
 
 
-@register("knn_half_precision", f"""WITH corpus AS (SELECT d.doc_id AS id, list_transform(e.embedding, lambda x: {_HALF}) AS h
-                FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)
+@register("knn_half_precision", f"""WITH corpus AS (SELECT e.vec_id AS id, list_transform(e.embedding, lambda x: {_HALF}) AS h
+                FROM embeddings e)
 SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM (
   SELECT q.id AS qid, c.id, round(list_cosine_distance(q.h, c.h), 6) + 0.0 AS distance FROM corpus q JOIN corpus c ON c.id <> q.id)
 QUALIFY rank <= 10""")
@@ -99,16 +146,16 @@ def recall_report(spark, sf):
     run("exact float16", None, knn_batch(qry.select("qid", F.col("qh").alias("qvec")), vec.select("id", F.col("h").alias("embedding")),
                                          10, decode=decode_half, dims=dims))
     t0 = time.perf_counter()
-    idx32 = ann.build_cell_index(vec, f"{base}/cells32")
+    idx32 = vindex.build_index(vec.select("id", "embedding"), f"{base}/cells32")
     b32 = int(round(time.perf_counter() - t0))
-    run("cells float32", b32, ann.cell_search(qry, idx32, 10, nprobe=NPROBE))
+    run("cells float32", b32, vindex.search(qry, idx32, 10))
     t0 = time.perf_counter()
     half_vec = vec.select("id", F.col("h").alias("embedding"))
     # The cell assignment needs numbers: cells are trained on the decoded half vectors.
     from lodestar.operators.halfprec import from_half
-    idx16 = ann.build_cell_index(half_vec.select("id", from_half("embedding").alias("embedding")), f"{base}/cells16")
+    idx16 = vindex.build_index(half_vec.select("id", from_half("embedding").alias("embedding")), f"{base}/cells16")
     b16 = int(round(time.perf_counter() - t0))
-    run("cells float16", b16, ann.cell_search(qry.select("qid", from_half("qh").alias("qvec")), idx16, 10, nprobe=NPROBE))
+    run("cells float16", b16, vindex.search(qry.select("qid", from_half("qh").alias("qvec")), idx16, 10))
     results = spark.read.parquet(*[f"{base}/results/{m}" for m, _, _ in timings])
     t = spark.createDataFrame(timings, "method string, build_seconds int, query_ms double")
     truth = results.where(F.col("method") == "exact float32").select("qid", F.col("id").alias("eid"))
@@ -145,7 +192,7 @@ def load_documents_q(spark, sf):
     return load_documents(spark, path, "*.txt", name_column="name")
 
 
-@register("ann_exact", """WITH corpus AS (SELECT d.doc_id AS id, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)
+@register("ann_exact", """WITH corpus AS (SELECT vec_id AS id, embedding FROM embeddings)
 SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM (
   SELECT q.id AS qid, c.id, round(list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) + 0.0 AS distance
   FROM corpus q JOIN corpus c ON c.id <> q.id)
@@ -153,11 +200,11 @@ QUALIFY rank <= 10""")
 def ann_exact(spark, sf):
     """The cell index searched with the exactness pass: equal to exact top-10."""
     c, idx = _index(spark, sf)
-    found, _ = ann.vector_top_k(corpus_questions(c), c, idx, 10, nprobe=NPROBE, exclude="self", exact=True)
+    found, _ = ann.vector_top_k(vector_questions(c), c, idx, 10, nprobe=NPROBE, exclude="self", exact=True)
     return found
 
 
-@register("recall_report_exact", """WITH corpus AS (SELECT d.doc_id AS id, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+@register("recall_report_exact", """WITH corpus AS (SELECT vec_id AS id, embedding FROM embeddings),
 truth AS (SELECT qid, id FROM (
   SELECT q.id AS qid, c.id, round(list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) + 0.0 AS distance
   FROM corpus q JOIN corpus c ON c.id <> q.id)
@@ -172,7 +219,7 @@ def recall_report_exact(spark, sf):
     """Recall@10 against exact float32 of the two exact methods: brute force and the cell
     index with its exactness pass (both 100%)."""
     c, idx = _index(spark, sf)
-    q = corpus_questions(c)
+    q = vector_questions(c)
     exact = knn_batch(q, c, 10, exclude="self").select(F.lit("exact float32").alias("method"), "qid", "id")
     cells, _ = ann.vector_top_k(q, c, idx, 10, nprobe=NPROBE, exclude="self", exact=True)
     results = exact.unionByName(cells.select(F.lit("cells exact float32").alias("method"), "qid", "id"))

@@ -3,9 +3,15 @@ pre-registered under their table names)."""
 
 from lodestar.config import ICELANDIC_STOPWORDS
 
-CORPUS = ("corpus AS (SELECT d.doc_id AS id, d.source, d.text AS content, e.embedding "
-          "FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)")
-QUESTIONS = "questions AS (SELECT id AS qid, split_part(content, chr(10), 1) AS question, embedding AS qvec FROM corpus)"
+# every embedding with its document, if any; every document; both
+CORPUS = ("corpus AS (SELECT e.vec_id AS id, d.source, d.text AS content, e.embedding "
+          "FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id)")
+TEXTS = "corpus AS (SELECT doc_id AS id, source, text AS content FROM documents)"
+WHOLE = ("corpus AS (SELECT coalesce(d.doc_id, e.vec_id) AS id, d.source, d.text AS content, e.embedding "
+         "FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id)")
+VQUESTIONS = "questions AS (SELECT vec_id AS qid, embedding AS qvec FROM embeddings)"
+QUESTIONS = ("questions AS (SELECT b.item_id AS qid, b.text AS question, e.embedding AS qvec "
+             "FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)")
 STOP = f"stop AS (SELECT DISTINCT unnest(string_split('{ICELANDIC_STOPWORDS}', ' ')) AS term)"
 SPLIT = r"'[^\p{L}\p{N}_]+'"
 
@@ -21,8 +27,8 @@ tok AS (SELECT id, term FROM (SELECT id, unnest(regexp_split_to_array(lower(cont
 tf AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY term, id),
 dl AS (SELECT id, count(*) AS dl FROM tok GROUP BY id),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-st AS (SELECT (SELECT count(*) FROM corpus)::DOUBLE AS n,
-              ((SELECT count(*) FROM tok) / (SELECT count(*) FROM corpus)::DOUBLE)::DOUBLE AS avgdl),
+st AS (SELECT (SELECT count(content) FROM corpus)::DOUBLE AS n,
+              ((SELECT count(*) FROM tok) / (SELECT count(content) FROM corpus)::DOUBLE)::DOUBLE AS avgdl),
 post AS (SELECT tf.term, tf.id, tf.tf, dfs.df,
                 ln(1.0 + (st.n - dfs.df + 0.5) / (dfs.df + 0.5)) * tf.tf * 2.2
                   / (tf.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avgdl)) AS weight
@@ -34,7 +40,8 @@ qt AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(regexp_split_to_array(
 
 # vector and text candidate lists, fused (as lodestar.operators.hybrid)
 VRANKS = f"""
-vall AS (SELECT q.qid, c.id, {cos('q.qvec', 'c.embedding')} AS distance FROM questions q JOIN corpus c ON c.id <> q.qid),
+vall AS (SELECT q.qid, c.id, {cos('q.qvec', 'c.embedding')} AS distance FROM questions q JOIN corpus c ON c.id <> q.qid
+         WHERE q.qvec IS NOT NULL AND c.embedding IS NOT NULL),
 vr AS (SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM vall
        QUALIFY rank <= {{cand}})"""
 FRANKS = """
@@ -54,7 +61,7 @@ hyb AS (SELECT top.qid, top.rank, top.id, c.source, top.score, closest.closest
 
 
 def hybrid_ctes(k: int = 5, cand: int = 20) -> str:
-    return ",".join([CORPUS, QUESTIONS, STOP, POSTINGS, QTERMS, VRANKS.format(cand=cand),
+    return ",".join([WHOLE, QUESTIONS, STOP, POSTINGS, QTERMS, VRANKS.format(cand=cand),
                      FRANKS.format(cand=cand), FUSED.format(k=k)])
 
 _STRIP = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"

@@ -17,30 +17,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with or without an embedding: ``id, source, content``."""
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("content"))
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector corpus: one row per document that has an embedding.
+    """The vector corpus: every embedding, with its document where there is one (else null source and content):
+    ``id, source, content, embedding`` as in the chunks table of the original."""
+    return _embeddings(spark, sf_dir).join(text_corpus(spark, sf_dir), "id", "left").select("id", "source", "content", "embedding")
 
-    ``id, source, content, embedding`` as in the chunks table of the original.
-    """
-    docs = read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), "source", F.col("text").alias("content"))
-    emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return docs.join(emb, "id")
 
+def whole_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and every embedding (a full outer join): what hybrid search looks through."""
+    return text_corpus(spark, sf_dir).join(_embeddings(spark, sf_dir), "id", "full").select("id", "source", "content", "embedding")
 
-def first_line(text: Column) -> Column:
-    """The title line of a document."""
-    return F.split_part(text, F.lit("\n"), F.lit(1))
 
+def vector_questions(corpus_df: DataFrame) -> DataFrame:
+    """Every corpus row as a question by vector: ``qid, qvec``; its own row is excluded from its results by the search
+    operators (``exclude_self``)."""
+    return corpus_df.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
 
-def corpus_questions(corpus_df: DataFrame) -> DataFrame:
-    """Every corpus row as a question: its title line as text, its embedding as vector.
 
-    ``qid, question, qvec``; a question's own row is excluded from its results
-    by the search operators (``exclude_self``).
-    """
-    return corpus_df.select(F.col("id").alias("qid"), first_line(F.col("content")).alias("question"),
-                            F.col("embedding").alias("qvec"))
+def text_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark texts as questions, whole: ``qid, question, qvec``. They have no vectors of their own; the embedding of
+    the same number stands in (null where there is none), and its row is excluded from the question's results."""
+    bench = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    return bench.join(_embeddings(spark, sf_dir), "id", "left").select(
+        F.col("id").alias("qid"), "question", F.col("embedding").alias("qvec"))
 
 
 def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,19 +66,31 @@ def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_sources(bench, docs)
 
 
-def load_documents(spark: SparkSession, path: str, pattern: str = "*", *, name_column: str | None = None) -> DataFrame:
+def is_text(content: Column) -> Column:
+    """Whether a file's bytes are text: valid UTF-8, no zero byte, and not the head of a PDF or of a zip archive (office files)."""
+    head = F.hex(F.substring(content, 1, 4))
+    return (F.is_valid_utf8(content.cast("string")) & ~F.contains(content, F.unhex(F.lit("00")))
+            & ~head.startswith("25504446") & (head != "504B0304"))
+
+
+def load_documents(spark: SparkSession, path: str, pattern: str = "*", *, name_column: str | None = None, others: str = "fail") -> DataFrame:
     """A folder of text files as documents: ``source`` is the file name (or the partition
     folder value ``name_column`` when the folder is partitioned; ``unknown`` when it cannot be
-    told), ``text`` the whole file, ``bytes`` its size. Every file that ``pattern`` takes is read as
-    UTF-8 text; one that is not text fails the job instead of being left out."""
+    told), ``text`` the whole file, ``bytes`` its size. Files are judged by content, not by name: every text file that
+    ``pattern`` takes is read as UTF-8; one that is not text fails the job (``others="skip"`` leaves it out)."""
+    if others not in ("fail", "skip"):
+        raise ValueError(f"unknown choice {others!r}")
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     if name_column is None:
         reader = reader.option("recursiveFileLookup", "true")
     raw = reader.load(path)
     name = F.col(name_column) if name_column else F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
+    if others == "skip":
+        raw = raw.where(is_text(F.col("content")))
+    refused = F.raise_error(F.concat(F.lit("not a text file: "), F.col("path")))
     return raw.select(
         F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown")).alias("source"),
-        F.decode(F.col("content"), "UTF-8").alias("text"),
+        F.when(is_text(F.col("content")), F.decode(F.col("content"), "UTF-8")).otherwise(refused).alias("text"),
         F.col("length").alias("bytes"),
     )
 

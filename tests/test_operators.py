@@ -145,8 +145,13 @@ def test_load_documents_names_each_file(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "b.txt").write_text("Annað skjal.", encoding="utf-8")
     (tmp_path / "skip.pdf").write_bytes(b"%PDF")
-    got = {r["source"]: r["text"] for r in load_documents(spark, str(tmp_path)).collect()}
+    (tmp_path / "sheet.docx").write_bytes(b"PK\x03\x04 and so on")
+    (tmp_path / "zero").write_bytes(b"a\x00b")
+    (tmp_path / "latin").write_bytes("æ".encode("latin-1"))
+    got = {r["source"]: r["text"] for r in load_documents(spark, str(tmp_path), others="skip").collect()}
     assert got == {"a.txt": "Fyrsta skjalið.", "b.txt": "Annað skjal."}
+    with pytest.raises(Exception, match="not a text file"):
+        load_documents(spark, str(tmp_path)).collect()
 
 
 def test_row_history_at_sf01_through_collect(spark):
