@@ -69,28 +69,34 @@ def dense_index(df: DataFrame, order: list[str], name: str = "n", start: int = 0
             .drop("_pid", "_local", "_off"))
 
 
-def simulate_usage(numbers: DataFrame, sources: DataFrame, *, start_date: str = "2026-01-01") -> DataFrame:
-    """Usage rows from a column of numbers ``s``: day ``s % 365`` of the year, the document with
-    index ``s % total``, mode by ``s % 3``, duration from ``s % 100``."""
+def usage_rows(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """What happened when and where: ``used_on, source, mode, shift, duration_ms`` of every event.
+
+    A user works on one document, the one whose index is ``user_id % number of documents`` (a join on a computed key; users that
+    are null or negative have none and their events stay without a source). ``shift`` is the third of the day."""
     docs = dense_index(sources.select("source").distinct(), ["source"], "n")
     total = docs.select(F.count(F.lit(1))).scalar()
-    s = F.col("s")
-    rows = numbers.select(
-        "s",
-        F.date_add(F.to_date(F.lit(start_date)), (s % 365).cast("int")).alias("used_on"),
-        F.when(s % 3 == 0, "vector").otherwise("hybrid").alias("mode"),
-        F.round(F.when(s % 3 == 0, F.lit(2.0)).otherwise(F.lit(7.0)) + (s % 100) / F.lit(50.0), 2)
-        .alias("duration_ms"),
-        (s % total).alias("n"))
+    third = F.floor(F.hour("ts") / 8)
+    shift = F.when(third == 0, "night").when(third == 1, "day").when(third == 2, "evening")
+    rows = events.select(F.to_date("ts").alias("used_on"), F.col("event_type").alias("mode"), shift.alias("shift"),
+                         F.round("value", 2).alias("duration_ms"), (F.col("user_id") % total).alias("n"))
     # docs has one row per distinct source; Catalyst broadcasts it when its size allows.
-    return rows.join(docs, "n").select("used_on", "source", "mode", "duration_ms")
+    return rows.join(docs, "n", "left").select("used_on", "source", "mode", "shift", "duration_ms")
 
 
 def usage_by_month(usage: DataFrame) -> DataFrame:
-    month = F.date_trunc("month", F.col("used_on").cast("timestamp")).cast("date")
-    return (usage.groupBy(month.alias("month"), "mode")
-            .agg(F.count(F.lit(1)).alias("searches"), F.round(F.avg("duration_ms"), 6).alias("avg_ms"))
-            .orderBy("month", "mode"))
+    """Events and mean duration of every mode in every month from the first to the last, months without any included.
+
+    The calendar is a number sequence over one row (first month, last month, modes), so it grows with months x modes only."""
+    month = F.trunc("used_on", "month")
+    seen = (usage.where("used_on is not null and mode is not null").groupBy(month.alias("month"), "mode")
+            .agg(F.count(F.lit(1)).alias("searches"), F.round(F.avg("duration_ms"), 6).alias("avg_ms")))
+    ends = seen.agg(F.min("month").alias("lo"), F.max("month").alias("hi"), F.collect_set("mode").alias("modes"))
+    numbers = F.sequence(F.lit(0), F.months_between("hi", "lo").cast("int"))
+    calendar = ends.where("lo is not null").select("lo", "modes", F.explode(numbers).alias("k"))
+    calendar = calendar.select(F.add_months("lo", F.col("k")).alias("month"), F.explode("modes").alias("mode"))
+    return (calendar.join(seen, ["month", "mode"], "left")
+            .select("month", "mode", F.coalesce("searches", F.lit(0)).alias("searches"), "avg_ms").orderBy("month", "mode"))
 
 
 def graph_edges(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

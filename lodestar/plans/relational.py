@@ -47,36 +47,39 @@ def running_totals(spark, sf):
 
 _USAGE = """docs AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS n, count(*) OVER () AS total
                  FROM (SELECT DISTINCT source FROM documents)),
-usage AS (SELECT (DATE '2026-01-01' + CAST(s.s % 365 AS INTEGER)) AS used_on, d.source,
-                 CASE WHEN s.s % 3 = 0 THEN 'vector' ELSE 'hybrid' END AS mode,
-                 round(CASE WHEN s.s % 3 = 0 THEN 2.0::DOUBLE ELSE 7.0::DOUBLE END + (s.s % 100) / 50.0::DOUBLE, 2) AS duration_ms
-          FROM (SELECT event_id + 1 AS s FROM events) s JOIN docs d ON d.n = s.s % d.total)"""
+usage AS (SELECT e.ts::DATE AS used_on, d.source, e.event_type AS mode,
+                 CASE hour(e.ts) // 8 WHEN 0 THEN 'night' WHEN 1 THEN 'day' WHEN 2 THEN 'evening' END AS shift,
+                 round(e.value, 2) AS duration_ms
+          FROM events e LEFT JOIN docs d ON d.n = e.user_id % d.total)"""
 
 
 def _usage(spark, sf):
-    numbers = read_table(spark, sf, "events").select((F.col("event_id") + 1).alias("s"))
-    return rel.simulate_usage(numbers, read_table(spark, sf, "documents"))
+    return rel.usage_rows(read_table(spark, sf, "events"), read_table(spark, sf, "documents"))
 
 
-@register("usage_generate", f"WITH {_USAGE} SELECT used_on, source, mode, duration_ms FROM usage")
+@register("usage_generate", f"WITH {_USAGE} SELECT used_on, source, mode, shift, duration_ms FROM usage")
 def usage_generate(spark, sf):
+    """The events as rows of usage: who used which document, when and how."""
     return _usage(spark, sf)
 
 
 @register("usage_partitioned", f"""WITH {_USAGE}
-SELECT date_trunc('month', used_on)::DATE AS month, count(*) AS rows FROM usage GROUP BY 1""")
+SELECT date_trunc('month', used_on)::DATE AS month, count(*) AS rows, count(DISTINCT source) AS sources FROM usage GROUP BY 1""")
 def usage_partitioned(spark, sf):
-    """Write usage partitioned by month, then count the rows of each partition."""
+    """Write usage partitioned by month, then count rows and documents of each partition."""
     path = scratch_path(spark, f"search_usage_{data_tag(sf)}")
     usage = _usage(spark, sf).withColumn("month", F.trunc("used_on", "month"))
     usage.write.mode("overwrite").partitionBy("month").parquet(path)
     back = spark.read.parquet(path)
-    return back.groupBy("month").agg(F.count(F.lit(1)).alias("rows"))
+    return back.groupBy("month").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("source").alias("sources"))
 
 
-@register("usage_by_month", f"""WITH {_USAGE}
-SELECT date_trunc('month', used_on)::DATE AS month, mode, count(*) AS searches, round(avg(duration_ms), 6) AS avg_ms
-FROM usage GROUP BY 1, 2 ORDER BY 1, 2""")
+@register("usage_by_month", f"""WITH {_USAGE},
+seen AS (SELECT date_trunc('month', used_on)::DATE AS month, mode, count(*) AS searches, round(avg(duration_ms), 6) AS avg_ms
+         FROM usage WHERE used_on IS NOT NULL AND mode IS NOT NULL GROUP BY 1, 2),
+calendar AS (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM seen)
+SELECT c.month, m.mode, coalesce(s.searches, 0) AS searches, s.avg_ms
+FROM calendar c CROSS JOIN (SELECT DISTINCT mode FROM seen) m LEFT JOIN seen s ON s.month = c.month AND s.mode = m.mode ORDER BY 1, 2""")
 def usage_by_month(spark, sf):
     return rel.usage_by_month(_usage(spark, sf))
 

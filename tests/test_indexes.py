@@ -189,3 +189,16 @@ def test_two_updates_of_one_key_are_a_chain(spark, tmp_path):
     assert sorted((r.k, r.old_value, r.new_value) for r in got.collect()) == [(1, 2, 3), (1, 3, 4), (2, 5, 5)]
     from lodestar.operators.ingest import load_published
     assert sorted(map(tuple, load_published(spark, str(tmp_path / "out/table")).collect())) == [(1, 4), (2, 5), (3, 1), (9, 9)]
+
+
+def test_usage_calendar_has_the_empty_months(spark):
+    from lodestar.operators.relational import usage_by_month, usage_rows
+    rows = [(1, "2026-01-05 07:59:00", 0, "view", 1.5), (2, "2026-01-31 08:00:00", 1, "buy", 2.0), (3, "2026-04-01 23:00:00", 3, "view", 4.25),
+            (4, None, 1, "view", 9.0), (5, "2026-04-02 16:00:00", None, "view", 5.75)]
+    events = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double").withColumn("ts", F.to_timestamp_ntz("t"))
+    usage = usage_rows(events, spark.createDataFrame([("b",), ("a",), ("b",)], "source string"))
+    got = {(r.duration_ms, r.source, r.shift) for r in usage.collect()}
+    assert got == {(1.5, "a", "night"), (2.0, "b", "day"), (4.25, "b", "evening"), (9.0, "b", None), (5.75, None, "evening")}
+    table = [(str(r.month), r.mode, r.searches, r.avg_ms) for r in usage_by_month(usage).collect()]
+    assert table == [(f"2026-0{m}-01", mode, *{(1, "buy"): (1, 2.0), (1, "view"): (1, 1.5), (4, "view"): (2, 5.0)}.get((m, mode), (0, None)))
+                     for m in (1, 2, 3, 4) for mode in ("buy", "view")]
