@@ -231,7 +231,10 @@ def _knn_broadcast(queries, corpus, k, exclude, qid, qvec, id, vec, qgroup, grou
         r, j = np.nonzero(np.isfinite(best_d))
         yield pd.DataFrame({"qid": qids[r], "id": best_i[r, j], "distance": best_d[r, j]})
 
-    local = c.mapInPandas(run, TOPK_SCHEMA)
+    # A task goes through several partitions with one set of heaps: what is merged is k rows per question and task, and
+    # there are two tasks per core however many partitions the table has.
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    local = c.coalesce(tasks).mapInPandas(run, TOPK_SCHEMA)
     return top_k_per_query(local, k, "distance")
 
 

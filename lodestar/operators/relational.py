@@ -31,15 +31,14 @@ def document_stats(chunks: DataFrame) -> DataFrame:
 
 
 def rank_desc(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """``RANK() OVER (ORDER BY value DESC)`` without a single-partition window over all rows,
-    for a value with few distinct values (such as chunk counts).
-
-    Rank = 1 + rows with a larger value. The rows per distinct value are counted
-    first (partial aggregation), the running count runs over the distinct values
-    only, and is joined back on the value."""
-    per_value = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = per_value.select(value, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).cast("long").alias(name))
+    """``RANK() OVER (ORDER BY value DESC)`` of a number, without a window over all rows or over all values in one task.
+
+    Rank = 1 + rows with a larger value. The rows per distinct value are counted first (partial aggregation); the running
+    count over the values goes by range partitions and their sums (``running_total``), and is joined back on the value."""
+    from lodestar.operators.sequence import running_total
+    per_value = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).select(value, "_n", F.lit(0).alias("_all"), (-F.col(value)).alias("_down"))
+    upto = running_total(per_value, "_all", ["_down"], "_n", "_upto")
+    ranks = upto.select(value, (F.col("_upto") - F.col("_n") + 1).cast("long").alias(name))
     return df.join(ranks, value)
 
 

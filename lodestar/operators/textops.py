@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,9 +98,33 @@ def fuzzy_scores(names: DataFrame, probe: str, name: str = "name") -> DataFrame:
         F.round(jaro_winkler_similarity(F.col("name"), p), 6).alias("jaro_winkler_similarity"))
 
 
+def jaro_winkler_bound(name: Column, probe: str, prefix_scale: float = 0.1, boost_threshold: float = 0.7) -> Column:
+    """An upper bound of the similarity to ``probe``, in the JVM: at most as many letters match as both texts have in
+    common (by letter counts), none is out of order, and the common prefix is known."""
+    size, n = F.length(name), len(probe)
+    common = F.lit(0)
+    for letter, times in Counter(probe).items():
+        common = common + F.least(size - F.length(F.replace(name, F.lit(letter), F.lit(""))), F.lit(times))
+    prefix = F.lit(0)
+    for k in range(min(4, n), 0, -1):
+        prefix = F.when((prefix == 0) & name.startswith(probe[:k]), k).otherwise(prefix)
+    jaro = F.when((common == 0) | (size == 0), F.lit(0.0)).otherwise((common / size + common / F.lit(max(n, 1)) + F.lit(1.0)) / 3.0)
+    return F.when(name == probe, 1.0).when(jaro <= boost_threshold, jaro).otherwise(jaro + prefix * prefix_scale * (F.lit(1.0) - jaro))
+
+
+def fuzzy_candidates(names: DataFrame, probe: str, n: int, name: str = "name") -> DataFrame:
+    """The distinct names that can be among the ``n`` most similar: those whose bound reaches the n-th similarity found among
+    the ``8 n`` names of the largest bounds. Only these and those few pass through Python."""
+    bounds = names.select(F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct().withColumn("_b", jaro_winkler_bound(F.col("name"), probe))
+    seeds = bounds.orderBy(F.col("_b").desc(), "name").limit(8 * n)
+    best = seeds.select(jaro_winkler_similarity(F.col("name"), F.lit(probe)).alias("_s")).orderBy(F.col("_s").desc()).limit(n)
+    reach = best.agg(F.when(F.count(F.lit(1)) >= n, F.min("_s")).otherwise(0.0)).scalar()
+    return bounds.where(F.col("_b") >= reach - F.lit(1e-6)).select("name")  # similarities are compared by six digits
+
+
 def fuzzy_lookup(names: DataFrame, probe: str, n: int = 3, name: str = "name") -> DataFrame:
     """The n names most similar to a probe (Jaro-Winkler), with both distances."""
-    scored = fuzzy_scores(names, probe, name)
+    scored = fuzzy_scores(fuzzy_candidates(names, probe, n, name), probe)
     return (scored.orderBy(F.col("jaro_winkler_similarity").desc(), "name").limit(n)
             .select("name", "edit_distance", "edit_similarity",
                     F.round(F.lit(1.0) - F.col("jaro_winkler_similarity"), 6).alias("jaro_winkler_distance")))

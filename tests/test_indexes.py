@@ -202,3 +202,52 @@ def test_usage_calendar_has_the_empty_months(spark):
     table = [(str(r.month), r.mode, r.searches, r.avg_ms) for r in usage_by_month(usage).collect()]
     assert table == [(f"2026-0{m}-01", mode, *{(1, "buy"): (1, 2.0), (1, "view"): (1, 1.5), (4, "view"): (2, 5.0)}.get((m, mode), (0, None)))
                      for m in (1, 2, 3, 4) for mode in ("buy", "view")]
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
+    from lodestar.operators.buckets import BucketTable
+    from lodestar.operators.changes import upsert
+    base, put = str(tmp_path / "b"), lambda rows, batch: upsert(rows, batch, "k", ["v"]).select("k", "v")
+    df = lambda d: spark.createDataFrame(list(d.items()), "k long, v long")
+    state, t = {i: i for i in range(2000)}, BucketTable(spark, base, "k", "k long, v long", 32)
+    assert not t.exists() and t.apply(df(state), 0, put)
+    for n, change in enumerate(({5: -5}, {5: -6, 9000: 1}, {None: 3}), 1):
+        state |= change
+        assert t.apply(df(change), n, put) and not t.apply(df({5: 77}), n, put)
+        written = {p.name for p in (tmp_path / "b" / f"batch={n}").iterdir() if p.name.startswith("_bucket")}
+        assert len(written) <= len(change)
+    again = BucketTable(spark, base, "k", "k long, v long")
+    assert again.buckets == 32 and {r.k: r.v for r in again.table().collect()} == state
+
+
+def test_knn_merges_two_tasks_per_core_whatever_the_partitions(spark, vectors):
+    live = vectors.where("id < 5000")
+    q = live.where("id < 30").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    many = live.repartition(300)
+    assert sorted(map(tuple, knn_batch(q, many, 4).collect())) == sorted(map(tuple, knn_batch(q, live, 4, strategy="blocks").collect()))
+    plan = knn_batch(q, many, 4)._jdf.queryExecution().executedPlan().toString()
+    assert f"Coalesce {2 * spark.sparkContext.defaultParallelism}" in plan
+
+
+def test_rank_over_many_values_equals_a_window(spark):
+    from pyspark.sql import Window
+    from lodestar.operators.relational import rank_desc
+    df = spark.range(3000).select("id", F.pmod(F.xxhash64("id"), F.lit(700)).alias("v"))
+    got = rank_desc(df, "v").select("id", "rank").collect()
+    want = df.select("id", F.rank().over(Window.orderBy(F.desc("v"))).alias("rank")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_fuzzy_lookup_sends_few_names_to_python(spark):
+    from lodestar.operators.textops import _jaro_winkler, fuzzy_candidates, fuzzy_lookup, jaro_winkler_bound
+    rng = random.Random(6)
+    made = ["".join(rng.choices("aeiourstlnmkþ", k=rng.randint(1, 9))) + rng.choice(["", " hf", "-vík"]) for _ in range(2500)]
+    names = spark.createDataFrame([(x,) for x in [*made, "", None, "æ", "almond"]], "name string").union(
+        spark.read.parquet(f"{SF01}/part.parquet").select("p_name"))
+    every = {r.name for r in names.collect() if r.name is not None}
+    for probe in (sorted(every)[700][:-3], "almond", "zzz"):
+        bound = {r.name: r.b for r in names.where("name is not null").select("name", jaro_winkler_bound(F.col("name"), probe).alias("b")).collect()}
+        assert all(bound[x] >= _jaro_winkler(x, probe) - 1e-12 for x in every)
+        want = sorted((-round(_jaro_winkler(x, probe), 6), x) for x in every)[:3]
+        assert [r.name for r in fuzzy_lookup(names, probe).collect()] == [x for _, x in want]
+    assert fuzzy_candidates(names, sorted(every)[700][:-3], 3).count() < len(every) / 10
