@@ -65,6 +65,11 @@ def normalize(a) -> Column:
                        lambda acc: F.transform(a, lambda x: (x.cast("double") / F.sqrt(acc)).cast("float")))
 
 
+def base_type(vector) -> str:
+    """The number type of a vector column's data type (an array of float or double)."""
+    return {"float": "float32", "double": "float64"}[vector.elementType.typeName()]
+
+
 def dims(a) -> Column:
     return F.size(_col(a))
 

@@ -18,7 +18,8 @@ from lodestar.config import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHUNK_CHARS
 STRIP_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
                "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 STRIP_CLASS = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"
-CHUNK_ID_BASE = 100000  # chunk id = doc_id * CHUNK_ID_BASE + chunk_no
+# chunk id = doc_id * CHUNK_ID_BASE + chunk_no; a text has at most 2^31 bytes, so fewer windows than this
+CHUNK_ID_BASE = 1 << 23
 
 
 def collapse_spaces(text: Column) -> Column:

@@ -9,6 +9,7 @@ seeded by the SHA-256 of the text.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,3 +57,29 @@ def embed_distinct(df: DataFrame, text: str = "question", out: str = "qvec",
     uniq = df.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct()
     vecs = embed_column(uniq, "_text", out, embed_fn, dims)
     return df.join(vecs, df[text] == vecs["_text"], "left").drop("_text")
+
+
+def embed_cached(df: DataFrame, store: str, text: str = "question", out: str = "qvec",
+                 embed_fn: EmbedFn | None = None, dims: int = 64) -> tuple[DataFrame, int]:
+    """``df`` with the embedding of ``text``, and how many texts had to be embedded for it.
+
+    ``store`` keeps vectors by the hash of their text over all runs: texts that it lacks (an anti-join on the hash) are embedded once
+    each and added as a further part; its manifest names the parts, so a run that fails half-way adds nothing. A null text has no
+    vector."""
+    from lodestar.operators.ingest import manifest, publish
+
+    spark, schema = df.sparkSession, f"hash string, {out} array<float>"
+    parts = (manifest(spark, store) or {"parts": []})["parts"]
+    known = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+    texts = df.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct()
+    new = texts.withColumn("hash", F.sha2("_text", 256)).join(known.select("hash"), "hash", "left_anti")
+    if new.limit(1).count():
+        part = f"{store.rstrip('/')}/part-{uuid.uuid4().hex}"
+        embed_column(new, "_text", out, embed_fn, dims).select("hash", out).write.parquet(part)
+        publish(spark, store, part, parts=[*parts, part])
+        added = spark.read.schema(schema).parquet(part)
+        fresh, known = added.count(), known.unionByName(added)
+    else:
+        fresh = 0
+    joined = df.withColumn("_hash", F.sha2(F.col(text), 256)).join(known.withColumnRenamed("hash", "_hash"), "_hash", "left")
+    return joined.drop("_hash"), fresh

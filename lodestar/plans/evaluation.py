@@ -132,7 +132,7 @@ def eval_failures(spark, sf):
 _STRIP = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"
 
 
-@register("search_text", f"""WITH q AS (SELECT conv_id * 1000 + turn AS qid, conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
+@register("search_text", f"""WITH q AS (SELECT conv_id || ':' || turn AS qid, conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
 rw AS (SELECT conv_id, turn + 1 AS turn, text AS rewritten FROM conversations WHERE role = 'system')
 SELECT q.qid, q.question, coalesce(nullif(regexp_replace(rw.rewritten, '^{_STRIP}+|{_STRIP}+$', '', 'g'), ''), q.question) AS search_query
 FROM q LEFT JOIN rw ON rw.conv_id = q.conv_id AND rw.turn = q.turn""")
@@ -140,9 +140,9 @@ def search_text(spark, sf):
     """User turns as questions; a system turn right before a user turn stands in for the
     model's standalone rewrite of that follow-up (the model itself is outside)."""
     conv = read_table(spark, sf, "conversations")
-    q = conv.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
+    q = conv.where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("qid"),
                                            F.col("text").alias("question"))
-    rw = conv.where("role = 'system'").select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("qid"),
+    rw = conv.where("role = 'system'").select(F.concat_ws(":", "conv_id", F.col("turn") + 1).alias("qid"),
                                               F.col("text").alias("rewritten"))
     return search_text_op(q, rw)
 

@@ -71,7 +71,7 @@ p AS (SELECT id, embedding AS a, lead(embedding) OVER (ORDER BY id) AS b FROM co
 SELECT id, round(list_cosine_distance(a::DOUBLE[], b::DOUBLE[]), 6) + 0.0 AS cosine,
        round(list_distance(a::DOUBLE[], b::DOUBLE[]), 6) + 0.0 AS euclidean,
        round(-list_dot_product(a::DOUBLE[], b::DOUBLE[]), 6) + 0.0 AS dot,
-       len(a)::INTEGER AS dimensions, 'float32' AS base_type
+       len(a)::INTEGER AS dimensions, CASE typeof(a) WHEN 'FLOAT[]' THEN 'float32' WHEN 'DOUBLE[]' THEN 'float64' END AS base_type
 FROM p WHERE b IS NOT NULL""")
 def vector_metrics(spark, sf):
     c = corpus(spark, sf).select("id", F.col("embedding").alias("a"))
@@ -85,23 +85,21 @@ def vector_metrics(spark, sf):
                     V.rounded(V.cosine_distance("a", "b")).alias("cosine"),
                     V.rounded(V.euclidean_distance("a", "b")).alias("euclidean"),
                     V.rounded(V.negative_dot("a", "b")).alias("dot"),
-                    V.dims("a").alias("dimensions"), F.lit("float32").alias("base_type"))
+                    V.dims("a").alias("dimensions"), F.lit(V.base_type(c.schema["a"].dataType)).alias("base_type"))
 
 
 @register("vector_normalize", f"""WITH {CORPUS},
 p AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE * (1 + id % 7)) AS v FROM corpus),
-n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS nb FROM p)
-SELECT id, round(nb, 6) AS norm_before,
-       round(sqrt(list_dot_product(list_transform(v, lambda x: x / nb), list_transform(v, lambda x: x / nb))), 6) AS norm_after,
-       round(list_sum(list_transform(v, lambda x: x / nb)), 6) AS total FROM n""")
+n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS nb FROM p),
+u AS (SELECT id, nb, list_transform(v, lambda x: (x / nb)::FLOAT::DOUBLE) AS u FROM n)
+SELECT id, round(nb, 6) AS norm_before, round(sqrt(list_dot_product(u, u)), 5) AS norm_after, round(list_sum(u), 5) AS total FROM u""")
 def vector_normalize(spark, sf):
     """Scaled copies of the embeddings (×1..×7 by id) normalised back to length 1."""
     c = corpus(spark, sf)
     v = c.select("id", F.transform("embedding", lambda x: x.cast("double") * (F.lit(1) + F.col("id") % 7)).alias("v"))
-    n = v.select("id", "v", V.norm("v").alias("nb"))
-    unit = n.select("id", "nb", F.transform("v", lambda x: x / F.col("nb")).alias("u"))
-    return unit.select("id", F.round("nb", 6).alias("norm_before"), F.round(V.norm("u"), 6).alias("norm_after"),
-                       F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    unit = v.select("id", V.norm("v").alias("nb"), V.normalize("v").alias("u"))
+    return unit.select("id", F.round("nb", 6).alias("norm_before"), F.round(V.norm("u"), 5).alias("norm_after"),
+                       F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
 @register("vector_storage", f"""WITH {CORPUS}

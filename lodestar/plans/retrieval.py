@@ -190,7 +190,7 @@ _STRIP = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"
 w AS (SELECT doc_id, source, t, unnest(range(0, length(t), 450)) AS s FROM d),
 c AS (SELECT doc_id, source, s // 450 AS chunk_no,
              regexp_replace(substring(t, s + 1, 500), '^{_STRIP}+|{_STRIP}+$', '', 'g') AS content FROM w)
-SELECT (doc_id * 100000 + chunk_no)::BIGINT AS id, doc_id, chunk_no::BIGINT AS chunk_no, source, content
+SELECT (doc_id * 8388608 + chunk_no)::BIGINT AS id, doc_id, chunk_no::BIGINT AS chunk_no, source, content
 FROM c WHERE length(content) >= 20""")
 def chunk_split(spark, sf):
     return split_chunks(read_table(spark, sf, "documents"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.config import ANN_MIN_ROWS
 from lodestar.functions.text import ratio_text
 from lodestar.operators import ann, vindex
-from lodestar.operators.embedding import embed_column, embed_distinct
+from lodestar.operators.embedding import embed_cached, embed_column, embed_distinct
 from lodestar.operators.halfprec import decode_half, to_half
 from lodestar.operators.hybrid import retrieve
 from lodestar.operators.ingest import publish, published_index
@@ -180,6 +180,21 @@ def embed_dedup(spark, sf):
     return embed_distinct(conv.select("conv_id", "turn", F.col("text").alias("question")), "question", "qvec")
 
 
+@register("embed_cache", """WITH t AS (SELECT text FROM conversations WHERE role = 'user')
+SELECT * FROM (VALUES ('first'), ('again')) v(run), (SELECT count(*) AS questions, count(text) AS with_vector, count(DISTINCT text) AS texts FROM t) n,
+  LATERAL (SELECT CASE run WHEN 'first' THEN texts ELSE 0 END AS embedded) e""")
+def embed_cache(spark, sf):
+    """Questions embedded through the stored cache in two runs: the second one embeds nothing."""
+    store = scratch_path(spark, f"vectors_by_text_{data_tag(sf)}/{time.time_ns()}")
+    q = read_table(spark, sf, "conversations").where("role = 'user'").select(F.col("text").alias("question"))
+    runs = []
+    for run in ("first", "again"):
+        rows, fresh = embed_cached(q, store)
+        runs.append(rows.agg(F.count(F.lit(1)).alias("questions"), F.count("qvec").alias("with_vector"), F.countDistinct("question").alias("texts"))
+                    .select(F.lit(run).alias("run"), "*", F.lit(fresh).cast("long").alias("embedded")))
+    return runs[0].unionByName(runs[1])
+
+
 @register("load_documents", """SELECT 'doc' || doc_id AS source, text || chr(10) AS text, (strlen(text) + 1)::BIGINT AS bytes
 FROM documents""")
 def load_documents_q(spark, sf):

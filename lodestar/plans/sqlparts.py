@@ -72,7 +72,7 @@ chunks_raw AS (
   w AS (SELECT doc_id, source, t, unnest(range(0, length(t), 450)) AS s FROM d WHERE length(t) > 0),
   c AS (SELECT doc_id, source, s // 450 AS chunk_no,
                regexp_replace(substring(t, s + 1, 500), '^{_STRIP}+|{_STRIP}+$', '', 'g') AS content FROM w)
-  SELECT (doc_id * 100000 + chunk_no)::BIGINT AS id, doc_id, chunk_no::BIGINT AS chunk_no, source, content
+  SELECT (doc_id * 8388608 + chunk_no)::BIGINT AS id, doc_id, chunk_no::BIGINT AS chunk_no, source, content
   FROM c WHERE length(content) >= 20),
 chunks AS (SELECT *, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN 'IT'
                           WHEN source IN ('src4', 'src5', 'src6', 'src7') THEN 'Finance'

@@ -251,3 +251,22 @@ def test_fuzzy_lookup_sends_few_names_to_python(spark):
         want = sorted((-round(_jaro_winkler(x, probe), 6), x) for x in every)[:3]
         assert [r.name for r in fuzzy_lookup(names, probe).collect()] == [x for _, x in want]
     assert fuzzy_candidates(names, sorted(every)[700][:-3], 3).count() < len(every) / 10
+
+
+def test_embeddings_are_kept_over_runs(spark, tmp_path):
+    from lodestar.operators.embedding import embed_cached, hash_embedding
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def embed(texts):
+        (calls / str(random.getrandbits(64))).write_text("\n".join(texts))
+        return hash_embedding(8)(texts)
+
+    asked = lambda *t: spark.createDataFrame([(i, x) for i, x in enumerate(t)], "id long, question string")
+    first, n = embed_cached(asked("a", "b", "a", None), str(tmp_path / "s"), embed_fn=embed, dims=8)
+    assert n == 2 and [r.id for r in first.where("qvec is null").collect()] == [3]
+    again, n = embed_cached(asked("b", "c", "a"), str(tmp_path / "s"), embed_fn=embed, dims=8)
+    assert n == 1 and again.where("qvec is null").count() == 0
+    vec = {r.question: list(r.qvec) for r in first.where("question is not null").collect()}
+    assert all(vec.get(r.question, list(r.qvec)) == list(r.qvec) for r in again.collect())
+    assert sorted(x for f in calls.iterdir() for x in f.read_text().split()) == ["a", "b", "c"]
