@@ -70,9 +70,9 @@ def test_cell_search_recall_floor_at_half_the_cells(spark, tmp_path):
     """Near-random vectors cluster poorly: half the cells give recall@10 of about 0.85."""
     from lodestar.operators import ann
     from lodestar.operators.knn import knn_batch
-    from lodestar.sources.tables import corpus, corpus_questions
+    from lodestar.sources.tables import corpus, vector_questions
     c = corpus(spark, SF01)
-    q = corpus_questions(c)
+    q = vector_questions(c)
     idx = ann.build_cell_index(c, str(tmp_path / "cells"))
     exact = knn_batch(q, c, 10)
     half = ann.recall_at_k(exact, ann.cell_search(q, idx, 10, nprobe=idx.cells // 2)).first()["recall"]
@@ -96,9 +96,9 @@ def test_broadcast_and_block_strategies_agree(spark, exclude):
 @pytest.mark.parametrize("exact", [False, True])
 def test_cell_search_strategies_agree(spark, tmp_path, exact):
     from lodestar.operators import ann
-    from lodestar.sources.tables import corpus, corpus_questions
+    from lodestar.sources.tables import corpus, vector_questions
     c = corpus(spark, SF01)
-    q = corpus_questions(c)
+    q = vector_questions(c)
     idx = ann.build_cell_index(c, str(tmp_path / "cells"))
     a = ann.cell_search(q, idx, 10, nprobe=3, exclude="self", exact=exact, strategy="broadcast")
     b = ann.cell_search(q, idx, 10, nprobe=3, exclude="self", exact=exact, strategy="blocks")
