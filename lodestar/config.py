@@ -15,6 +15,7 @@ RRF_K = 60                 # reciprocal rank fusion constant
 ANN_MIN_ROWS = 100         # below this many rows no ANN index is built
 HISTORY_MESSAGES = 6       # earlier chat messages kept as context
 ANSWER_ID_START = 1000     # first number of the answer sequence
+SEARCH_MODES = {"hybrid": "Hybrid", "vector": "Vector"}  # search modes and their labels
 
 # --- fixed values: text patterns ---
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"

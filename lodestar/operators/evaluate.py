@@ -3,7 +3,9 @@
 A question has ``qid, set, question, expected, sources, previous``: ``expected``
 holds ``|``-separated alternatives of the key text, ``sources`` the accepted
 documents (blank = off-topic), ``previous`` a non-blank earlier question for
-follow-ups. A run gives the rows each question retrieved and the answer text.
+follow-ups. A run gives the rows each question retrieved and the answer text;
+``evaluate_mode`` makes one in a search mode, and runs of several modes are put
+together with ``unionByName``.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from pyspark.sql import functions as F
 
 from lodestar.config import NOT_FOUND
 from lodestar.functions.text import contains_expected, ratio_text
+from lodestar.operators import hybrid as hy
 from lodestar.operators.fulltext import terms
 
 METRICS = ["Right chunk retrieved", "Correct answer", "…of which follow-up questions", "Off-topic refused"]
+TIME_METRIC = "Avg. response time"
 
 
 def accepted_sources(passages: DataFrame, docs: DataFrame, *, id: str = "item_id", text: str = "text",
@@ -93,12 +97,13 @@ def answers_from_rows(questions: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def score(questions: DataFrame, rows: DataFrame, answers: DataFrame, mode: str, mode_used: str | None = None,
-          accepted: DataFrame | None = None) -> DataFrame:
+          accepted: DataFrame | None = None, by: str = "id") -> DataFrame:
     """Per question: ``hit`` (a retrieved row from an accepted source holds the key text),
     ``correct`` (the answer holds it), ``refused`` (the answer cites nothing).
 
     Accepted sources come as ``accepted`` pairs ``qid, doc_id`` (a semi-join, any number of
-    documents per question) or, for a question file, from its ``sources`` string."""
+    documents per question) or, for a question file, from its ``sources`` string, whose parts
+    are compared with the column ``by`` of the rows."""
     if accepted is not None:
         q = questions.select("qid", "set", "expected", "answerable", "previous")
         from_accepted = rows.join(accepted.select("qid", F.col("doc_id").alias("id")), ["qid", "id"], "left_semi")
@@ -106,7 +111,7 @@ def score(questions: DataFrame, rows: DataFrame, answers: DataFrame, mode: str,
         q = questions.select("qid", "set", "expected", (F.col("sources") != "").alias("answerable"), "previous",
                              "sources")
         from_accepted = (rows.join(q.select("qid", "sources"), "qid")
-                         .where(F.array_contains(F.split("sources", r"\|", -1), F.col("id").cast("string"))))
+                         .where(F.array_contains(F.split("sources", r"\|", -1), F.col(by).cast("string"))))
     hits = (from_accepted.join(q.select("qid", "expected"), "qid")
             .where(contains_expected(F.col("content"), F.col("expected")))
             .select("qid").distinct().withColumn("hit", F.lit(True)))
@@ -119,9 +124,44 @@ def score(questions: DataFrame, rows: DataFrame, answers: DataFrame, mode: str,
         (F.instr("answer", "[") == 0).alias("refused"))
 
 
+def evaluate_mode(questions: DataFrame, corpus: DataFrame, postings: DataFrame | None, mode: str, *,
+                  rewrites: DataFrame | None = None, answers: DataFrame | None = None,
+                  seconds: DataFrame | None = None, **search) -> DataFrame:
+    """A run of all questions in one search mode, scored: the columns of ``score`` plus ``question``,
+    ``searched`` (the text searched for) and ``seconds``.
+
+    ``questions`` has ``qid, set, question, expected, sources, previous, qvec``, ``corpus`` ``id, source,
+    content, embedding``. A follow-up is searched for by its row in ``rewrites`` (``qid, rewritten``), where that
+    says something; ``qvec`` is the vector of what is searched for. ``mode_used`` is what ``retrieve`` says: hybrid
+    without ``postings`` runs as vector. Without ``answers`` (``qid, answer``) the numbered rows are the answer;
+    ``seconds`` (``qid, seconds``) are measured response times, null where there are none. ``search`` goes to
+    ``retrieve``. Rows without a source count as ``unknown``, rows without a text as empty; null ``previous`` and
+    ``sources`` count as blank.
+
+    What is retrieved (ids, at most top-k per question) is checkpointed, for three branches read it."""
+    questions = questions.withColumns({c: F.coalesce(c, F.lit("")) for c in ("previous", "sources")})
+    if rewrites is None:
+        rewrites = questions.select("qid", F.lit("").alias("rewritten")).limit(0)
+    texts = hy.search_text(questions.select("qid", "question"), rewrites).select("qid", F.col("search_query").alias("searched"))
+    asked = questions.select("qid", "qvec").join(texts, "qid").withColumnRenamed("searched", "question")
+    got = hy.retrieve(asked, corpus.select("id", "source", "embedding"), postings, mode, **search).checkpoint()
+    rows = (got.where(~F.col("refused")).select("qid", "n", "id")
+            .join(corpus.select("id", F.coalesce("source", F.lit("unknown")).alias("source"),
+                                F.coalesce("content", F.lit("")).alias("content")), "id"))
+    if answers is None:
+        answers = answers_from_rows(questions, rows)
+    scored = score(questions, rows, answers, mode, by="source")
+    used = got.select("qid", "mode_used").distinct()
+    out = (scored.drop("mode_used").join(used, "qid").join(questions.select("qid", "question"), "qid").join(texts, "qid"))
+    if seconds is None:
+        return out.withColumn("seconds", F.lit(None).cast("double"))
+    return out.join(seconds.select("qid", "seconds"), "qid", "left")
+
+
 def metrics(scored: DataFrame) -> DataFrame:
-    """Counts per (set, mode)."""
+    """Counts per (set, mode), and ``avg_seconds`` where response times were measured."""
     a, f = F.col("answerable"), F.col("followup")
+    timed = [F.round(F.avg("seconds"), 6).alias("avg_seconds")] if "seconds" in scored.columns else []
     return scored.groupBy("set", "mode").agg(
         F.count_if(a & F.col("hit")).alias("retrieved"),
         F.count_if(a & F.col("correct")).alias("answered"),
@@ -129,33 +169,43 @@ def metrics(scored: DataFrame) -> DataFrame:
         F.count_if(~a & F.col("refused")).alias("refused"),
         F.count_if(a).alias("n_answerable"),
         F.count_if(f).alias("n_followups"),
-        F.count_if(~a).alias("n_offtopic"))
+        F.count_if(~a).alias("n_offtopic"), *timed)
 
 
 def ratios(m: DataFrame) -> DataFrame:
-    """``k/n (p%)`` strings per metric, a dash when n = 0."""
+    """``k/n (p%)`` strings per metric, a dash when n = 0; the mean time as ``x.x s``, a dash where none was measured."""
+    timed = []
+    if "avg_seconds" in m.columns:
+        timed = [F.when(F.col("avg_seconds").isNull(), F.lit("–"))
+                 .otherwise(F.format_string("%.1f s", F.bround("avg_seconds", 1))).alias("avg_time")]
     return m.select("set", "mode",
                     ratio_text(F.col("retrieved"), F.col("n_answerable")).alias("right_chunk"),
                     ratio_text(F.col("answered"), F.col("n_answerable")).alias("correct_answer"),
                     ratio_text(F.col("followups_answered"), F.col("n_followups")).alias("followups"),
-                    ratio_text(F.col("refused"), F.col("n_offtopic")).alias("off_topic_refused"))
+                    ratio_text(F.col("refused"), F.col("n_offtopic")).alias("off_topic_refused"), *timed)
 
 
-def table(r: DataFrame, modes: list[str]) -> DataFrame:
-    """Metrics as rows, modes as columns."""
+def table(r: DataFrame, modes: list[str] | dict[str, str]) -> DataFrame:
+    """Metrics as rows, modes as columns (under their labels, if ``modes`` is a dictionary from mode to label)."""
     names = {"right_chunk": METRICS[0], "correct_answer": METRICS[1], "followups": METRICS[2],
              "off_topic_refused": METRICS[3]}
+    if "avg_time" in r.columns:
+        names["avg_time"] = TIME_METRIC
     long = r.select("set", "mode", F.explode(F.map_from_arrays(
         F.array(*[F.lit(v) for v in names.values()]), F.array(*[F.col(k) for k in names]))).alias("metric", "value"))
-    return long.groupBy("set", "metric").pivot("mode", modes).agg(F.first("value"))
+    wide = long.groupBy("set", "metric").pivot("mode", list(modes)).agg(F.first("value"))
+    return wide.withColumnsRenamed(modes) if isinstance(modes, dict) else wide
+
 
+def failures(scored: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """What went wrong, per question: mode mismatch, retrieval miss, answer miss, answered off-topic.
 
-def failures(scored: DataFrame, questions: DataFrame) -> DataFrame:
-    """What went wrong, per question: mode mismatch, retrieval miss, answer miss, answered off-topic."""
-    s = scored.join(questions.select("qid", "question"), "qid")
+    A run of ``evaluate_mode`` also tells the question, what was searched for and the mode it ran as."""
+    told = [c for c in ("question", "searched", "mode_used") if "searched" in scored.columns]
+    s = scored if questions is None else scored.join(questions.select("qid"), "qid")
     kinds = F.array(
         F.when(F.col("mode_used") != F.col("mode"), F.lit("ran as another mode")),
         F.when(F.col("answerable") & ~(F.col("hit") & F.col("correct")),
                F.when(F.col("hit"), F.lit("answer miss")).otherwise(F.lit("retrieval miss"))),
         F.when(~F.col("answerable") & ~F.col("refused"), F.lit("answered off-topic")))
-    return (s.select("set", "mode", "qid", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind")))
+    return (s.select("set", "mode", "qid", *told, F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind")))

@@ -5,15 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.config import NOT_FOUND, NUMBER_WORDS
+from lodestar.config import NOT_FOUND, NUMBER_WORDS, SEARCH_MODES
 from lodestar.operators import evaluate as ev
 from lodestar.operators import fulltext as ft
 from lodestar.operators.hybrid import search_text as search_text_op
 from lodestar.operators.hybrid import text_ranks
 from lodestar.plans.common import built_once
 from lodestar.plans.registry import register
-from lodestar.plans.sqlparts import POSTINGS, SPLIT, STOP
-from lodestar.sources.tables import read_table
+from lodestar.plans.sqlparts import FRANKS, FUSED, POSTINGS, QTERMS, SPLIT, STOP, VRANKS, WHOLE
+from lodestar.sources.tables import read_table, text_questions, whole_corpus
 
 MODE = "text"  # the question set has no vectors of its own: retrieval is by words
 
@@ -132,6 +132,113 @@ def eval_failures(spark, sf):
 _STRIP = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}]"
 
 
+# --- both search modes, with follow-ups and response times ----------------------------
+
+CUT = 0.64  # distance cut-off of these runs; a setting that the tuning set is there to choose
+TIMED_BY = {"hybrid": "click", "vector": "view"}  # events whose values stand in for the response times of a mode
+
+
+def _key(spark, sf):
+    """The question set with key, accepted sources by name and follow-ups; every fourth question follows the one before it."""
+    docs, bench = read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark")
+    corpus = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")).where("content is not null")
+    counts = built_once(spark, sf, "document_term_counts", lambda: ft.term_counts(corpus))
+    accepted = ev.accepted_sources(bench, docs, doc_terms=counts).join(docs.select("doc_id", "source"), "doc_id")
+    questions = ev.passage_questions(bench, accepted).drop("previous", "answerable").withColumn("set", _set(F.col("qid")))
+    questions = ev.sources_text(questions, accepted.select("qid", F.col("source").alias("doc_id")))
+    before = bench.select((F.col("item_id") + 1).alias("qid"), F.col("text").alias("previous")).where("qid % 4 = 3")
+    return (questions.join(before, "qid", "left").withColumn("previous", F.coalesce("previous", F.lit("")))
+            .join(text_questions(spark, sf).select("qid", "qvec"), "qid"))
+
+
+def _mode_run(spark, sf, mode, text_index=True):
+    docs = read_table(spark, sf, "documents")
+    texts = docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("content")).where("content is not null")
+    stop = ft.stopword_table(spark)
+    counts = built_once(spark, sf, "document_term_counts", lambda: ft.term_counts(texts))
+    post = built_once(spark, sf, "document_postings",
+                      lambda: ft.build_postings(texts, stopwords=stop, counts=counts).checkpoint())
+    vocab = built_once(spark, sf, "document_vocab", lambda: ft.term_stats(post).checkpoint())
+    questions = _key(spark, sf)
+    rewrites = (questions.where("previous <> ''")
+                .select("qid", F.concat_ws(" ", "previous", "question").alias("rewritten")))
+    seconds = (read_table(spark, sf, "events").where(F.col("event_type") == TIMED_BY[mode])
+               .groupBy(F.col("user_id").alias("qid")).agg(F.avg("value").alias("seconds")))
+    return ev.evaluate_mode(questions, whole_corpus(spark, sf), post if text_index else None, mode, rewrites=rewrites,
+                            seconds=seconds, max_distance=CUT, stopwords=stop, stats=vocab)
+
+
+def _both(spark, sf):
+    return _mode_run(spark, sf, "hybrid").unionByName(_mode_run(spark, sf, "vector"))
+
+
+_MODES = f"""{WHOLE},
+named AS (SELECT b.item_id AS qid, string_agg(DISTINCT d.source, '|' ORDER BY d.source) AS sources
+          FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id),
+keyed AS (SELECT b.item_id AS qid, b.text AS asked, coalesce(s.sources, '') AS sources, coalesce(p.text, '') AS previous,
+                 CASE WHEN b.item_id % 5 = 4 THEN 'holdout' ELSE 'tuning' END AS set
+          FROM benchmark b LEFT JOIN named s ON s.qid = b.item_id
+          LEFT JOIN benchmark p ON p.item_id = b.item_id - 1 AND b.item_id % 4 = 3),
+questions AS (SELECT k.qid, CASE WHEN previous <> '' THEN regexp_replace(previous || ' ' || asked, '^{_STRIP}+|{_STRIP}+$', '', 'g')
+                                 ELSE asked END AS question, e.embedding AS qvec
+              FROM keyed k LEFT JOIN embeddings e ON e.vec_id = k.qid),
+{STOP}, {POSTINGS}, {QTERMS}, {VRANKS.format(cand=20)}, {FRANKS.format(cand=20)}, {FUSED.format(k=5)},
+found AS (SELECT 'hybrid' AS used, qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM hyb WHERE closest <= {CUT}
+          UNION ALL
+          SELECT 'vector', qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) FROM vr WHERE rank <= 5 AND distance <= {CUT}),
+got AS (SELECT f.*, coalesce(c.source, 'unknown') AS source, coalesce(c.content, '') AS content FROM found f JOIN corpus c USING (id)),
+runs AS (SELECT * FROM (VALUES ('hybrid', 'hybrid', 'click'), ('vector', 'vector', 'view'), ('hybrid', 'vector', 'click')) t(mode, used, timed)),
+ans AS (SELECT used, qid, string_agg('[' || n || '] (' || source || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY n) AS answer
+        FROM got GROUP BY used, qid),
+hits AS (SELECT DISTINCT g.used, g.qid FROM got g JOIN keyed k USING (qid)
+         WHERE list_contains(string_split(k.sources, '|'), g.source) AND {_contains_sql('g.content', 'k.asked')}),
+secs AS (SELECT event_type AS timed, user_id AS qid, avg(value) AS seconds FROM events GROUP BY 1, 2),
+scored AS (SELECT k.qid, k.set, r.mode, r.used AS mode_used, k.asked AS question, q.question AS searched, k.sources <> '' AS answerable,
+                  k.previous <> '' AS followup, h.qid IS NOT NULL AS hit,
+                  {_contains_sql(f"coalesce(a.answer, '{NOT_FOUND}')", 'k.asked')} AS correct,
+                  instr(coalesce(a.answer, '{NOT_FOUND}'), '[') = 0 AS refused, s.seconds
+           FROM keyed k CROSS JOIN runs r JOIN questions q ON q.qid = k.qid
+           LEFT JOIN ans a ON a.qid = k.qid AND a.used = r.used LEFT JOIN hits h ON h.qid = k.qid AND h.used = r.used
+           LEFT JOIN secs s ON s.qid = k.qid AND s.timed = r.timed),
+m AS (SELECT set, mode, count_if(answerable AND hit) AS retrieved, count_if(answerable AND correct) AS answered,
+             count_if(answerable AND correct AND followup) AS followups_answered,
+             count_if(NOT answerable AND refused) AS refused, count_if(answerable) AS n_answerable,
+             count_if(followup) AS n_followups, count_if(NOT answerable) AS n_offtopic, round(avg(seconds), 6) AS avg_seconds
+      FROM scored WHERE mode = mode_used GROUP BY set, mode)"""
+
+
+@register("eval_modes", f"WITH {_MODES} SELECT * FROM m")
+def eval_modes(spark, sf):
+    """Counts and mean response time of both search modes; sources by name from their ``a|b|c`` list, with follow-ups."""
+    return ev.metrics(_both(spark, sf))
+
+
+_LABELS = [("Right chunk retrieved", _ratio_sql("retrieved", "n_answerable")), ("Correct answer", _ratio_sql("answered", "n_answerable")),
+           ("…of which follow-up questions", _ratio_sql("followups_answered", "n_followups")),
+           ("Off-topic refused", _ratio_sql("refused", "n_offtopic")),
+           ("Avg. response time", "coalesce(printf('%.1f s', round_even(avg_seconds, 1)), '–')")]
+_COLUMNS = ", ".join(f"first(value) FILTER (WHERE mode = '{mode}') AS \"{label}\"" for mode, label in SEARCH_MODES.items())
+
+
+@register("eval_modes_table", f"""WITH {_MODES},
+long AS ({" UNION ALL ".join(f"SELECT set, mode, '{name}' AS metric, {value} AS value FROM m" for name, value in _LABELS)})
+SELECT set, metric, {_COLUMNS} FROM long GROUP BY set, metric""")
+def eval_modes_table(spark, sf):
+    """The same as ratios: one row per set and metric, one column per search mode."""
+    return ev.table(ev.ratios(ev.metrics(_both(spark, sf))), SEARCH_MODES)
+
+
+@register("eval_modes_failures", f"""WITH {_MODES}
+SELECT set, mode, mode_used, qid, question, searched, kind FROM (
+  SELECT *, CASE WHEN mode_used <> mode THEN 'ran as another mode' END AS kind FROM scored
+  UNION ALL SELECT *, CASE WHEN answerable AND NOT (hit AND correct) THEN CASE WHEN hit THEN 'answer miss' ELSE 'retrieval miss' END END FROM scored
+  UNION ALL SELECT *, CASE WHEN NOT answerable AND NOT refused THEN 'answered off-topic' END FROM scored)
+WHERE kind IS NOT NULL""")
+def eval_modes_failures(spark, sf):
+    """Failures of both modes and of hybrid without its text index, which runs as vector; with what was searched for."""
+    return ev.failures(_both(spark, sf).unionByName(_mode_run(spark, sf, "hybrid", text_index=False)))
+
+
 @register("search_text", f"""WITH q AS (SELECT conv_id || ':' || turn AS qid, conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
 rw AS (SELECT conv_id, turn + 1 AS turn, text AS rewritten FROM conversations WHERE role = 'system')
 SELECT q.qid, q.question, coalesce(nullif(regexp_replace(rw.rewritten, '^{_STRIP}+|{_STRIP}+$', '', 'g'), ''), q.question) AS search_query
