@@ -17,8 +17,9 @@ def answer_log(results: DataFrame, questions: DataFrame, *, mode: str = "hybrid"
     """One answer row per question: ``id`` from a sequence starting at ``id_start``, the question,
     and ``details`` = ``{"mode", "closest_distance", "chunks": [{"source", "score"}, ...]}`` as JSON text.
 
-    ``results`` has ``qid, rank, source, score, closest``; chunks keep rank order."""
-    per_q = (results.groupBy("qid")
+    ``results`` has ``qid, rank, source, score, closest``; chunks keep rank order. These columns are checkpointed, for
+    the numbering reads them a second time."""
+    per_q = (results.select("qid", "rank", "source", "score", "closest").checkpoint().groupBy("qid")
              .agg(F.min("closest").alias("closest_distance"),
                   F.sort_array(F.collect_list(F.struct("rank", "source", F.round("score", 4).alias("score"))))
                   .alias("_c")))

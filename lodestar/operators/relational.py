@@ -1,13 +1,11 @@
 """Relational table jobs on the chunk table: departments, statistics, running totals,
-numbering, simulated usage, the document-department graph, chat context."""
+numbering, usage, the document-department graph, chat context."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.session import range_partitions
-
 from lodestar.config import DRIVER_FINANCE_SOURCES, DRIVER_IT_SOURCES, HISTORY_MESSAGES
 
 
@@ -54,18 +52,10 @@ def running_totals(stats: DataFrame) -> DataFrame:
 def dense_index(df: DataFrame, order: list[str], name: str = "n", start: int = 0) -> DataFrame:
     """Zero-based (or ``start``-based) row number in ``order`` without a single-partition window.
 
-    Rows are range-partitioned on the order, numbered inside each partition,
-    and shifted by the sizes of the partitions before them (one row per partition)."""
-    parted = df.repartitionByRange(range_partitions(df), *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
-    w = Window.partitionBy("_pid").orderBy(*order)
-    local = parted.withColumn("_local", F.row_number().over(w))
-    sizes = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_size").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    # One row per partition: a bounded broadcast.
-    return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, (F.col("_off") + F.col("_local") - 1 + F.lit(start)).cast("long"))
-            .drop("_pid", "_local", "_off"))
+    Only the order columns are range-partitioned and numbered, with offsets by partition (``numbered_rows``); the
+    rows meet their numbers in a join."""
+    from lodestar.operators.sequence import numbered_rows
+    return numbered_rows(df, [], order, name).withColumn(name, F.col(name) - 1 + F.lit(start).cast("long"))
 
 
 def usage_rows(events: DataFrame, sources: DataFrame) -> DataFrame:
