@@ -2,8 +2,9 @@
 
 ``embed_fn(list[str]) -> list[list[float]]`` is called once per Arrow batch
 (``spark.sql.execution.arrow.maxRecordsPerBatch`` texts); a count mismatch is an
-error. The default is the deterministic test embedding: a unit Gaussian vector
-seeded by the SHA-256 of the text.
+error. Every job is given its function; ``hash_embedding`` is a deterministic
+stand-in for tests and for tables that come without a model: a unit Gaussian
+vector seeded by the SHA-256 of the text.
 """
 
 from __future__ import annotations
@@ -33,16 +34,14 @@ def hash_embedding(dims: int = 64) -> EmbedFn:
     return embed
 
 
-def embed_column(df: DataFrame, text: str = "content", out: str = "embedding",
-                 embed_fn: EmbedFn | None = None, dims: int = 64) -> DataFrame:
-    """``df`` plus an ``array<float>`` embedding of ``text``."""
-    fn = embed_fn or hash_embedding(dims)
+def embed_column(df: DataFrame, text: str = "content", out: str = "embedding", *, embed_fn: EmbedFn) -> DataFrame:
+    """``df`` plus an ``array<float>`` embedding of ``text`` (null: the empty text)."""
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf[text].fillna("").tolist()
-            vectors = fn(texts)
+            vectors = embed_fn(texts)
             if len(vectors) != len(texts):
                 raise RuntimeError(f"embedding returned {len(vectors)} vectors for {len(texts)} texts")
             pdf[out] = [np.asarray(v, dtype=np.float32) for v in vectors]
@@ -51,16 +50,14 @@ def embed_column(df: DataFrame, text: str = "content", out: str = "embedding",
     return df.mapInPandas(run, schema)
 
 
-def embed_distinct(df: DataFrame, text: str = "question", out: str = "qvec",
-                   embed_fn: EmbedFn | None = None, dims: int = 64) -> DataFrame:
+def embed_distinct(df: DataFrame, text: str = "question", out: str = "qvec", *, embed_fn: EmbedFn) -> DataFrame:
     """Embed each distinct text once and join the vectors back (the question cache)."""
     uniq = df.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct()
-    vecs = embed_column(uniq, "_text", out, embed_fn, dims)
+    vecs = embed_column(uniq, "_text", out, embed_fn=embed_fn)
     return df.join(vecs, df[text] == vecs["_text"], "left").drop("_text")
 
 
-def embed_cached(df: DataFrame, store: str, text: str = "question", out: str = "qvec",
-                 embed_fn: EmbedFn | None = None, dims: int = 64) -> tuple[DataFrame, int]:
+def embed_cached(df: DataFrame, store: str, text: str = "question", out: str = "qvec", *, embed_fn: EmbedFn) -> tuple[DataFrame, int]:
     """``df`` with the embedding of ``text``, and how many texts had to be embedded for it.
 
     ``store`` keeps vectors by the hash of their text over all runs: texts that it lacks (an anti-join on the hash) are embedded once
@@ -75,7 +72,7 @@ def embed_cached(df: DataFrame, store: str, text: str = "question", out: str = "
     new = texts.withColumn("hash", F.sha2("_text", 256)).join(known.select("hash"), "hash", "left_anti")
     if new.limit(1).count():
         part = f"{store.rstrip('/')}/part-{uuid.uuid4().hex}"
-        embed_column(new, "_text", out, embed_fn, dims).select("hash", out).write.parquet(part)
+        embed_column(new, "_text", out, embed_fn=embed_fn).select("hash", out).write.parquet(part)
         publish(spark, store, part, parts=[*parts, part])
         added = spark.read.schema(schema).parquet(part)
         fresh, known = added.count(), known.unionByName(added)

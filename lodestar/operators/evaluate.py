@@ -79,13 +79,6 @@ def sources_text(questions: DataFrame, accepted: DataFrame) -> DataFrame:
     return questions.join(lists, "qid", "left").withColumn("sources", F.coalesce("sources", F.lit("")))
 
 
-def passage_sources(passages: DataFrame, docs: DataFrame, **kw) -> DataFrame:
-    """Questions with their ``sources`` string (see ``sources_text``)."""
-    acc = accepted_sources(passages, docs, **kw)
-    names = {k: kw[k] for k in ("id", "text") if k in kw}
-    return sources_text(passage_questions(passages, acc, **names), acc).drop("answerable")
-
-
 def answers_from_rows(questions: DataFrame, rows: DataFrame) -> DataFrame:
     """Answer text per question: the numbered passages (``[n] (source)\\ncontent``), or the
     refusal text when nothing was retrieved."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.config import ANN_MIN_ROWS, MAX_DISTANCE
+from lodestar.operators.embedding import hash_embedding
 from lodestar.operators import relational as rel
 from lodestar.operators import validate as va
 from lodestar.operators.ingest import ingest_chunks, load_published
@@ -157,5 +158,5 @@ def validate_rows(spark, sf):
 SELECT row_number() OVER (ORDER BY source, doc_id, chunk_no) AS id, source, content FROM chunks""")
 def ingest_chunks_q(spark, sf):
     base = scratch_path(spark, f"chunks_{data_tag(sf)}")
-    ingest_chunks(read_table(spark, sf, "documents"), base)
+    ingest_chunks(read_table(spark, sf, "documents"), base, embed_fn=hash_embedding())
     return load_published(spark, base).select("id", "source", "content")

@@ -9,9 +9,10 @@ import time
 from pyspark.sql import functions as F
 
 from lodestar.config import ANN_MIN_ROWS
+from lodestar.functions import vectors as V
 from lodestar.functions.text import ratio_text
 from lodestar.operators import ann, vindex
-from lodestar.operators.embedding import embed_cached, embed_column, embed_distinct
+from lodestar.operators.embedding import embed_cached, embed_column, embed_distinct, hash_embedding
 from lodestar.operators.halfprec import decode_half, to_half
 from lodestar.operators.hybrid import retrieve
 from lodestar.operators.ingest import publish, published_index
@@ -118,7 +119,21 @@ def knn_half_precision(spark, sf):
 
 @register("noisy_vectors")
 def noisy_vectors(spark, sf):
-    return noisy_copies(corpus(spark, sf), copies=20, view="noisy")
+    return noisy_copies(corpus(spark, sf), view="noisy")
+
+
+@register("noisy_near", """SELECT vec_id AS chunk_id, 201::BIGINT AS copies, true AS unit, true AS near, true AS apart FROM embeddings""")
+def noisy_near(spark, sf):
+    """Per vector its copies (0 to 200): all of length 1, all within the largest turn that the noise allows, no two alike."""
+    source = corpus(spark, sf).select(F.col("id").alias("chunk_id"), F.col("embedding").alias("base"))
+    n = noisy_copies(corpus(spark, sf)).join(source, "chunk_id")
+    # Noise of at most 0.05 a number has length 0.05 sqrt(dims) at most, which is the sine of the largest turn.
+    turn = F.lit(0.05 ** 2) * F.size("base")
+    at = n.select("chunk_id", "embedding", V.norm("embedding").alias("norm"), V.cosine_distance("embedding", "base").alias("d"),
+                  (F.lit(1.0) - F.sqrt(F.lit(1.0) - turn)).alias("most"))
+    return at.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("copies"), F.every(F.abs(F.col("norm") - 1) < 1e-5).alias("unit"),
+                                      F.every(F.col("d") <= F.col("most") + 1e-6).alias("near"),
+                                      (F.countDistinct(F.xxhash64("embedding")) == F.count(F.lit(1))).alias("apart"))
 
 
 @register("recall_report")
@@ -170,14 +185,15 @@ def recall_report(spark, sf):
 
 @register("embed_chunks")
 def embed_chunks(spark, sf):
-    return embed_column(chunks(spark, sf).select("id", "source", "content"), "content", "embedding", dims=64)
+    return embed_column(chunks(spark, sf).select("id", "source", "content"), embed_fn=hash_embedding())
 
 
 @register("embed_dedup")
 def embed_dedup(spark, sf):
     """Questions (conversation user turns) embedded once per distinct text, joined back."""
     conv = read_table(spark, sf, "conversations").where("role = 'user'")
-    return embed_distinct(conv.select("conv_id", "turn", F.col("text").alias("question")), "question", "qvec")
+    return embed_distinct(conv.select("conv_id", "turn", F.col("text").alias("question")), "question", "qvec",
+                          embed_fn=hash_embedding())
 
 
 @register("embed_cache", """WITH t AS (SELECT text FROM conversations WHERE role = 'user')
@@ -189,7 +205,7 @@ def embed_cache(spark, sf):
     q = read_table(spark, sf, "conversations").where("role = 'user'").select(F.col("text").alias("question"))
     runs = []
     for run in ("first", "again"):
-        rows, fresh = embed_cached(q, store)
+        rows, fresh = embed_cached(q, store, embed_fn=hash_embedding())
         runs.append(rows.agg(F.count(F.lit(1)).alias("questions"), F.count("qvec").alias("with_vector"), F.countDistinct("question").alias("texts"))
                     .select(F.lit(run).alias("run"), "*", F.lit(fresh).cast("long").alias("embedded")))
     return runs[0].unionByName(runs[1])

@@ -51,21 +51,6 @@ def text_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("qid"), "question", F.col("embedding").alias("qvec"))
 
 
-def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The question set with its key: each benchmark passage is a question whose
-    expected text is the passage itself; accepted sources are the documents that hold it.
-
-    Output: ``qid, question, expected, sources`` where ``sources`` is an ``a|b|c``
-    string of accepted document names (doc ids), empty for off-topic questions.
-    The containment test is a join on the passage text; it is an exact-substring
-    check so it is expressed with ``instr`` on the pairs that share a token.
-    """
-    from lodestar.operators.evaluate import passage_sources
-    bench = read_table(spark, sf_dir, "benchmark")
-    docs = read_table(spark, sf_dir, "documents")
-    return passage_sources(bench, docs)
-
-
 def is_text(content: Column) -> Column:
     """Whether a file's bytes are text: valid UTF-8, no zero byte, and not the head of a PDF or of a zip archive (office files)."""
     head = F.hex(F.substring(content, 1, 4))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
+from lodestar.operators.embedding import hash_embedding
 from lodestar.operators import ann, vindex
 from lodestar.operators import fulltext as ft
 from lodestar.operators import textindex as ti
@@ -68,7 +69,7 @@ def test_small_tables_have_no_index(vectors, tmp_path):
 def test_retrieve_takes_the_published_index(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"word{i} " * 60 + f"and {i * i}", f"src{i % 3}") for i in range(130)], "doc_id long, text string, source string")
     base = str(tmp_path / "t")
-    path = ingest_chunks(docs, base)
+    path = ingest_chunks(docs, base, embed_fn=hash_embedding())
     index = published_index(spark, base)
     chunks = spark.read.parquet(path)
     assert index.rows == chunks.count() and manifest(spark, base)["vectors"] == index.path
@@ -254,7 +255,7 @@ def test_fuzzy_lookup_sends_few_names_to_python(spark):
 
 
 def test_embeddings_are_kept_over_runs(spark, tmp_path):
-    from lodestar.operators.embedding import embed_cached, hash_embedding
+    from lodestar.operators.embedding import embed_cached
     calls = tmp_path / "calls"
     calls.mkdir()
 
@@ -263,9 +264,9 @@ def test_embeddings_are_kept_over_runs(spark, tmp_path):
         return hash_embedding(8)(texts)
 
     asked = lambda *t: spark.createDataFrame([(i, x) for i, x in enumerate(t)], "id long, question string")
-    first, n = embed_cached(asked("a", "b", "a", None), str(tmp_path / "s"), embed_fn=embed, dims=8)
+    first, n = embed_cached(asked("a", "b", "a", None), str(tmp_path / "s"), embed_fn=embed)
     assert n == 2 and [r.id for r in first.where("qvec is null").collect()] == [3]
-    again, n = embed_cached(asked("b", "c", "a"), str(tmp_path / "s"), embed_fn=embed, dims=8)
+    again, n = embed_cached(asked("b", "c", "a"), str(tmp_path / "s"), embed_fn=embed)
     assert n == 1 and again.where("qvec is null").count() == 0
     vec = {r.question: list(r.qvec) for r in first.where("question is not null").collect()}
     assert all(vec.get(r.question, list(r.qvec)) == list(r.qvec) for r in again.collect())

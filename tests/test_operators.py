@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from lodestar.operators import changes as ch
 from lodestar.operators import relational as rel
 from lodestar.operators import validate as va
-from lodestar.operators.embedding import embed_column, embed_distinct
+from lodestar.operators.embedding import embed_column, embed_distinct, hash_embedding
 
 
 def test_embeddings_are_unit_vectors_and_deterministic(spark):
     df = spark.createDataFrame([(1, "hello"), (2, "hello"), (3, "other")], "id long, text string")
-    rows = {r["id"]: np.array(r["e"]) for r in embed_column(df, "text", "e", dims=16).collect()}
+    rows = {r["id"]: np.array(r["e"]) for r in embed_column(df, "text", "e", embed_fn=hash_embedding(16)).collect()}
     assert all(abs(np.linalg.norm(v) - 1) < 1e-5 for v in rows.values())
     assert np.allclose(rows[1], rows[2]) and not np.allclose(rows[1], rows[3])
 
@@ -26,7 +26,7 @@ def test_embedding_count_mismatch_is_an_error(spark):
 
 def test_distinct_texts_are_embedded_once(spark):
     df = spark.createDataFrame([(i, "same question") for i in range(5)], "id long, question string")
-    out = embed_distinct(df, "question", "qvec", dims=8)
+    out = embed_distinct(df, "question", "qvec", embed_fn=hash_embedding(8))
     assert out.count() == 5 and out.select(F.to_json("qvec")).distinct().count() == 1
 
 
@@ -110,9 +110,9 @@ def test_ingest_publishes_a_new_version_and_keeps_the_old_one(spark, tmp_path):
     v1 = spark.createDataFrame([(1, "a.txt", "first version of the text " * 30)], "doc_id long, source string, text string")
     v2 = spark.createDataFrame([(1, "a.txt", "second version " * 10), (2, "b.txt", "another document here " * 5)],
                                "doc_id long, source string, text string")
-    p1 = ingest_chunks(v1, base, version="1")
+    p1 = ingest_chunks(v1, base, version="1", embed_fn=hash_embedding())
     assert load_published(spark, base).count() == spark.read.parquet(p1).count() == 2
-    p2 = ingest_chunks(v2, base, version="2")
+    p2 = ingest_chunks(v2, base, version="2", embed_fn=hash_embedding())
     now = load_published(spark, base)
     assert {r["source"] for r in now.collect()} == {"a.txt", "b.txt"}
     assert sorted(r["id"] for r in now.collect()) == list(range(1, now.count() + 1))
