@@ -228,6 +228,67 @@ def test_quality_rule_counts_equal_brute_force(docs, texts):
     assert sum(r.kept for i, r in by_id(got).items() if i < 60) >= 58
 
 
+def least_determinant(x, noise):
+    """Minimum covariance determinant by C-steps over sorted distances, from many random starts: log-determinant, mean, covariance."""
+    rng, best = np.random.default_rng(1), None
+    m = int(np.ceil(outliers.H * len(x)))
+    for _ in range(60):
+        ix, last = rng.choice(len(x), 2 * x.shape[1], replace=False), math.inf
+        while True:
+            mean, cov = x[ix].mean(0), np.cov(x[ix].T, bias=True) + np.diag(noise)
+            now = np.linalg.slogdet(cov)[1] if len(ix) == m else math.inf
+            if len(ix) == m and now > last - 1e-9:
+                break
+            last = now
+            ix = np.argsort(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean), kind="stable")[:m]
+        if best is None or last < best[0]:
+            best = (last, mean, cov)
+    return best
+
+
+def test_outlier_estimates_equal_brute_force(spark):
+    """Three groups; a fifth of each lies together in one place, which the mean and covariance of all rows would take for normal."""
+    rng = np.random.default_rng(3)
+    p, rows, planted = len(outliers.FEATURES), [], {}
+    for g in "abc":
+        mix = rng.normal(size=(p, p)) * 0.1
+        x = rng.normal(size=(400, p)) @ mix
+        x[:80] = 3 + 0.05 * rng.normal(size=(80, p))
+        x[:, 2] = np.where(np.arange(400) < 80, x[:, 2], 0.0)  # a statistic that is 0 in every normal row
+        noise = np.full(p, 0.0004)
+        planted[g] = (x, noise)
+        rows += [(g, *map(float, r), *map(float, noise)) for r in x]
+    df = spark.createDataFrame(rows, ["g", *outliers.FEATURES, *outliers.NOISE])
+    got = {r.g: r for r in outliers.fit(df).collect()}
+    cut = outliers.chi2_quantile(outliers.CUT, p)
+    for g, (x, noise) in planted.items():
+        least, mean, cov = least_determinant(x, noise)
+        assert abs(got[g].logdet - least) < 0.3, g
+        assert np.abs(np.array(got[g].mean) - mean).max() < 0.05, g
+        prec = np.array(got[g].prec).reshape(p, p)
+        d = np.einsum("ij,jk,ik->i", x - got[g].mean, prec, x - got[g].mean)
+        want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        want /= max(1.0, np.median(want) / outliers.chi2_quantile(0.5, p))
+        assert (d[:80] > cut).all() and (d[80:] <= cut).mean() > 0.99, g
+        assert ((d > cut) != (want > cut)).mean() < 0.01, g
+
+
+def test_outlier_verdicts_per_source_and_copies(spark):
+    """Symbols are normal in one source and outlying in the other, and thousands of copies do not move an estimate."""
+    rng = random.Random(4)
+    texts = {i: prose(rng, rng.randint(60, 160)) for i in range(120)}
+    texts |= {1000 + i: " ".join(w + "#" for w in prose(rng, rng.randint(60, 160)).split()) for i in range(60)}
+    texts |= {2000 + i: " ".join(w + "#" for w in prose(rng, 100).split()) for i in range(3)}
+    source = lambda i: "code" if 1000 <= i < 2000 else "news"
+    rows = [(i, x, "en", source(i)) for i, x in texts.items()]
+    alone = {r.doc_id: r.kept for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(alone[i] for i in (2000, 2001, 2002)) and all(alone[i] for i in alone if i < 2000)
+    rows += [(10_000 + i, texts[2000], "en", "news") for i in range(2000)] + [(20_000 + i, texts[5], "en", "news") for i in range(2000)]
+    many = {r.doc_id: r.kept for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i: k for i, k in many.items() if i < 10_000} == alone
+    assert not any(k for i, k in many.items() if 10_000 <= i < 20_000) and all(k for i, k in many.items() if i >= 20_000)
+
+
 def classes_of(texts):
     """Set sizes and smallest reachable ids by brute force."""
     sets = {}
