@@ -3,6 +3,7 @@ repeated rows, empty tables and extra columns in each of them."""
 
 import collections
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -419,6 +420,34 @@ def test_crossover_keeps_every_item():
     assert (c >= 0).all() and np.bincount(c, lengths).max() <= 1000 and len(c) == 400
 
 
+@pytest.mark.parametrize("case", ["three that fill one", "parts of a third to two thirds", "halves"])
+def test_crossovers_lower_the_number_of_sequences(spark, case):
+    """Lengths for which best fit by falling length misses the bound: the islands need fewer sequences, and every piece keeps its place."""
+    rng = np.random.default_rng(6)
+    if case == "three that fill one":
+        a = rng.integers(1557, 2007, 60)
+        b = rng.integers(1024, (4096 - a) // 2)
+        lengths, most = rng.permutation(np.concatenate([a, b, 4096 - a - b])), 62
+    elif case == "parts of a third to two thirds":
+        lengths, most = rng.integers(546, 2731, 500), None
+    else:
+        lengths, most = rng.integers(1000, 2100, 300), None
+    order = np.argsort(-lengths, kind="stable")
+    greedy, bound = [], -(-int(lengths.sum()) // 4096)
+    packing.best_fit(lengths, order, 4096, np.zeros(len(lengths), np.int32), greedy)
+    assert len(greedy) > bound
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, length long")
+    got = packing.pack(pieces, 4096).collect()
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sorted((r.doc_id, r.length) for r in got) == [(i, n) for i, n in enumerate(lengths)]
+    for b in bins.values():
+        ends = [0, *itertools.accumulate(n for _, n in sorted(b))]
+        assert [o for o, _ in sorted(b)] == ends[:-1] and ends[-1] <= 4096
+    assert bound <= len(bins) < len(greedy) and (most is None or len(bins) <= most)
+
+
 def test_quality_separates(spark):
     rng = random.Random(4)
     rows, labels = [], []
