@@ -36,7 +36,8 @@ CAPACITY = 4096
 END = 1
 SHARD = 16_000
 ISLANDS, EPOCHS, POPULATION = 2, 2, 3
-EFFORT = 60_000  # pieces that an island places in one epoch of children, but 3 to 120 children
+CHILDREN = 20    # of an island in one epoch at least
+EFFORT = 60_000  # pieces that an island places in one epoch of children, where that makes more of them
 POOL = 48        # displaced pieces that an exchange looks at together
 WEAK = 0.97
 CACHE_UNITS = 1_500_000
@@ -367,7 +368,7 @@ def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: i
             break
     rank = lambda x: (int(x.max()), -fitness(lengths, x, capacity))
     people.sort(key=rank)
-    for _ in range(min(120, max(3, EFFORT // len(lengths)))):
+    for _ in range(max(CHILDREN, EFFORT // len(lengths))):
         if people[0].max() + 1 <= bound or len(people) < 2:
             break
         i, j = sorted(rng.choice(len(people), 2, replace=False))

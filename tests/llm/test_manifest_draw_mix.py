@@ -227,3 +227,13 @@ def test_stage_rows_keep_every_column_and_leave_by_place(spark, tmp_path):
         assert len(set(ids)) == len(rows) and set(docs.columns) < set(got.columns)
         out = corpus_pipeline._without(got, row, got.where("__row >= 200 or doc_id is null").select(row))
         assert some(out.select(*docs.columns).collect()) == some(r for r in rows if 0 <= r[2] < 200) and out.columns == docs.columns
+
+
+@pytest.mark.parametrize("pieces, children", [(200, 300), (4000, 20)])
+def test_an_epoch_makes_all_its_children(monkeypatch, pieces, children):
+    from lodestar.llm import packing
+
+    made, cross = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: made.append(1) or cross(*a))
+    packing.evolve(np.full(pieces, 3000, np.int32), [], 4096, 7)  # two never fit: the bound is out of reach
+    assert len(made) == children
