@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import table
-from lodestar.llm.words import EXACT, Texts, slices
+from lodestar.llm.words import EXACT, HELD, Texts, slices
 
 CAPACITY = 4096
 END = 1
@@ -48,7 +48,6 @@ CLASS = np.full(256, 3, np.uint8)
 CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 CLASS[0x41:0x5B] = CLASS[0x61:0x7B] = CLASS[0x80:] = 1
 CLASS[0x30:0x3A] = 2
-_STATE: dict[str, object] = {}
 
 
 class Encoder:
@@ -207,10 +206,10 @@ class Encoder:
 
 def _pieces(spec, capacity: int):
     def run(batches):
-        enc = _STATE.get("encoder")
+        enc = HELD.get("packing")
         if enc is None:
-            enc = _STATE["encoder"] = Encoder(spec.value)
-        for b, t in slices(batches):
+            enc = HELD["packing"] = Encoder(spec.value)
+        for b, t in slices(batches, keep="packing"):
             bounds, ids = enc.encode(t)
             n = np.diff(bounds)
             count = -(-n // capacity)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import table
-from lodestar.llm.words import ALNUM, NONSPACE, Texts, slices
+from lodestar.llm.words import ALNUM, HELD, NONSPACE, Texts, slices
 
 P, LAMBDA = 3, 0.6
 LANDMARKS = 72
@@ -39,7 +39,6 @@ CACHE_WORDS = 1_500_000
 BINS, LOW, HIGH = 80, -3.0, 3.0
 #: Digits and signs written for letters.
 LEET = str.maketrans("013457@$", "oieastas")
-_CACHE: dict[str, object] = {}
 
 
 def normal(word: str) -> str:
@@ -320,11 +319,10 @@ def _scores(machine):
     def run(batches):
         m = machine.value
         key = (m.bias, float(m.table.sum()))
-        if _CACHE.get("key") != key:
-            _CACHE.clear()
-            _CACHE.update(key=key, words=_Known())
-        known = _CACHE["words"]
-        for b, t in slices(batches):
+        if HELD.get("toxicity", (None, None))[0] != key:
+            HELD["toxicity"] = (key, _Known())
+        known = HELD["toxicity"][1]
+        for b, t in slices(batches, keep="toxicity"):
             h, spans, inv, own, extra, extra_own = _units(t)
             f = known.find(h)
             new = np.flatnonzero(np.isnan(f))

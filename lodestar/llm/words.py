@@ -7,6 +7,8 @@ the memory of a task whatever the batch size; one longer text is a slice of its
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,8 +98,22 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(data[offs[0]:offs[-1]], offs - offs[0])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Batches again, cut into slices of whole texts of about ``size`` bytes each."""
+#: What a worker keeps for the next task of the same operator, by operator.
+HELD: dict[str, object] = {}
+
+
+def give_back() -> None:
+    """Gives free memory back to the system: a worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES, keep: str = "") -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Batches again, cut into slices of whole texts of about ``size`` bytes each. What another operator than ``keep`` left in the
+    worker goes first."""
+    for other in [x for x in HELD if x != keep]:
+        del HELD[other]
     for batch in batches:
         t = texts_of(batch.column(batch.schema.get_field_index(column)))
         lo = 0
@@ -106,7 +122,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             yield batch.slice(lo, hi - lo), Texts(t.data[t.offs[lo]:t.offs[hi]], t.offs[lo:hi + 1] - t.offs[lo])
             lo = hi
         del batch, t
-    pa.default_memory_pool().release_unused()  # a worker outlives its task
+    give_back()
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:

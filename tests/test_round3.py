@@ -58,3 +58,22 @@ def test_bitmaps_are_made_for_the_words_of_the_questions_only(spark, notes, aske
     monkeypatch.setattr(ft, "term_bitmaps", lambda p: seen.append({r.term for r in p.select("term").distinct().collect()}) or made(p))
     assert {r.qid: r.matches for r in ft.match_count(asked, post).collect()} == {1: 60, 2: 15, 3: 28}
     assert seen == [{"salt", "net", "korn", "blad7", "ull", "timbur"}]
+
+
+def test_cells_in_groups_of_bounded_size():
+    from lodestar.operators.ann import cell_groups
+
+    got = cell_groups([(0, 40, 1), (1, 50, 1), (2, 30, 1), (3, 250, 3), (4, 10, 1), (5, 99, 1)], 100)
+    assert got == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (3, 2, 3), (4, 3, 1), (5, 4, 1)]
+
+
+def test_a_worker_drops_what_another_operator_kept():
+    import pyarrow as pa
+
+    from lodestar.llm import words
+
+    words.HELD.update(packing="tokens", toxicity="words")
+    batch = pa.RecordBatch.from_arrays([pa.array(["salt", None])], names=["text"])
+    assert len(list(words.slices([batch], keep="packing"))) >= 1 and words.HELD == {"packing": "tokens"}
+    list(words.slices([batch]))
+    assert not words.HELD
