@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import fulltext as ft
+from lodestar.operators.knn import top_k_per_query
 from lodestar.streaming.ingest import append_log, file_stream
 
 WORDS = "salt net ull korn timbur".split()
@@ -77,3 +78,25 @@ def test_a_worker_drops_what_another_operator_kept():
     assert len(list(words.slices([batch], keep="packing"))) >= 1 and words.HELD == {"packing": "tokens"}
     list(words.slices([batch]))
     assert not words.HELD
+
+
+def test_text_scores_are_neither_hashed_nor_sorted_pair_by_pair(spark, monkeypatch):
+    """Same top rows as the plain sum over (question, posting) pairs, without a row per pair; ids that lie in several batches included."""
+    rows = [(n % 23 if n % 29 else None, " ".join(f"w{(n * j) % 11}" for j in range(n % 7))) for n in range(150)]
+    docs = spark.createDataFrame(rows, "id long, content string")
+    asked = spark.createDataFrame([(n, f"w{n % 11} w{n % 5} none") for n in range(40)], "qid long, question string")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    monkeypatch.setattr(ft, "HITS_AT_ONCE", 8)
+    try:
+        post = ft.build_postings(docs).checkpoint()
+        qt = ft.query_terms(asked)
+        for own in (False, True):
+            plain = top_k_per_query(ft._scored(qt, post, own, 6), 4, "relevance", descending=True)
+            found = ft.text_top_k(asked, post, 4, exclude_self=own)
+            assert sorted(map(tuple, plain.select("qid", "id", "relevance", "rank").collect())) == sorted(
+                map(tuple, found.select("qid", "id", "relevance", "rank").collect()))
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert "Aggregate" not in plan  # no (question, row) pair is a row
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
