@@ -6,8 +6,11 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from lodestar.operators.embedding import embed_column, hash_embedding
 from lodestar.sources.tables import load_documents, write_documents
 
+SF001 = "/root/testdata/sf0.001"
+
 
 def test_documents_are_written_by_the_tasks_as_the_text_writer_leaves_them(spark, tmp_path):
     rows = [("b", "two\nlines"), ("a/1=x%", "þorskur"), ("c", None), (None, "nameless"), ("d", ""), ("é ö", "raw")]
@@ -28,3 +31,21 @@ def test_rows_of_one_name_in_a_task_share_a_file(spark, tmp_path):
     got = {r.source: r.text for r in load_documents(spark, str(tmp_path / "tasks"), "*.txt", name_column="name").collect()}
     assert got == {"a": "x\nx\n", "b": "y\n"}
     assert load_documents(spark, str(tmp_path / "tasks"), "*.txt", name_column="name").agg(F.sum("bytes")).first()[0] == 6
+
+
+def test_reembedding_cuts_the_documents_into_chunks_once(spark):
+    import __spark_entry__ as e
+    out = e.queries()["reembed_changed"](spark, SF001)
+    assert not [f for f in out.inputFiles() if "documents" in f]  # all six readings are of the stored chunks
+    assert {r.origin for r in out.select("origin").distinct().collect()} == {"kept", "updated"}
+    assert out.where("not follows_text").count() == 0
+
+
+def test_embedding_hands_other_columns_on_as_they_are(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1L, 'a', 9007199254740993L, array('x', null), date'0001-01-01'), (2L, null, null, null, null)
+                      t(id, content, big, list, day)""")
+    out = embed_column(df, embed_fn=hash_embedding(4))
+    assert out.select(*df.columns).collect() == df.collect()
+    want = hash_embedding(4)(["a", ""])
+    assert [r.embedding for r in out.orderBy("id").collect()] == [v.tolist() for v in want]
+    assert embed_column(df.limit(0), embed_fn=hash_embedding(4)).count() == 0
