@@ -6,6 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from lodestar.operators import fulltext as ft
+from lodestar.operators import textindex as ti
 from lodestar.operators.embedding import embed_column, hash_embedding
 from lodestar.sources.tables import load_documents, write_documents
 
@@ -49,3 +51,35 @@ def test_embedding_hands_other_columns_on_as_they_are(spark):
     want = hash_embedding(4)(["a", ""])
     assert [r.embedding for r in out.orderBy("id").collect()] == [v.tolist() for v in want]
     assert embed_column(df.limit(0), embed_fn=hash_embedding(4)).count() == 0
+
+
+def test_segments_count_words_where_a_range_lies(spark, tmp_path, monkeypatch):
+    """Several segments with negative ids, rows that come twice, deletions and stop words equal a fresh build, before and after a merge."""
+    monkeypatch.setattr(ti, "WORDS_AT_ONCE", 40)
+    base = str(tmp_path / "index")
+    word = lambda i: f"w{i % 7} w{i % 7} og w{i % 11} x{abs(i)} og"
+    alive = {i: word(i) for i in range(-40, 100)}
+    first = [(i, 0, t) for i, t in alive.items()] + [(None, 0, "lost"), (5, 1, "late w5"), (6, 1, None), (7, -1, "early")]
+    ti.apply_batch(spark.createDataFrame(first, "id long, at int, content string").repartition(5), base, 0, order=["at"])
+    second = [(i, 1, f"new {word(i)}" if i % 3 else None) for i in range(-31, 33, 2)] + [(200, 0, "og og"), (201, 0, "")]
+    ti.apply_batch(spark.createDataFrame(second, "id long, at int, content string"), base, 1, order=["at"])
+    alive |= {5: "late w5", 6: None}
+    alive |= {i: t for i, _, t in second}
+    stop = spark.createDataFrame([("og",)], "term string")
+    fresh = ft.build_postings(spark.createDataFrame([x for x in alive.items() if x[1] is not None], "id long, content string"), stopwords=stop)
+    rows = lambda p: sorted((r.term, r.id, r.tf, r.df, round(r.weight, 9)) for r in p.collect())
+    index = ti.TextIndex(spark, base, stop)
+    lists = index.lists(index.docs()).where("size(entries) > 0")
+    assert lists.count() < index.entries().count() and max(lists.selectExpr("max(size(entries))").first()) <= 2 * ti.RANGE
+    assert rows(index.postings()) == rows(fresh)
+    merged = index.merge()
+    assert merged.segments == [-1] and merged.blocks().groupBy("term", "range").count().where("count > 1").count() == 0
+    assert rows(merged.postings()) == rows(fresh)
+    docs = {r.id: r.dl for r in merged.docs().collect()}
+    assert docs == {i: len([w for w in t.split() if w != "og"]) for i, t in alive.items() if t is not None}
+
+
+def test_an_empty_batch_is_a_segment(spark, tmp_path):
+    ti.apply_batch(spark.createDataFrame([], "id long, content string"), str(tmp_path), 0)
+    index = ti.TextIndex(spark, str(tmp_path))
+    assert index.docs().count() == 0 and index.postings().count() == 0 and index.merge().postings().count() == 0
