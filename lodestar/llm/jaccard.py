@@ -200,8 +200,8 @@ def link_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = compare(table(pairs.distinct(), "pivots"), d)
     groups = components(links, "groups")
     # 2. matrix
-    sample = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_tokens, "doc_id long, tokens binary")
-    counts = table(sample.mapInArrow(_exploded, "token long").groupBy("token").count().where(F.col("count") >= HOT_COUNT), "frequent")
+    sample = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_exploded, "token long")
+    counts = table(sample.groupBy("token").count().where(F.col("count") >= HOT_COUNT), "frequent")
     by = sorted(counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r[0])
     least, total = None, 0
     for r in by:
@@ -254,9 +254,10 @@ def link_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _exploded(batches):
-    for b in batches:
-        for x in _views(b.column("tokens")):
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["token"])
+    """The set of each text, a row per token: in one pass, for a second one in the same task would need a worker of its own,
+    which an executor then keeps."""
+    for _, t in slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(token_sets(t)[1].view(np.int64))], names=["token"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -112,8 +112,11 @@ def give_back() -> None:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES, keep: str = "") -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Batches again, cut into slices of whole texts of about ``size`` bytes each. What another operator than ``keep`` left in the
     worker goes first."""
-    for other in [x for x in HELD if x != keep]:
+    others = [x for x in HELD if x != keep]
+    for other in others:
         del HELD[other]
+    if others:
+        give_back()
     for batch in batches:
         t = texts_of(batch.column(batch.schema.get_field_index(column)))
         lo = 0

@@ -519,3 +519,28 @@ def test_katz_context_totals_beyond_32_bits():
     assert (want > 0).all()
     for r in rows:
         assert katz._unpack(r["data"], np.float64) == pytest.approx(want)
+
+
+def test_what_another_operator_held_is_given_back_before_the_first_slice(monkeypatch):
+    from lodestar.llm import words
+    given = []
+    monkeypatch.setattr(words, "give_back", lambda: given.append(dict(words.HELD)))
+    monkeypatch.setattr(words, "HELD", {"packing": 1, "toxicity": 2})
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", None])], names=["text"])
+    run = words.slices(iter([batch]), keep="toxicity")
+    next(run)
+    assert given == [{"toxicity": 2}]
+    assert [t.n for _, t in run] == [] and len(given) == 2
+    next(words.slices(iter([batch]), keep="toxicity"))
+    assert len(given) == 2  # nothing was left by another
+
+
+def test_near_duplicates_need_one_worker_a_task(spark, monkeypatch):
+    """A second pass through Python in one stage needs a second worker, and an executor keeps it in turn with the first."""
+    plans = []
+    written = jaccard.table
+    monkeypatch.setattr(jaccard, "table", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or written(df, name))
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 2) * 31 + j}" for j in range(40))) for i in range(60)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert found == {i: i // 2 * 2 for i in range(60)}
+    assert "frequent" in dict(plans) and not [name for name, plan in plans if plan.count("MapInArrow") > 1]
