@@ -83,3 +83,19 @@ def test_an_empty_batch_is_a_segment(spark, tmp_path):
     ti.apply_batch(spark.createDataFrame([], "id long, content string"), str(tmp_path), 0)
     index = ti.TextIndex(spark, str(tmp_path))
     assert index.docs().count() == 0 and index.postings().count() == 0 and index.merge().postings().count() == 0
+
+
+def test_recall_report_asks_every_fiftieth_vector_against_copies_of_all(spark, tmp_path):
+    import __spark_entry__ as e
+    from lodestar.session import data_tag, scratch_path
+    for name, first in (("asked", 0), ("none", 1)):
+        ids = [i for i in range(first, 120) if first == 0 or i % 50]
+        sf = str(tmp_path / name)
+        spark.createDataFrame([(i, [float((i * 7 + j * j * (i + 3)) % 23 - 11) for j in range(1, 9)]) for i in ids],
+                              "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
+        spark.createDataFrame([(i, "s", f"text {i}") for i in ids], "doc_id long, source string, text string").write.parquet(f"{sf}/documents.parquet")
+        got = {r.method: r.recall_pct for r in e.queries()["recall_report"](spark, sf).collect()}
+        base = scratch_path(spark, f"scale_{data_tag(sf)}")
+        assert {r.qid for r in spark.read.parquet(f"{base}/queries").collect()} == ({0, 50, 100} if name == "asked" else set())
+        assert spark.read.parquet(f"{base}/vectors").count() == 20 * len(ids)
+        assert len(got) == 4 and got["exact float32"] == (100.0 if name == "asked" else None)
