@@ -1,5 +1,6 @@
 """Round 4: folders read by tasks, exact search in single precision with a bound, text counts kept by row."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +35,56 @@ def test_a_folder_without_names_is_read_at_any_depth(spark, tmp_path):
         docs = tables.load_documents(spark, str(tmp_path), pattern)
         assert {r.source: r.text for r in docs.collect()} == want
         assert docs.agg(F.sum("bytes")).first()[0] == sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("exclude", [None, "self", "group"])
+def test_the_best_rows_are_those_of_double_precision(monkeypatch, exclude):
+    """Near copies closer than single precision can tell, exact copies (ties to the lower id), lengths 0, and ids that repeat."""
+    from lodestar.operators import knn
+    monkeypatch.setattr(knn, "DISTANCES", 5000)
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((900, 24)).astype(np.float32).astype(np.float64)
+    rows[100:300] = rows[100] + 3e-6 * rng.standard_normal((200, 24))
+    rows[300:340], rows[7], rows[450:460] = rows[5], 0.0, rows[450:460] * 1e-9
+    ids, groups = np.r_[np.arange(890), np.arange(10)], np.array([f"g{i % 40}" for i in range(900)], object)
+    asked = np.r_[0:120, 280:310, 450:455]
+    best = knn.TopK(rows[asked], ids[asked], 7, exclude, 6, groups[asked])
+    for lo, hi in ((0, 4), (4, 200), (200, 900)):
+        best.add(rows[lo:hi], ids[lo:hi], groups[lo:hi])
+    norm = np.linalg.norm(rows, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.round(1.0 - rows[asked] @ rows.T / np.outer(norm[asked], norm), 6) + 0.0
+    if exclude:
+        d[(ids[asked][:, None] == ids) if exclude == "self" else (groups[asked][:, None] == groups)] = np.inf
+    want = []
+    for q, line in zip(ids[asked], d):
+        want += [(q, i, x) for x, i in sorted((x, i) for x, i in zip(line, ids) if np.isfinite(x))[:7]]
+    assert list(best.frame().itertuples(index=False, name=None)) == want
+
+
+@pytest.mark.parametrize("exclude", [None, "self", "group"])
+def test_a_corpus_sent_in_parts_gives_what_blocks_give(spark, monkeypatch, exclude):
+    from lodestar.operators import knn
+    c = tables.corpus(spark, "/root/testdata/sf0.01")
+    q = c.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"), F.col("source").alias("qsource"))
+    kw = dict(exclude=exclude, qgroup="qsource", group="source")
+    want = knn.knn_batch(q, c, 7, strategy="blocks", **kw)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 40 << 10)
+    monkeypatch.setattr(knn, "fits_broadcast", lambda *_: False)
+    got = knn.knn_batch(q, c, 7, **kw)
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_cells_sent_in_parts_give_what_blocks_give(spark, tmp_path, monkeypatch, exact):
+    from lodestar.operators import ann
+    c = tables.corpus(spark, "/root/testdata/sf0.01")
+    q = tables.vector_questions(c)
+    q = q.union(q.where("qid < 3"))  # the same question twice
+    index = ann.build_cell_index(c, str(tmp_path / "cells"))
+    want = ann.cell_search(q, index, 10, nprobe=3, exclude="self", exact=exact, strategy="blocks").collect()
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 40 << 10)
+    got = ann.cell_search(q, index, 10, nprobe=3, exclude="self", exact=exact, strategy="rounds")
+    assert len(ann._in_rounds(spark, index)) > 2 and "FlatMapCoGroups" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
