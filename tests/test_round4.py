@@ -88,3 +88,23 @@ def test_cells_sent_in_parts_give_what_blocks_give(spark, tmp_path, monkeypatch,
     got = ann.cell_search(q, index, 10, nprobe=3, exclude="self", exact=exact, strategy="rounds")
     assert len(ann._in_rounds(spark, index)) > 2 and "FlatMapCoGroups" not in got._jdf.queryExecution().toString()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+
+
+def test_index_search_from_a_first_distance_to_beat(spark, tmp_path, monkeypatch):
+    """All cells opened: the best rows of exact search, with exact copies, ids that repeat, a repeated question and few rows a group."""
+    from lodestar.operators import vindex
+    from lodestar.operators.knn import knn_batch
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 16)).astype(np.float32)
+    x[50:90] = x[50]
+    rows = [(i % 390, [float(v) for v in r]) for i, r in enumerate(x)]
+    c = spark.createDataFrame(rows, "id long, embedding array<float>")
+    index = vindex.build_index(c, str(tmp_path / "index"))
+    q = c.where("id between 40 and 160 or id < 3").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    q = q.where("qid >= 10").union(q.where("qid = 100"))
+    monkeypatch.setattr(vindex, "BEGIN", 120)
+    got = vindex.search(q, index, 5, nprobe=index.cells, rerank=30, exclude_self=True)
+    want = knn_batch(q.distinct(), c, 5, exclude="self")
+    distances = lambda df: {r.qid: r.d for r in df.groupBy("qid").agg(F.sort_array(F.collect_list("distance")).alias("d")).collect()}
+    got, want = distances(got.where("qid <> 100")), distances(want.where("qid <> 100"))
+    assert len(got) > 100 and got == want
