@@ -108,3 +108,29 @@ def test_index_search_from_a_first_distance_to_beat(spark, tmp_path, monkeypatch
     distances = lambda df: {r.qid: r.d for r in df.groupBy("qid").agg(F.sort_array(F.collect_list("distance")).alias("d")).collect()}
     got, want = distances(got.where("qid <> 100")), distances(want.where("qid <> 100"))
     assert len(got) > 100 and got == want
+
+
+def test_stream_counts_words_where_the_chunk_lies(spark, tmp_path):
+    """Documents that come twice in a batch and again in a later one: the weights of all counts, and no (word, chunk) pair is shuffled."""
+    from lodestar.operators.embedding import hash_embedding
+    from lodestar.streaming import ingest as st
+    text = lambda i, n: " ".join(f"w{(i * j) % 13} og" for j in range(n))
+    first = [(i, "s", text(i, 150)) for i in range(30)] + [(3, "s", text(5, 90)), (None, "s", text(1, 60)), (40, "s", None)]
+    for n, rows in enumerate((first, [(3, "s", text(7, 40)), (50, "s", text(9, 80))])):
+        spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).write.parquet(str(tmp_path / f"in/{n}"))
+        stream = spark.readStream.schema("doc_id long, source string, text string").parquet(str(tmp_path / "in/*"))
+        st.stream_chunks(spark, stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), embed_fn=hash_embedding(4))
+    counts, chunks = spark.read.parquet(str(tmp_path / "out/postings")), spark.read.parquet(str(tmp_path / "out/chunks"))
+    assert counts.where("batch_id = 1").count() and counts.where("term = 'og'").count() == 0
+    got = st.postings_from_counts(counts, chunks.select("id"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    plain = counts.groupBy("term", "id").agg(F.sum("tf").alias("tf"))  # the same counts without lengths
+    whole = {r.id: r.dl for r in plain.where("id is not null").groupBy("id").agg(F.sum("tf").alias("dl")).collect()}
+    n, avgdl = chunks.count(), plain.agg(F.sum("tf")).first()[0] / chunks.count()
+    df = {r.term: r["count"] for r in counts.groupBy("term").count().collect()}
+    rows = got.collect()
+    assert len(rows) == counts.where("id is not null").count() and {r.id for r in rows} == set(whole)
+    for r in rows:
+        idf = np.log(1 + (n - df[r.term] + 0.5) / (df[r.term] + 0.5))
+        assert r.df == df[r.term] and abs(r.weight - idf * r.tf * 2.2 / (r.tf + 1.2 * (0.25 + 0.75 * whole[r.id] / avgdl))) < 1e-9
