@@ -134,3 +134,14 @@ def test_stream_counts_words_where_the_chunk_lies(spark, tmp_path):
     for r in rows:
         idf = np.log(1 + (n - df[r.term] + 0.5) / (df[r.term] + 0.5))
         assert r.df == df[r.term] and abs(r.weight - idf * r.tf * 2.2 / (r.tf + 1.2 * (0.25 + 0.75 * whole[r.id] / avgdl))) < 1e-9
+
+
+def test_merged_blocks_are_shuffled_as_numbers(spark):
+    from lodestar.operators import textindex as ti
+    rows = [("a", 0, [(-31, 2, 9), (4, 1, 5)]), ("a", 0, [(3, 7, 3)]), ("a", 1, [(40, 1, 1)]), ("b", 0, []), ("b", -2, [(-70, 3, 2147483647)])]
+    lists = spark.createDataFrame(rows, "term string, range long, entries array<struct<id: long, tf: long, dl: long>>")
+    got = ti._blocks(lists)
+    assert {(r.term, r.range): ([tuple(e) for e in r.entries], r.n, r.max_tf, r.min_dl) for r in got.collect()} == {
+        ("a", 0): ([(-31, 2, 9), (3, 7, 3), (4, 1, 5)], 3, 7, 3), ("a", 1): ([(40, 1, 1)], 1, 1, 1), ("b", -2): ([(-70, 3, 2147483647)], 1, 3, 2147483647)}
+    assert got.schema["entries"].dataType.simpleString() == lists.schema["entries"].dataType.simpleString()
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()  # numbers pass it, no structs
